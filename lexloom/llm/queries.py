@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import near_dedup, quality_rules, sharding, substring_dedup
 
 QUERIES = {
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLE_SQL = {
