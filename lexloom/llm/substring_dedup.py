@@ -258,13 +258,12 @@ def substring_dedup(docs: DataFrame, window: int = 50, *, with_text: bool = Fals
     chunk_windows: windows of consecutive documents whose repeats a map task joins before the
     shuffle; it bounds a task's memory (about 40 bytes a window) and changes no result.
     """
-    tasks = C.shuffle_partitions(docs.sparkSession)
-    parts = 3 * tasks  # several to a task, so that their hashes fall evenly
+    parts = C.shuffle_partitions(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hashes = docs.filter("doc_id is not null and text is not null").mapInArrow(_hash_blocks(window, parts, chunk_windows), _BLOCK)
-    covered = hashes.repartition(tasks, "part").sortWithinPartitions("kind", "bucket").mapInArrow(_count_buckets(parts), _BLOCK)
+    covered = hashes.repartition(parts, "part").sortWithinPartitions("kind", "bucket").mapInArrow(_count_buckets(parts), _BLOCK)
     rows = covered.unionByName(docs.mapInArrow(_documents(parts), _BLOCK))
-    return rows.repartition(tasks, "part").sortWithinPartitions("part", "kind").mapInArrow(_remove(window, with_text), RESULT + ", text string" * with_text)
+    return rows.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_remove(window, with_text), RESULT + ", text string" * with_text)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
