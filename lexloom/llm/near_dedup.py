@@ -42,7 +42,7 @@ from . import common as C
 #: Values kept in a sketch, standard deviations of slack.
 SKETCH, SLACK = 192, 4.0
 #: Documents and shingles that one chunk of a cluster holds at most (one document may hold more).
-CHUNK_DOCS, CHUNK_SHINGLES = 256, 400_000
+CHUNK_DOCS, CHUNK_SHINGLES = 768, 400_000
 
 
 def shingle_sets(data: bytes, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -121,7 +121,8 @@ _BLOCK = "part int, kind int, chunk long, values binary, locals binary, counts b
 _BLOCK_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("values", pa.binary()), ("locals", pa.binary()), ("counts", pa.binary())])
 #: kinds of rows: a chunk's classes, frequent values sent back to a chunk, values for a bucket.
 _CLASSES, _FREQUENT, _VALUES = 0, 1, 2
-#: Sketch values that one chunk holds; its classes have 16-bit numbers.
+#: Sketch values that one chunk holds; its classes have 16-bit numbers. Lists are keyed by 48 bits
+#: of a value: two values that agree in them put a document in a needless list, no more.
 CHUNK_VALUES = 2_000_000
 
 
@@ -139,11 +140,11 @@ def _sketches(size: int, k: int, parts: int):
         def flush():
             chunk = task << 32 | number
             lengths = [len(x) for x in sketches]
-            values, local = np.concatenate(sketches), np.repeat(np.arange(len(sketches), dtype=np.uint16), lengths)
+            values, local = np.concatenate(sketches) >> np.uint64(16), np.repeat(np.arange(len(sketches), dtype=np.uint16), lengths)
             order = np.argsort(values, kind="stable")
             values, local = values[order], local[order]
             yield _owner(chunk, parts), _CLASSES, chunk, np.array(nodes, "<i8").tobytes(), np.array(sizes, "<i8").tobytes(), None
-            bucket = (values >> np.uint64(13) & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)  # the low values are kept, so not their high bits
+            bucket = (values & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)  # a sketch holds low values, so not by their high bits
             order = np.argsort(bucket, kind="stable")
             values, local, bucket = values[order], local[order], bucket[order]
             edges = np.searchsorted(bucket, np.arange(parts + 1, dtype=np.uint64))
@@ -254,23 +255,23 @@ def _entries(k: int, threshold: float, slack: float):
 def list_entries(docs: DataFrame, shingle: int, threshold: float, k: int, slack: float) -> DataFrame:
     """(value, node, score): the inverted lists of the rarest sketch values that at least two classes hold."""
     tasks = C.shuffle_partitions(docs.sparkSession)
-    parts = 3 * tasks
+    parts = tasks
     blocks = docs.mapInArrow(_sketches(shingle, k, parts), _BLOCK)
     back = blocks.repartition(tasks, "part").sortWithinPartitions("kind", "part").mapInArrow(_frequencies(parts), _BLOCK)
     return back.repartition(tasks, "part").sortWithinPartitions("chunk", "kind").mapInArrow(_entries(k, threshold, slack), "value long, node long, score int")
 
 
-_SET = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
+_SET = pa.schema([("node", pa.int64()), ("hot", pa.bool_()), ("hashes", pa.binary())])
 
 
 def _full_sets(size: int):
     def rows(batches):
         for batch in batches:
-            nodes = batch.column(2).to_pylist()
+            nodes, hot = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for first, _end, data, offsets in C.text_groups(batch):
                 for i, h in enumerate(shingle_sets(data, offsets, size)):
                     if len(h) and class_digest(h) == nodes[first + i]:
-                        yield nodes[first + i], h.tobytes()
+                        yield nodes[first + i], hot[first + i], h.tobytes()
 
     return lambda batches: _rows(rows(batches), _SET)
 
@@ -437,13 +438,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k
     placed = placed.union(placed.select("centre", "chunk", F.col("centre").alias("node")).distinct())
 
     # the text of one document of each class that is in a cluster
-    wanted = stars.select("node").union(stars.select("centre")).distinct()
+    wanted = placed.join(sized.select("centre", (F.col("chunks") > 1).alias("hot")), "centre").groupBy("node").agg(F.max("hot").alias("hot"))
     whose = members.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node")
-    sets = docs.join(whose, "doc_id").select("doc_id", "text", "node").mapInArrow(_full_sets(shingle), "node long, hashes binary")
+    sets = docs.join(whose, "doc_id").select("node", "text", "hot").mapInArrow(_full_sets(shingle), "node long, hot boolean, hashes binary")
     if members.groupBy("doc_id").count().filter("doc_id is not null and count > 1").limit(1).count():
         sets = sets.dropDuplicates(["node"])
     sets = C.stored(sets, "sets")
-    inside = placed.join(sets, "node").select("centre", "chunk", "node", "hashes")
+    inside = placed.join(sets.select("node", "hashes"), "node").select("centre", "chunk", "node", "hashes")
     links = C.stored(inside.repartition(tasks, "centre", "chunk").sortWithinPartitions("centre", "chunk").mapInArrow(_within(k, threshold, slack), "a long, b long"), "links")
     many = sized.filter("chunks > 1").select("centre", "chunks")
     if many.limit(1).count():
@@ -470,7 +471,7 @@ def _between(many, placed, sets, links, k, threshold, slack, tasks) -> DataFrame
     asks = asks.join(blocks, "centre").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")))
     left = asks.select("centre", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block", F.lit(1).alias("query"), "node", "label")
     right = own.join(blocks, "centre").select("centre", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("query"), "node", "label")
-    rows = left.unionByName(right).join(sets, "node").select("centre", "chunk", "block", "query", "node", "label", "hashes")
+    rows = left.unionByName(right).join(sets.filter("hot").select("node", "hashes"), "node").select("centre", "chunk", "block", "query", "node", "label", "hashes")
     return rows.repartition(tasks, "centre", "chunk", "block").sortWithinPartitions("centre", "chunk", "block", F.desc("query")).mapInArrow(_across(k, threshold, slack), "a long, b long")
 
 
