@@ -91,6 +91,16 @@ def passes(policy: str, bits: Column | None = None) -> Column:
     return (F.col("failed_rules") if bits is None else bits).bitwiseAND(F.lit(POLICIES[policy]).cast("long")) == 0
 
 
+def passing_documents(docs: DataFrame, policy: str) -> DataFrame:
+    """The rows of ``docs`` that a policy lets pass.
+
+    The row number is there because it is not deterministic: the optimizer can't move the
+    filter below the measurements, where it would compute them once for every use.
+    """
+    ledger = quality_ledger(docs).withColumn("__row", F.monotonically_increasing_id())
+    return ledger.filter(passes(policy) & (F.col("__row") >= 0)).select(docs.columns)
+
+
 def ablation(ledger: DataFrame, policy: str = "v1") -> DataFrame:
     """Per rule of a policy: documents that fail it, that only it rejects, and that pass without it. Masks are counted first, so at most 2**rules rows are left."""
     mask = POLICIES[policy]

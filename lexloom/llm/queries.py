@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from . import near_dedup, quality_rules, sharding, substring_dedup
+from . import decontamination, mixing, near_dedup, quality_rules, sharding, substring_dedup
+
+
+
+def pipeline(spark, sf_dir: str):
+    """All stages of corpus_pipeline.py, at the repository's top."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_mixing": mixing.op6_mixing,
     "op10_sharding": sharding.op10_sharding,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL = {
