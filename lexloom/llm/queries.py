@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, near_dedup, quality_rules, sharding, substring_dedup
+from . import decontamination, license_scan, mixing, near_dedup, quality_rules, sharding, substring_dedup, token_counts, url_filters, warc
 
 
 
@@ -15,10 +15,14 @@ def pipeline(spark, sf_dir: str):
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
+    "op2_warc": warc.op2_warc,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_mixing": mixing.op6_mixing,
+    "op7_url_filters": url_filters.op7_url_filters,
+    "op8_license_scan": license_scan.op8_license_scan,
+    "op9_token_counts": token_counts.op9_token_counts,
     "op10_sharding": sharding.op10_sharding,
     "pipeline": pipeline,
 }
