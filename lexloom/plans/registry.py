@@ -1,6 +1,607 @@
-"""All queries of the engine by name, each with the SQL that gives the same rows where SQL can express it."""
+"""All queries of the engine by name, each with the SQL that gives the same rows where SQL can express it.
+
+The driver tables stand in for the tables of a text-recognition service: documents for recognised texts, their
+white-space words for tokens, orders for runs, customers for uploaded files, events for stage events.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import candidates as cand
+from ..operators import catalog, errors, graph, quality, retrieval, tokens
+from ..sources.tables import table
+from ..streaming import stages
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+#: Lowest dictionary frequency: in a small corpus a word seen once has a zipf value above 3 already.
+FLOOR, VALID_FLOOR = 4.0, 4.2
+#: Added before rounding on both sides: sums in another order then can't fall on two sides of a tie.
+TIE = 1e-9
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql.replace("round(", f"round({TIE} + ")
+        return f
+
+    return register
+
+
+# ---------------------------------------------------------------- shared parts
+
+_W = r"[\p{L}\p{Nl}\p{No}]+(?:[''’\-][\p{L}\p{Nl}\p{No}]+)*"  # in an SQL string, hence the doubled quote
+
+_TOKENS = r"""tok AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, CAST((i - 1) // 400 + 1 AS BIGINT) AS page, CAST((i - 1) // 12 AS BIGINT) AS line_index, l[i] AS text,
+  ((doc_id * 31 + (i - 1) * 17) % 100) / CAST(100 AS DOUBLE) AS confidence
+  FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS l FROM documents) d, unnest(range(1, len(l) + 1)) AS r(i))"""
+
+_LEXICON = rf"""wrd AS (SELECT unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '{_W}')) AS word FROM documents WHERE lang = 'en'),
+lex AS (SELECT word, count(*) AS n, log10(count(*) / CAST((SELECT count(*) FROM wrd) AS DOUBLE) * 1e9) AS zipf FROM wrd GROUP BY word)"""
+
+_WORDS = rf"""occ AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_W}')) AS word FROM documents),
+per AS (SELECT doc_id, word, count(*) AS n FROM occ GROUP BY ALL),
+dis AS (SELECT word, replace(lower(word), 'ß', 'ss') AS folded, length(word) <= 30 AND NOT list_bool_or([contains(lower(word), repeat(c, 4)) FOR c IN string_split(lower(word), '')]) AND (length(word) = 1 OR regexp_matches(lower(word), '[aeiouy]')) AS valid,
+  length(regexp_replace(word, '[^\p{{L}}]', '', 'g')) AS letters FROM (SELECT DISTINCT word FROM per)),
+wq AS (SELECT d.doc_id, coalesce(sum(n), 0) AS n_tokens, coalesce(sum(CASE WHEN valid THEN n END), 0) AS n_valid, coalesce(sum(CASE WHEN lex.zipf >= 4.0 THEN per.n END), 0) AS n_dictionary,
+  count(DISTINCT dis.folded) AS n_distinct, sum(CASE WHEN valid THEN per.n * letters END) AS letters
+  FROM documents d LEFT JOIN (SELECT doc_id, word, n FROM per) per USING (doc_id) LEFT JOIN dis USING (word) LEFT JOIN (SELECT word AS folded, zipf FROM lex) lex ON lex.folded = dis.folded GROUP BY d.doc_id),
+wqr AS (SELECT doc_id, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(n_valid AS BIGINT) AS n_valid, CAST(n_dictionary AS BIGINT) AS n_dictionary, n_valid / nullif(n_tokens, 0) AS valid_word_ratio, n_dictionary / nullif(n_tokens, 0) AS dictionary_match_ratio,
+  letters / nullif(n_valid, 0) AS average_word_length, n_distinct / nullif(n_tokens, 0) AS vocabulary_richness FROM wq)"""
+
+_NOISE = r"""nrm AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents),
+chr AS (SELECT doc_id, i, c[i] AS c FROM (SELECT doc_id, string_split(t, '') AS c FROM nrm WHERE t <> '') s, unnest(range(1, len(c) + 1)) AS r(i)),
+fl AS (SELECT doc_id, i, c, NOT regexp_matches(c, '[\p{L}\p{N}_\s]') AS sym, lag(lower(c)) OVER w IS DISTINCT FROM lower(c) OR c = chr(10) AS fresh, lag((NOT regexp_matches(c, '[\p{L}\p{N}_\s]'))) OVER w IS DISTINCT FROM (NOT regexp_matches(c, '[\p{L}\p{N}_\s]')) AS turn FROM chr WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+gr AS (SELECT *, sum(fresh::INT) OVER w AS g, sum(turn::INT) OVER w AS h FROM fl WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ln AS (SELECT doc_id, i, c, sym, count(*) OVER (PARTITION BY doc_id, g) AS rl, count(*) OVER (PARTITION BY doc_id, h) AS sl FROM gr),
+ns AS (SELECT doc_id, count_if(rl >= 4 OR (sym AND sl >= 3)) AS n_noise, count_if(rl >= 4) AS n_artifacts FROM ln GROUP BY doc_id),
+nm AS (SELECT nrm.doc_id, CAST(length(t) AS BIGINT) AS n_chars, CAST(length(regexp_replace(t, '[\p{L}\p{N}]', '', 'g')) AS BIGINT) AS n_non_alnum, CAST(coalesce(n_noise, 0) AS BIGINT) AS n_noise, CAST(coalesce(n_artifacts, 0) AS BIGINT) AS n_artifacts FROM nrm LEFT JOIN ns USING (doc_id))"""
+
+_SCORE = rf"""{_LEXICON}, {_WORDS}, {_NOISE},
+sc AS (SELECT nm.doc_id, n_chars, round(n_noise / nullif(n_chars, 0), 4) AS noise_ratio, round(valid_word_ratio, 4) AS valid_word_ratio, round(dictionary_match_ratio, 4) AS dictionary_match_ratio,
+  CASE WHEN n_chars = 0 THEN 0.0::DOUBLE ELSE coalesce(round(100 * (coalesce(0.10::DOUBLE * valid_word_ratio, 0) + coalesce(0.08::DOUBLE * dictionary_match_ratio, 0) + 0.10::DOUBLE * (1 - n_noise / n_chars) + 0.05::DOUBLE * (1 - n_artifacts / n_chars) + 0.03::DOUBLE * (1 - n_non_alnum / n_chars))
+  / (CASE WHEN valid_word_ratio IS NULL THEN 0 ELSE 0.18::DOUBLE END + 0.18::DOUBLE), 4), 0) END AS score FROM nm JOIN wqr USING (doc_id)),
+sq AS (SELECT *, CASE WHEN score >= 80 THEN 'High Quality' WHEN score >= 60 THEN 'Medium Quality' ELSE 'Low Quality' END AS quality_class FROM sc)"""
+
+
+def _documents(spark, d):
+    return table(spark, d, "documents")
+
+
+def _tokens(spark, d):
+    return tokens.tokenize(_documents(spark, d))
+
+
+def _lexicon(spark, d):
+    return tokens.lexicon(_documents(spark, d).filter("lang = 'en'"))
+
+
+def _scores(spark, d):
+    # the tables are composed (NFC) already, so no text needs the normaliser
+    return quality.quality_scores(_documents(spark, d), _lexicon(spark, d), FLOOR, compose=False)
+
+
+def _round(df, *columns, digits=4):
+    return df.withColumns({c: F.round(TIE + F.col(c), digits) for c in columns})
+
+
+# ---------------------------------------------------------------- words, noise, score
+
+
+@query(f"WITH {_LEXICON}, {_WORDS} SELECT doc_id, n_tokens, n_valid, n_dictionary, round(valid_word_ratio, 4) AS valid_word_ratio, round(dictionary_match_ratio, 4) AS dictionary_match_ratio, round(average_word_length, 4) AS average_word_length, round(vocabulary_richness, 4) AS vocabulary_richness FROM wqr")
+def word_quality(spark, d):
+    return _round(quality.word_quality(_documents(spark, d), _lexicon(spark, d), FLOOR), "valid_word_ratio", "dictionary_match_ratio", "average_word_length", "vocabulary_richness")
+
+
+@query(f"WITH {_NOISE} SELECT doc_id, n_chars, n_non_alnum, n_noise, n_artifacts FROM nm")
+def noise_metrics(spark, d):
+    return quality.noise_metrics(_documents(spark, d), compose=False).select("doc_id", "n_chars", "n_non_alnum", "n_noise", "n_artifacts")
+
+
+@query(r"SELECT doc_id, round(length(regexp_replace(text, '[\p{L}\p{N}]', '', 'g')) / nullif(length(text), 0), 4) AS ratio FROM documents")
+def nonalnum_ratio(spark, d):
+    return _documents(spark, d).select("doc_id", F.round(TIE + T.non_alphanumeric(F.col("text")) / F.nullif(F.length("text"), F.lit(0)), 4).alias("ratio"))
+
+
+@query(f"WITH {_SCORE} SELECT doc_id, n_chars, noise_ratio, valid_word_ratio, dictionary_match_ratio, round(score, 2) AS score, quality_class FROM sq")
+def quality_score(spark, d):
+    s = _scores(spark, d).select("doc_id", "n_chars", "noise_ratio", "valid_word_ratio", "dictionary_match_ratio", "score", "quality_class")
+    return _round(_round(s, "noise_ratio", "valid_word_ratio", "dictionary_match_ratio"), "score", digits=2)
+
+
+@query(f"WITH {_SCORE}, k(quality_class) AS (VALUES ('High Quality'), ('Medium Quality'), ('Low Quality')) SELECT quality_class, count(sq.doc_id) AS n, round(count(sq.doc_id) / (SELECT count(*) FROM sq), 4) AS share FROM k LEFT JOIN sq USING (quality_class) GROUP BY quality_class")
+def quality_class_summary(spark, d):
+    return _round(quality.class_summary(_scores(spark, d)), "share")
+
+
+_DESCRIBE = "SELECT '{m}' AS metric, count(v) AS n, round(avg(v), 4) AS mean, round(median(v), 4) AS median, round(min(v), 4) AS minimum, round(max(v), 4) AS maximum, round(stddev_pop(v), 4) AS standard_deviation, round(quantile_cont(v, 0.25), 4) AS p25, round(quantile_cont(v, 0.75), 4) AS p75 FROM (SELECT CAST({m} AS DOUBLE) AS v FROM wqr)"
+
+
+@query(f"WITH {_LEXICON}, {_WORDS} " + " UNION ALL ".join(_DESCRIBE.format(m=m) for m in ("valid_word_ratio", "average_word_length", "n_tokens")))
+def metric_descriptive(spark, d):
+    q = quality.word_quality(_documents(spark, d), _lexicon(spark, d), FLOOR)
+    out = quality.descriptive(q, ["valid_word_ratio", "average_word_length", "n_tokens"])
+    return _round(out, "mean", "median", "minimum", "maximum", "standard_deviation", "p25", "p75")
+
+
+@query("""WITH e AS (SELECT CAST(min(n_chars) AS DOUBLE) AS lo, CAST(max(n_chars) AS DOUBLE) AS hi FROM documents), b AS (SELECT least(9, floor((n_chars - lo) / (hi - lo) * 10)) AS bin FROM documents, e)
+SELECT CAST(r.i AS INT) AS bin, count(b.bin) AS n FROM unnest(range(10)) AS r(i) LEFT JOIN b ON b.bin = r.i GROUP BY r.i""")
+def size_histogram(spark, d):
+    return quality.histogram(_documents(spark, d), "n_chars")
+
+
+def _labelled(spark, d):
+    n = quality.noise_metrics(_documents(spark, d), compose=False).select("doc_id", F.when(F.col("noise_ratio") > 0.02, 0).otherwise(1).alias("predicted"))
+    return table(spark, d, "labels").join(n, "doc_id").select(F.col("quality").cast("int").alias("actual"), "predicted")
+
+
+_MATRIX = f"""{_NOISE}, lb AS (SELECT CAST(quality AS INT) AS actual, CASE WHEN n_noise / nullif(n_chars, 0) > 0.02 THEN 0 ELSE 1 END AS predicted FROM labels JOIN nm USING (doc_id)),
+ls AS (SELECT actual AS l FROM lb UNION SELECT predicted FROM lb), mx AS (SELECT a.l AS actual, p.l AS predicted, count(lb.actual) AS n FROM ls a CROSS JOIN ls p LEFT JOIN lb ON lb.actual = a.l AND lb.predicted = p.l GROUP BY ALL)"""
+_CLASS = f"""{_MATRIX}, cl AS (SELECT l AS label, sum(CASE WHEN actual = l THEN n ELSE 0 END) AS own, sum(CASE WHEN predicted = l THEN n ELSE 0 END) AS got, sum(CASE WHEN actual = l AND predicted = l THEN n ELSE 0 END) AS tp, sum(n) AS total FROM ls, mx GROUP BY l),
+cm AS (SELECT label, own, tp, tp / nullif(got, 0) AS p, tp / nullif(own, 0) AS r, (total - own - got + tp) / nullif(total - own, 0) AS s FROM cl), cf AS (SELECT *, 2 * p * r / nullif(p + r, 0) AS f FROM cm)"""
+
+
+@query(f"WITH {_MATRIX} SELECT actual, predicted, n FROM mx")
+def label_confusion(spark, d):
+    return quality.confusion(_labelled(spark, d), "actual", "predicted")
+
+
+@query(f"WITH {_CLASS} SELECT label, CAST(own AS BIGINT) AS support, CAST(tp AS BIGINT) AS tp, round(p, 4) AS precision, round(r, 4) AS recall, round(f, 4) AS f1, round(s, 4) AS specificity FROM cf")
+def label_prf(spark, d):
+    m = quality.class_metrics(quality.confusion(_labelled(spark, d), "actual", "predicted"))
+    return _round(m, "precision", "recall", "f1", "specificity")
+
+
+@query(f"WITH {_CLASS} SELECT round((SELECT sum(CASE WHEN actual = predicted THEN n ELSE 0 END) / sum(n) FROM mx), 4) AS accuracy, round(avg(p), 4) AS macro_precision, round(avg(r), 4) AS macro_recall, round(avg(f), 4) AS macro_f1, round(avg(s), 4) AS macro_specificity FROM cf")
+def label_overall(spark, d):
+    return _round(quality.overall_metrics(quality.confusion(_labelled(spark, d), "actual", "predicted")), "accuracy", "macro_precision", "macro_recall", "macro_f1", "macro_specificity")
+
+
+_PROFILES = {"en": "the of and to in that is with for on", "fr": "le la de et les des un une du que", "de": "der die und das den von mit ist ein zu", "es": "el la de que y los en una por con"}
+
+
+@query(
+    rf"""WITH pr(word, lang) AS (VALUES {", ".join(f"('{w}', '{k}')" for k, v in _PROFILES.items() for w in v.split())}),
+w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{_W}')) AS word FROM documents),
+h AS (SELECT doc_id, pr.lang AS profile, count(*) AS hits FROM w JOIN pr USING (word) GROUP BY ALL),
+s AS (SELECT doc_id, profile, hits / sum(hits) OVER (PARTITION BY doc_id) AS share FROM h),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY share DESC, profile DESC) = 1)
+SELECT d.doc_id, CASE WHEN n >= 20 THEN profile END AS detected, CASE WHEN n >= 20 THEN round(coalesce(share, 0), 4) END AS share FROM (SELECT doc_id, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS n FROM documents) d LEFT JOIN b USING (doc_id)"""
+)
+def language_profile(spark, d):
+    p = spark.createDataFrame([(w, k) for k, v in _PROFILES.items() for w in v.split()], "word string, lang string")
+    return _round(quality.language_profile(_documents(spark, d), p), "share")
+
+
+# ---------------------------------------------------------------- tokens
+
+
+@query(rf"WITH {_TOKENS} SELECT CAST(r.i AS INT) AS bin, count(tok.pos) AS n FROM unnest(range(10)) AS r(i) LEFT JOIN tok ON least(9, floor(confidence * 10)) = r.i GROUP BY r.i")
+def confidence_bins(spark, d):
+    return tokens.confidence_histogram(_tokens(spark, d)).select("bin", "n")
+
+
+@query(rf"WITH {_TOKENS} SELECT doc_id, pos, text, confidence, 'confidence ' || printf('%.3f', confidence) || ' below threshold 0.200' AS reason FROM tok WHERE confidence < 0.2")
+def confidence_gate(spark, d):
+    return tokens.confidence_gate(_tokens(spark, d), 0.2).filter("decision = 'LOW'").select("doc_id", "pos", "text", "confidence", "reason")
+
+
+@query(rf"WITH {_TOKENS} SELECT doc_id, round(avg(confidence), 4) AS average, count_if(confidence < 0.9) AS n_low, count_if(confidence >= 0.9) AS n_high FROM tok GROUP BY doc_id")
+def confidence_summary(spark, d):
+    return _round(tokens.confidence_summary(_tokens(spark, d)), "average")
+
+
+@query(rf"WITH {_TOKENS}, w AS (SELECT *, greatest(1, length(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g'))) AS w FROM tok) SELECT doc_id, round(sum(confidence * w) / sum(w), 4) AS ocr_confidence, count(*) AS n_confident FROM w GROUP BY doc_id")
+def weighted_confidence(spark, d):
+    return _round(quality.weighted_confidence(_tokens(spark, d)), "ocr_confidence")
+
+
+@query(
+    rf"""WITH {_TOKENS}, f AS (SELECT *, regexp_matches(text, '\p{{L}}') AS a, regexp_matches(text, '\p{{L}}') AND length(regexp_replace(text, '[^\p{{L}}\p{{N}}_]', '', 'g')) = 1 AND lower(text) NOT IN ('a', 'i') AS s FROM tok),
+l AS (SELECT doc_id, page, line_index, count(*) AS n FROM f GROUP BY ALL), lc AS (SELECT doc_id, count_if(n >= 2) / count(*) AS coherence FROM l GROUP BY doc_id),
+p AS (SELECT doc_id, page, count(*) AS n FROM f GROUP BY ALL), pb AS (SELECT doc_id, CASE WHEN count(*) = 1 THEN 1.0::DOUBLE ELSE 1 / (1 + stddev_pop(n) / greatest(avg(n), 1)) END AS balance FROM p GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(1 - count_if(s) / nullif(count_if(a), 0), 0) AS frag FROM f GROUP BY doc_id)
+SELECT doc_id, round(frag, 4) AS fragmentation_quality, round(balance, 4) AS page_balance, round(coherence, 4) AS line_coherence, round((frag + 0 + balance + coherence) / 4, 4) AS structural_consistency FROM d JOIN pb USING (doc_id) JOIN lc USING (doc_id)"""
+)
+def structural_consistency(spark, d):
+    s = quality.structural_consistency(_tokens(spark, d)).select("doc_id", "fragmentation_quality", "page_balance", "line_coherence", "structural_consistency")
+    return _round(s, "fragmentation_quality", "page_balance", "line_coherence", "structural_consistency")
+
+
+@query(rf"WITH {_TOKENS} SELECT doc_id, pos, string_agg(text, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS context FROM tok")
+def context_window(spark, d):
+    return tokens.context_window(_tokens(spark, d)).select("doc_id", "pos", "context")
+
+
+_CHUNKS = """tr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos) - 1 AS rk FROM tok WHERE confidence >= 0.2),
+ck AS (SELECT doc_id, page, rk // 80 AS part, string_agg(text, ' ' ORDER BY pos) AS text, CAST(min(rk) AS BIGINT) AS token_start FROM tr GROUP BY ALL),
+cn AS (SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, part) - 1 AS BIGINT) AS chunk, text, token_start FROM ck)"""
+
+
+@query(f"WITH {_TOKENS}, {_CHUNKS} SELECT * FROM cn")
+def chunks(spark, d):
+    return tokens.chunks(_tokens(spark, d), 0.2)
+
+
+@query(f"WITH {_TOKENS} SELECT doc_id, page, line_index AS line, string_agg(text, ' ' ORDER BY pos) AS text, count(*) AS n_tokens FROM tok GROUP BY ALL")
+def line_regroup(spark, d):
+    return tokens.regrouped_lines(_tokens(spark, d))
+
+
+@query(
+    rf"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\S+')) AS text FROM documents), c AS (SELECT text, regexp_replace(text, '[^A-Za-z0-9''-]', '', 'g') AS c FROM w), l AS (SELECT *, regexp_replace(c, '[^A-Za-z]', '', 'g') AS a, regexp_replace(c, '[^0-9]', '', 'g') AS n FROM c)
+SELECT text, lower(c) AS clean, replace(translate(lower(text), '0158', 'olsb'), 'rn', 'm') AS canonical,
+  c = '' OR (n <> '' AND a = '') OR length(n) >= 2 OR (contains(c, '-') AND n <> '') OR (a <> '' AND NOT regexp_matches(a, '^([a-z]+|[A-Z]+|[A-Z][a-z]*)$')) AS identifier FROM l"""
+)
+def token_forms(spark, d):
+    w = _documents(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("text")).distinct()
+    t = F.col("text")
+    return w.select("text", T.clean_word(t).alias("clean"), T.ocr_canonical(t).alias("canonical"), T.looks_like_identifier(t).alias("identifier"))
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey AS page, l_linenumber AS id, l_quantity AS x1, l_extendedprice / 100 AS y1, l_quantity + 10 + l_tax * 100 AS x2 FROM lineitem),
+p AS (SELECT page, count(*) AS n, median(x2 - x1) AS w, max(x2) AS x FROM r GROUP BY page),
+c AS (SELECT r.*, n >= 4 AND w < 0.65 * x AS two, CASE WHEN n >= 4 AND w < 0.65 * x AND (x1 + x2) / 2 >= x / 2 THEN 1 ELSE 0 END AS col FROM r JOIN p USING (page))
+SELECT page, id, CAST(col AS INT) AS "column", CAST(row_number() OVER (PARTITION BY page ORDER BY col, y1, CASE WHEN NOT two THEN x1 END, id) AS INT) AS reading_order FROM c"""
+)
+def reading_order(spark, d):
+    r = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("id"), F.col("l_quantity").alias("x1"), (F.col("l_extendedprice") / 100).alias("y1"), (F.col("l_quantity") + 10 + F.col("l_tax") * 100).alias("x2"), F.lit(0.0).alias("y2"))
+    return tokens.reading_order(r).select("page", "id", "column", "reading_order")
+
+
+@query(r"SELECT page_id AS doc_id, CASE WHEN length(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '^\s+|\s+$', '', 'g')) > 30 THEN 'digital_pdf' ELSE 'scanned' END AS kind FROM pages")
+def page_text_rule(spark, d):
+    p = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.regexp_replace("html", "<[^>]*>", "").alias("text"))
+    return tokens.page_kind(p)
+
+
+# ---------------------------------------------------------------- candidates and decisions
+
+_POOL = rf"{_LEXICON}, pool AS (SELECT word AS value FROM lex WHERE n >= 20 AND regexp_matches(word, '^[a-z]{{4,16}}$')), qry AS (SELECT word AS query FROM lex WHERE n < 3 AND regexp_matches(word, '^[a-z]{{4,16}}$'))"
+
+
+def _word_sets(spark, d):
+    lex = _lexicon(spark, d).filter("word rlike '^[a-z]{4,16}$'")
+    return lex.filter("n < 3 and n > 0").select(F.col("word").alias("query")), lex.filter("n >= 20").select(F.col("word").alias("value"))
+
+
+@query(f"WITH {_POOL} SELECT query, value, CAST(levenshtein(query, value) AS INT) AS edits FROM qry, pool WHERE query <> value AND abs(length(query) - length(value)) <= 2 AND levenshtein(query, value) <= 2")
+def edit_pairs(spark, d):
+    q, p = _word_sets(spark, d)
+    return cand.edit_pairs(q, p).filter("edits <= 2")
+
+
+@query(f"WITH {_POOL} SELECT query, value FROM (SELECT query, replace(translate(query, '0158', 'olsb'), 'rn', 'm') AS c FROM qry) q JOIN (SELECT value, replace(translate(value, '0158', 'olsb'), 'rn', 'm') AS c FROM pool) p USING (c) WHERE query <> value")
+def canonical_candidates(spark, d):
+    q, p = _word_sets(spark, d)
+    c = T.ocr_canonical
+    return q.withColumn("c", c(F.col("query"))).join(p.withColumn("c", c(F.col("value"))), "c").filter("query <> value").select("query", "value")
+
+
+def _ranked(spark, d):
+    q, _ = _word_sets(spark, d)
+    return cand.ranked_candidates(q, _lexicon(spark, d).filter("n >= 20 or is_domain"), floor=VALID_FLOOR)
+
+
+@query()
+def fuzzy_candidates(spark, d):
+    return _ranked(spark, d)
+
+
+@query()
+def calibrated_confidence(spark, d):
+    return cand.calibrated_confidence(_tokens(spark, d), _ranked(spark, d)).filter("candidate is not null").select("doc_id", "pos", "text", "confidence", "candidate", "effective_confidence")
+
+
+def _sets(spark, d):
+    return cand.candidate_sets(_tokens(spark, d), _ranked(spark, d))
+
+
+@query()
+def validate_decisions(spark, d):
+    sets = _sets(spark, d)
+    return cand.validate_decisions(sets, cand.decide(sets), _lexicon(spark, d).filter("n >= 20 or is_domain"), VALID_FLOOR)
+
+
+@query()
+def trace_join(spark, d):
+    sets = _sets(spark, d)
+    dec = cand.decide(sets)
+    return cand.trace(cand.validate_decisions(sets, dec, _lexicon(spark, d).filter("n >= 20 or is_domain"), VALID_FLOOR), sets, dec)
+
+
+@query(f"WITH {_TOKENS} SELECT doc_id, string_agg(CASE WHEN pos % 10 = 0 THEN '[' || text || ']' ELSE text END, ' ' ORDER BY pos) AS text, count_if(pos % 10 = 0) AS n_changed FROM tok GROUP BY doc_id")
+def corrected_text(spark, d):
+    t = _tokens(spark, d)
+    v = t.filter("pos % 10 = 0").select("doc_id", "pos", F.concat(F.lit("["), "text", F.lit("]")).alias("final"), F.lit("ACCEPTED").alias("status"))
+    return cand.corrected_text(t, v)
+
+
+# ---------------------------------------------------------------- error rates
+
+_PAIRS = r"""pr AS (SELECT conv_id * 1000 + turn AS id, text AS reference, replace(replace(text, 'th', 'tn'), 'e', 'c') AS hypothesis, replace(text, 'th', 'tn') AS corrected FROM conversations WHERE regexp_full_match(text, '[ -~]+') AND NOT regexp_matches(text, '^ | $|  '))"""
+
+
+def _pairs(spark, d):
+    c = table(spark, d, "conversations").filter("text rlike '^[ -~]+$' and not text rlike '^ | $|  '")
+    a = F.replace("text", F.lit("th"), F.lit("tn"))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("reference"), F.replace(a, F.lit("e"), F.lit("c")).alias("hypothesis"), a.alias("corrected"))
+
+
+@query(f"WITH {_PAIRS} SELECT id, CAST(levenshtein(hypothesis, reference) AS BIGINT) AS char_distance, round(levenshtein(hypothesis, reference) / greatest(1, length(reference)), 4) AS cer_raw FROM pr")
+def char_error_rate(spark, d):
+    return _round(errors.raw_error_rates(_pairs(spark, d)), "cer_raw")
+
+
+@query(f"WITH {_PAIRS} SELECT id, CAST(levenshtein(hypothesis, reference) AS BIGINT) AS distance, length(reference) AS reference_length, round(levenshtein(hypothesis, reference) / nullif(length(reference), 0), 4) AS cer_eval FROM pr")
+def eval_error_rate(spark, d):
+    r = errors.eval_error_rates(_pairs(spark, d), compose=False)
+    return r.select("id", "char_counts.distance", "char_counts.reference_length", F.round(TIE + F.col("cer_eval"), 4).alias("cer_eval"))
+
+
+@query(f"WITH {_PAIRS} SELECT count(*) AS n, round(sum(levenshtein(hypothesis, reference)) / sum(length(reference)), 4) AS micro_cer, round(avg(levenshtein(hypothesis, reference) / length(reference)), 4) AS macro_cer FROM pr")
+def micro_macro_error(spark, d):
+    return _round(errors.micro_macro(errors.eval_error_rates(_pairs(spark, d), compose=False)).select("n", "micro_cer", "macro_cer"), "micro_cer", "macro_cer")
+
+
+def _triples(spark, d):
+    return _pairs(spark, d).select("id", "reference", F.col("hypothesis").alias("baseline"), "corrected")
+
+
+@query()
+def correction_events(spark, d):
+    return errors.correction_events(_triples(spark, d), compose=False)
+
+
+@query(f"WITH {_PAIRS}, o AS (SELECT levenshtein(lower(hypothesis), lower(reference)) AS b, levenshtein(lower(corrected), lower(reference)) AS a FROM pr) SELECT CASE WHEN a < b THEN 'IMPROVED' WHEN a > b THEN 'WORSENED' ELSE 'UNCHANGED' END AS outcome, count(*) AS n FROM o GROUP BY 1")
+def outcome_summary(spark, d):
+    e = errors.correction_events(_triples(spark, d), compose=False)
+    return errors.outcomes(e.select("id", "cer_before", "cer_after")).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- retrieval
+
+_GRAM = r"list_concat(w, [w[j] || ' ' || w[j + 1] FOR j IN range(1, len(w))])"
+
+
+@query(
+    rf"""WITH {_TOKENS}, {_CHUNKS},
+cx AS (SELECT doc_id, pos AS query_id, string_agg(text, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS text FROM tok QUALIFY pos % 250 = 0),
+pg AS (SELECT doc_id, chunk, unnest({_GRAM}) AS g FROM (SELECT doc_id, chunk, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM cn)), pt AS (SELECT doc_id, chunk, g, count(*) AS tf FROM pg GROUP BY ALL),
+nn AS (SELECT doc_id, count(*) AS n FROM cn GROUP BY doc_id), df AS (SELECT doc_id, g, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM pt JOIN nn USING (doc_id) GROUP BY doc_id, g),
+pw AS (SELECT doc_id, chunk, g, tf * idf AS w FROM pt JOIN df USING (doc_id, g)), pn AS (SELECT doc_id, chunk, sqrt(sum(w * w)) AS norm FROM pw GROUP BY ALL),
+qg AS (SELECT doc_id, query_id, unnest({_GRAM}) AS g FROM (SELECT doc_id, query_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM cx)), qt AS (SELECT doc_id, query_id, g, count(*) AS tf FROM qg GROUP BY ALL),
+qw AS (SELECT doc_id, query_id, g, tf * idf AS q FROM qt JOIN df USING (doc_id, g)), qn AS (SELECT doc_id, query_id, sqrt(sum(q * q)) AS qnorm FROM qw GROUP BY ALL),
+sc AS (SELECT doc_id, query_id, chunk, round(sum(q * w) / (any_value(norm) * any_value(qnorm)), 6) AS score FROM qw JOIN pw USING (doc_id, g) JOIN pn USING (doc_id, chunk) JOIN qn USING (doc_id, query_id) GROUP BY doc_id, query_id, chunk)
+SELECT doc_id, query_id, chunk, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY doc_id, query_id ORDER BY score DESC, chunk DESC) AS INT) AS rank FROM sc QUALIFY rank <= 3"""
+)
+def tfidf_topk(spark, d):
+    t = _tokens(spark, d)
+    q = tokens.context_window(t).filter("pos % 250 = 0").select("doc_id", F.col("pos").alias("query_id"), F.col("context").alias("text"))
+    return _round(retrieval.tfidf_topk(q, tokens.chunks(t, 0.2)), "score")
+
+
+@query(
+    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT vec_id, v, sqrt(list_sum([x * x FOR x IN v])) AS n FROM e),
+p AS (SELECT q.vec_id AS query_id, u.vec_id, round(list_inner_product(q.v, u.v) / (q.n * u.n), 6) AS score FROM u q, u WHERE q.vec_id % 50 = 0)
+SELECT query_id, vec_id, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM p QUALIFY rank <= 3"""
+)
+def dense_topk(spark, d):
+    e = table(spark, d, "embeddings")
+    return _round(retrieval.dense_topk(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e), "score")
+
+
+# ---------------------------------------------------------------- graph: common words stand in for a domain's terms
+
+_ENTITIES = [("The", "Word", "the", 0), ("Of The", "Pair", "of the", 1), ("And", "Word", "and", 2), ("That Is", "Pair", "that is", 3), ("For", "Word", "for", 4), ("In The And", "Triple", "in the and", 5)]
+_RELATIONS = [("The", "NEAR", "And", 0), ("Of The", "PART_OF", "The", 1), ("That Is", "DEFINES", "For", 2)]
+
+
+def _specs(spark):
+    e = spark.createDataFrame([(a, k, w.split(), i) for a, k, w, i in _ENTITIES], "label string, type string, parts array<string>, ordinal int")
+    return e, spark.createDataFrame(_RELATIONS, "source string, relation string, target string, ordinal int")
+
+
+_NODES = rf"""sp(label, type, p1, p2, p3, ordinal) AS (VALUES {", ".join("('%s', '%s', %s, %d)" % (a, k, ", ".join(f"'{x}'" if x else "NULL" for x in (w.split() + [None, None])[:3]), i) for a, k, w, i in _ENTITIES)}),
+tt AS (SELECT *, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS k FROM tok WHERE confidence >= 0.2), tl AS (SELECT *, lead(k, 1) OVER w AS k2, lead(k, 2) OVER w AS k3 FROM tt WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+mn AS (SELECT doc_id, label, type, ordinal, pos, page, confidence FROM tl JOIN sp ON k = p1 AND (p2 IS NULL OR p2 = k2) AND (p3 IS NULL OR p3 = k3)),
+nd AS (SELECT doc_id, label, type, ordinal, count(DISTINCT pos) AS mentions, min(confidence) AS confidence, doc_id || ':' || replace(lower(label), ' ', '-') AS node_id, count(DISTINCT page) AS n_pages FROM mn GROUP BY ALL)"""
+_EDGES = rf"""rl(source, relation, target, ordinal) AS (VALUES {", ".join(f"('{a}', '{r}', '{b}', {i})" for a, r, b, i in _RELATIONS)}),
+ed AS (SELECT a.doc_id, a.node_id AS source, relation, b.node_id AS target, rl.ordinal FROM rl JOIN nd a ON a.label = rl.source JOIN nd b ON b.label = rl.target AND b.doc_id = a.doc_id)"""
+
+
+def _nodes(spark, d):
+    return graph.entity_nodes(graph.phrase_mentions(_tokens(spark, d), _specs(spark)[0], 0.2))
+
+
+@query(f"WITH {_TOKENS}, {_NODES} SELECT doc_id, label, type, mentions, confidence, node_id, n_pages FROM nd")
+def phrase_entities(spark, d):
+    return _nodes(spark, d).select("doc_id", "label", "type", "mentions", "confidence", "node_id", F.size("pages").cast("long").alias("n_pages"))
+
+
+@query(f"WITH {_TOKENS}, {_NODES}, {_EDGES} SELECT * FROM ed")
+def graph_edges(spark, d):
+    return graph.graph_edges(_nodes(spark, d), _specs(spark)[1])
+
+
+@query(
+    f"""WITH RECURSIVE {_TOKENS}, {_NODES}, {_EDGES}, bt AS (SELECT doc_id, source AS x, target AS y FROM ed UNION SELECT doc_id, target, source FROM ed),
+rc AS (SELECT doc_id, node_id AS x, node_id AS y FROM nd UNION SELECT rc.doc_id, rc.x, bt.y FROM rc JOIN bt ON bt.doc_id = rc.doc_id AND bt.x = rc.y),
+lo AS (SELECT rc.doc_id, rc.x, min(nd.ordinal) AS root FROM rc JOIN nd ON nd.node_id = rc.y AND nd.doc_id = rc.doc_id GROUP BY ALL)
+SELECT nd.doc_id, 'doc:' || nd.doc_id AS source, 'MENTIONS' AS relation, nd.node_id AS target FROM nd JOIN lo ON lo.doc_id = nd.doc_id AND lo.x = nd.node_id WHERE nd.ordinal = root"""
+)
+def graph_anchor(spark, d):
+    n = _nodes(spark, d)
+    return graph.anchor_edges(n, graph.graph_edges(n, _specs(spark)[1]))
+
+
+@query(
+    f"""WITH {_TOKENS}, {_NODES}, {_EDGES}, ht AS (SELECT DISTINCT t.doc_id, lower(t.text) AS value, nd.node_id FROM tok t JOIN nd ON nd.doc_id = t.doc_id AND lower(nd.label) = lower(t.text) WHERE t.confidence < 0.1)
+SELECT doc_id, value, node_id, relation, other FROM (SELECT ht.*, relation, target AS other FROM ht JOIN ed ON ed.source = ht.node_id AND ed.doc_id = ht.doc_id UNION SELECT ht.*, relation, source FROM ht JOIN ed ON ed.target = ht.node_id AND ed.doc_id = ht.doc_id)"""
+)
+def graph_evidence(spark, d):
+    n = _nodes(spark, d)
+    c = _tokens(spark, d).filter("confidence < 0.1").select("doc_id", F.lower("text").alias("value")).distinct()
+    return graph.graph_evidence(c, n, graph.graph_edges(n, _specs(spark)[1]))
+
+
+def _order_tokens(spark, d):
+    o = table(spark, d, "orders")
+    name = F.concat(F.lit("ORD-"), F.year("o_orderdate"), F.lit("-"), F.col("o_orderkey"))
+    return o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pos"), F.lit(1).cast("long").alias("page"), name.alias("text"), (F.pmod("o_orderkey", F.lit(10)) / 10.0).alias("confidence"))
+
+
+@query("SELECT o_custkey AS doc_id, 'ORD-' || year(o_orderdate) || '-' || o_orderkey AS label, count(*) AS mentions, min((o_orderkey % 10) / 10::DOUBLE) AS confidence FROM orders WHERE (o_orderkey % 10) / 10::DOUBLE >= 0.5 GROUP BY ALL")
+def reference_ids(spark, d):
+    return graph.reference_ids(_order_tokens(spark, d), 0.5).drop("pages")
+
+
+@query(
+    """WITH o AS (SELECT o_custkey, o_orderdate, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders)
+SELECT o_custkey AS doc_id, day(o_orderdate) || ' ' || monthname(o_orderdate) || ' ' || year(o_orderdate) AS label, CAST(o_orderkey * 3 + 1 AS BIGINT) AS pos FROM o WHERE rn = 1"""
+)
+def date_entities(spark, d):
+    o = table(spark, d, "orders")
+    parts = F.posexplode(F.array(F.day("o_orderdate").cast("string"), F.date_format("o_orderdate", "MMMM"), F.year("o_orderdate").cast("string"))).alias("k", "text")
+    t = o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("base"), parts).select("doc_id", (F.col("base") * 3 + F.col("k")).alias("pos"), "text", F.lit(1.0).alias("confidence"))
+    return graph.date_entities(t)
+
+
+# ---------------------------------------------------------------- runs, documents, events
+
+_RUNS = "rn AS (SELECT o_orderkey AS id, o_custkey AS document_id, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'RUNNING' ELSE 'QUEUED' END AS status, o_orderdate AS created_at, o_orderdate AS updated_at, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE o_orderpriority END AS text, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 50 END AS n_tokens FROM orders)"
+
+
+def _runs(spark, d):
+    o = table(spark, d, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("id"),
+        F.col("o_custkey").alias("document_id"),
+        F.when(F.col("o_orderstatus") == "F", "COMPLETED").when(F.col("o_orderstatus") == "O", "RUNNING").otherwise("QUEUED").alias("status"),
+        F.col("o_orderdate").alias("created_at"),
+        F.col("o_orderdate").alias("updated_at"),
+        F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(F.col("o_orderpriority")).alias("text"),
+        F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey") % 50).alias("n_tokens"),
+    )
+
+
+def _files(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+
+
+@query(f"WITH {_RUNS} SELECT rn.id, document_id, status, c_name AS name FROM rn JOIN customer ON c_custkey = document_id")
+def run_catalog_join(spark, d):
+    return catalog.run_catalog(_runs(spark, d), _files(spark, d)).select("id", "document_id", "status", "name")
+
+
+@query(
+    f"""WITH {_RUNS}, v AS (SELECT *, status = 'COMPLETED' AND length(trim(text)) > 0 AS ok FROM rn), k AS (SELECT *, row_number() OVER (PARTITION BY document_id, ok ORDER BY updated_at DESC, id) AS r FROM v)
+SELECT id, document_id, CASE WHEN status <> 'COMPLETED' THEN 'not completed' WHEN NOT ok THEN 'no text' WHEN r > 1 THEN 'duplicate: an older run of the document' END AS reason, ok AND r = 1 AS chosen FROM k"""
+)
+def latest_run(spark, d):
+    return catalog.latest_runs(_runs(spark, d)).select("id", "document_id", "reason", "chosen")
+
+
+@query(f"WITH {_RUNS} SELECT count(*) AS runs, CAST(coalesce(sum(n_tokens), 0) AS BIGINT) AS n_tokens FROM rn WHERE status = 'COMPLETED'")
+def run_totals(spark, d):
+    return catalog.run_totals(_runs(spark, d))
+
+
+@query(f"WITH {_RUNS} SELECT id, CASE WHEN status IN ('RUNNING', 'QUEUED') THEN 'FAILED' ELSE status END AS status FROM rn")
+def orphan_sweep(spark, d):
+    return catalog.orphan_sweep(_runs(spark, d)).select("id", "status")
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def missing_runs(spark, d):
+    return catalog.missing_runs(_files(spark, d), _runs(spark, d))
+
+
+@query(f"WITH {_RUNS} SELECT status, count(*) AS n FROM rn GROUP BY status")
+def status_counts(spark, d):
+    return catalog.status_counts(_runs(spark, d))
+
+
+@query(
+    f"""WITH {_RUNS} SELECT rn.id AS run_id, document_id, CASE WHEN rn.id % 5 = 0 THEN 'by run' WHEN document_id % 4 = 0 THEN 'by document' WHEN document_id % 3 = 0 THEN 'by name' WHEN document_id % 11 = 0 THEN 'file' END AS truth,
+CASE WHEN rn.id % 5 = 0 THEN 'supplied_run' WHEN document_id % 4 = 0 THEN 'supplied_document' WHEN document_id % 3 = 0 THEN 'supplied_name' WHEN document_id % 11 = 0 THEN 'file_document' ELSE 'missing' END AS truth_source FROM rn JOIN customer ON c_custkey = document_id"""
+)
+def truth_resolution(spark, d):
+    f = _files(spark, d).select(F.col("id").alias("document_id"), "name")
+    r = _runs(spark, d).join(f, "document_id").select(F.concat(F.lit("run-"), F.col("id")).alias("run_id"), F.concat(F.lit("doc-"), F.col("document_id")).alias("document_id"), "name")
+    supplied = r.filter(F.regexp_extract("run_id", r"\d+", 0).cast("long") % 5 == 0).select(F.col("run_id").alias("key"), F.lit("by run").alias("text"))
+    number = F.col("id")
+    files = _files(spark, d)
+    supplied = supplied.union(files.filter(number % 4 == 0).select(F.concat(F.lit("doc-"), "id"), F.lit("by document"))).union(files.filter(number % 3 == 0).select("name", F.lit("by name"))).union(files.filter(number % 2 == 0).select(F.concat(F.lit("none-"), "id"), F.lit(" ")))
+    on_disk = files.filter(number % 11 == 0).select(F.concat(F.lit("doc-"), "id").alias("stem"), F.lit("file").alias("text"))
+    out = catalog.resolve_truth(r, supplied, on_disk)
+    strip = lambda c: F.regexp_extract(c, r"\d+", 0).cast("long")
+    return out.select(strip("run_id").alias("run_id"), strip("document_id").alias("document_id"), "truth", "truth_source")
+
+
+@query("SELECT o_orderkey AS id, sha256('{\"id\":' || o_orderkey || ',\"status\":\"' || o_orderstatus || '\",\"priority\":\"' || o_orderpriority || '\"}') AS signature FROM orders")
+def input_signature(spark, d):
+    o = table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), catalog.signature(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))).alias("signature"))
+
+
+@query("SELECT o_orderpriority AS input_format, count(*) AS n, round(avg(o_totalprice), 2) AS mean_price, round(sum(o_totalprice), 2) AS sum_price FROM orders GROUP BY ROLLUP (o_orderpriority)")
+def report_rollup(spark, d):
+    r = table(spark, d, "orders").select(F.col("o_orderpriority").alias("input_format"), F.col("o_totalprice").alias("price"))
+    return _round(catalog.report_rollup(r, "input_format", ["price"], ["price"]), "mean_price", "sum_price", digits=2)
+
+
+@query(
+    """WITH m AS (SELECT item_id, item_id % 3 > 0 AS challenging, CASE WHEN item_id % 3 > 0 THEN 2 ELSE 0 END AS n, split_part(text, ' ', 1) AS intended, '@@' AS rendered, text FROM benchmark)
+SELECT 'row_count' AS "check", count(*) = 40 AS ok FROM m UNION ALL SELECT 'unique_ids', count(*) = count(DISTINCT item_id) FROM m UNION ALL SELECT 'events_where_challenging', bool_and((n > 0) = challenging) FROM m
+UNION ALL SELECT 'intended_in_truth', bool_and(contains(text, intended)) FROM m UNION ALL SELECT 'rendered_not_in_truth', bool_and(NOT contains(text, rendered)) FROM m
+UNION ALL SELECT 'id_set', count(*) = 0 FROM ((SELECT item_id FROM m EXCEPT SELECT i FROM range(40) r(i)) UNION ALL (SELECT i FROM range(40) r(i) EXCEPT SELECT item_id FROM m))"""
+)
+def dataset_checks(spark, d):
+    b = table(spark, d, "benchmark")
+    m = b.select(F.col("item_id").alias("document_id"), (F.col("item_id") % 3 > 0).alias("challenging"), F.when(F.col("item_id") % 3 > 0, 2).otherwise(0).alias("n_events"), F.split_part("text", F.lit(" "), F.lit(1)).alias("intended"), F.lit("@@").alias("rendered"), F.col("text").alias("truth"))
+    return catalog.dataset_checks(m, 40, spark.range(40).select(F.col("id").alias("document_id")))
+
+
+@query("SELECT item_id AS document_id, CASE WHEN item_id % 4 = 0 THEN 'ACTUALLY_RUN' ELSE 'NOT_RUN' END AS execution_status FROM benchmark")
+def status_upsert(spark, d):
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("document_id"), F.lit("NOT_RUN").alias("execution_status"))
+    return catalog.upsert_status(b, b.filter("document_id % 4 = 0").select("document_id", F.lit("ACTUALLY_RUN").alias("execution_status")))
+
+
+@query(
+    """SELECT l_orderkey AS run_id, count_if(l_linestatus = 'F' AND l_returnflag <> 'R') AS done, count_if(l_returnflag = 'R') AS failed, count_if(l_linestatus = 'O' AND l_returnflag = 'A') AS waiting,
+CAST(min(CASE WHEN l_linestatus = 'O' AND l_returnflag = 'N' THEN l_linenumber END) AS INT) AS active, round(sum(l_extendedprice), 2) AS runtime_ms FROM lineitem GROUP BY l_orderkey"""
+)
+def stage_progress(spark, d):
+    li = table(spark, d, "lineitem")
+    s = F.when(F.col("l_returnflag") == "R", "FAILED").when(F.col("l_linestatus") == "F", "COMPLETED").when(F.col("l_returnflag") == "A", "WAITING").when(F.col("l_returnflag") == "N", "RUNNING")
+    return _round(catalog.stage_progress(li.select(F.col("l_orderkey").alias("run_id"), s.alias("status"), F.col("l_linenumber").alias("number"), F.col("l_extendedprice").alias("runtime_ms"))), "runtime_ms", digits=2)
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, arg_max(value, (ts, event_id)) AS value, count(*) AS n_events, max(ts) AS last_ts FROM events GROUP BY user_id")
+def event_state(spark, d):
+    return stages.latest_state(table(spark, d, "events"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    return _round(stages.windowed_counts(table(spark, d, "events")), "total", digits=2)
+
+
+@query("SELECT l_orderkey AS doc_id, list_sort(list_distinct(list(l_returnflag))) AS operations FROM lineitem GROUP BY l_orderkey")
+def distinct_operations(spark, d):
+    p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.array("l_returnflag").alias("operations"))
+    return catalog.distinct_operations(p)
+
+
+@query("SELECT p_type AS category, CASE WHEN contains(lower(p_type), 'medical') THEN 'medical' WHEN regexp_matches(lower(p_type), 'invoice|receipt|financial') THEN 'financial' ELSE 'general' END AS domain, count(*) AS n FROM part GROUP BY ALL")
+def domain_rule(spark, d):
+    p = table(spark, d, "part").select(F.col("p_type").alias("category"))
+    return p.groupBy("category").agg(F.count("*").alias("n")).select("category", T.domain_for(F.col("category")).alias("domain"), "n")
