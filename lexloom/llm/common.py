@@ -133,11 +133,11 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int
             at = int(starts[i])
             j = int(np.searchsorted(ends, at + SLICE_BYTES, side="right"))
             if j <= i:  # one span longer than a slice: fold it slice by slice
-                h, step = 0, SLICE_BYTES
-                for k in range(at, int(ends[i]), step):
-                    part = buf[k : min(k + step, int(ends[i]))].astype(np.uint64) + np.uint64(1)
+                h = 0
+                for k in range(at, int(ends[i]), SLICE_BYTES):
+                    part = buf[k : min(k + SLICE_BYTES, int(ends[i]))].astype(np.uint64) + np.uint64(1)
                     s = int((part * power[: len(part)]).sum(dtype=np.uint64))
-                    h = (h * pow(base, step, 1 << 64) + s) & _MASK
+                    h = (h + s * pow(base, k - at, 1 << 64)) & _MASK
                 out[i] = h
                 i += 1
                 continue
