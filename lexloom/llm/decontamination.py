@@ -49,12 +49,13 @@ def slots(text: Column) -> Column:
 
 
 def _windows(words: str, size: int) -> str:
-    gets = ", ".join(f"get({words}, i + {j})" for j in range(size))
-    return f"case when size({words}) < {size} then array() else transform(sequence(0, size({words}) - {size}), i -> xxhash64({size}, {gets})) end"
+    gets = ", ".join(f"get(w, i + {j})" for j in range(size))
+    # the words are bound to a variable, so that no optimizer rule can move their expression into the inner lambda
+    return f"element_at(transform(array({words}), w -> case when size(w) < {size} then array() else transform(sequence(0, size(w) - {size}), i -> xxhash64({size}, {gets})) end), 1)"
 
 
 def _placeholders(words: str) -> str:
-    return f"filter(sequence(0, size({words}) - 1), i -> get({words}, i) rlike '^⟨')"
+    return f"element_at(transform(array({words}), w -> filter(sequence(0, size(w) - 1), i -> get(w, i) rlike '^⟨')), 1)"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.6) -> DataFrame:

@@ -47,17 +47,24 @@ def _with_words(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("__words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _SPACE)))
 
 
-def _repeat_words(words: str = "__words") -> list[tuple[str, str]]:
-    """Columns that lead to n_repeat_words, each from those before it."""
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``value`` computed once and named. Inside a lambda a column's expression would be computed again
+    for every element, once the optimizer has moved it there; a variable is not."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _repeat_words(words: str = "__words") -> str:
+    """SQL for the number of words in 3-word windows that occur more than once in ``words``."""
     low = (1 << 31) - 1
-    at = f"cast(x & {low}L as int)"
-    return [
-        ("__packed", f"sort_array(transform(sequence(0, greatest(size({words}) - 3, 0)), i -> (xxhash64(get({words}, i), get({words}, i + 1), get({words}, i + 2)) & {~low}L) | i))"),
-        ("__near", f"filter(__packed, (x, k) -> shiftright(x, 31) <=> shiftright(get(__packed, k - 1), 31) or shiftright(x, 31) <=> shiftright(get(__packed, k + 1), 31))"),
-        ("__again", f"case when size({words}) < 3 or size(__near) = 0 then null else array_sort(transform(__near, x -> struct(xxhash64(get({words}, {at}), get({words}, {at} + 1), get({words}, {at} + 2)) as h, {at} as p))) end"),
-        ("__spots", "array_sort(transform(filter(__again, (x, k) -> x.h <=> get(__again, k - 1).h or x.h <=> get(__again, k + 1).h), x -> x.p))"),
-        ("n_repeat_words", "coalesce(aggregate(transform(__spots, (p, k) -> least(3, coalesce(get(__spots, k + 1) - p, 3))), 0L, (a, x) -> a + x), 0L)"),
-    ]
+    window = lambda at: f"xxhash64(get(w, {at}), get(w, {at} + 1), get(w, {at} + 2))"
+    packed = f"sort_array(transform(sequence(0, size(w) - 3), i -> ({window('i')} & {~low}L) | i))"
+    near = "filter(s, (x, k) -> shiftright(x, 31) <=> shiftright(get(s, k - 1), 31) or shiftright(x, 31) <=> shiftright(get(s, k + 1), 31))"
+    again = f"array_sort(transform(n, x -> struct({window(f'cast(x & {low}L as int)')} as h, cast(x & {low}L as int) as p)))"
+    spots = "array_sort(transform(filter(r, (x, k) -> x.h <=> get(r, k - 1).h or x.h <=> get(r, k + 1).h), x -> x.p))"
+    total = "aggregate(transform(t, (p, k) -> least(3, coalesce(get(t, k + 1) - p, 3))), 0L, (a, x) -> a + x)"
+    exact = _let("r", again, _let("t", spots, total))
+    found = _let("s", packed, _let("n", near, f"case when size(n) = 0 then 0L else {exact} end"))
+    return _let("w", words, f"case when size(w) < 3 then 0L else {found} end")
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -74,9 +81,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
         }
     )
-    for name, sql in _repeat_words():
-        df = df.withColumn(name, F.expr(sql))
-    return df.drop("__text", "__words", "__lines", "__packed", "__near", "__again", "__spots")
+    return df.withColumn("n_repeat_words", F.expr(_repeat_words())).drop("__text", "__words", "__lines")
 
 
 def quality_ledger(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -95,7 +100,7 @@ def passing_documents(docs: DataFrame, policy: str) -> DataFrame:
     """The rows of ``docs`` that a policy lets pass.
 
     The row number is there because it is not deterministic: the optimizer can't move the
-    filter below the measurements, where it would compute them once for every use.
+    filter below the measurements, where each use would compute them again.
     """
     ledger = quality_ledger(docs).withColumn("__row", F.monotonically_increasing_id())
     return ledger.filter(passes(policy) & (F.col("__row") >= 0)).select(docs.columns)
