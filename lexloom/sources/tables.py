@@ -15,11 +15,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def scan_uploads(spark: SparkSession, folder: str) -> DataFrame:
-    """Files with media type, size, digest and an HTTP-like status; contents stay where they are until asked for."""
+    """Files with media type, size, digest and an HTTP-like status; empty files give no row."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     media = F.create_map(*[F.lit(x) for kv in K.MEDIA_TYPES.items() for x in kv])[suffix]
-    status = F.when(media.isNull(), 415).when(F.col("length") > K.MAX_UPLOAD, 413).when(F.col("length") == 0, 422).otherwise(201)
+    start = F.hex(F.substring("content", 1, 4))
+    decodable = F.when(suffix == ".pdf", start == "25504446").when(suffix == ".png", start == "89504E47").when(suffix.isin(".jpg", ".jpeg"), start.startswith("FFD8")).otherwise(start.isin("49492A00", "4D4D002A"))
+    status = F.when(media.isNull(), 415).when(F.col("length") > K.MAX_UPLOAD, 413).when(~decodable, 422).otherwise(201)
     return f.select("path", media.alias("media_type"), F.col("length").alias("size"), status.alias("status"), F.sha2("content", 256).alias("sha256"))
 
 
