@@ -41,6 +41,8 @@ from . import common as C
 
 #: Values kept in a sketch, standard deviations of slack.
 SKETCH, SLACK = 192, 4.0
+#: Parts that a hot class or component is dealt into where its label is joined.
+SALTS = 16
 #: Documents and shingles that one chunk of a cluster holds at most (one document may hold more).
 CHUNK_DOCS, CHUNK_SHINGLES = 768, 400_000
 
@@ -457,8 +459,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k
     # the label of a component is its smallest doc_id; hot classes are dealt over salts
     classes = members.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     classes = classes.join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-    classes = classes.join(classes.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
-    return _labelled(members, classes)
+    classes = classes.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    roots = classes.groupBy("label").agg(F.min("least").alias("component_id")).withColumn("salt", _every_salt())
+    return _labelled(members, classes.join(roots, ["label", "salt"]).select("node", "component_id"))
 
 
 def _between(many, placed, sets, links, k, threshold, slack, tasks) -> DataFrame:
@@ -475,10 +478,14 @@ def _between(many, placed, sets, links, k, threshold, slack, tasks) -> DataFrame
     return rows.repartition(tasks, "centre", "chunk", "block").sortWithinPartitions("centre", "chunk", "block", F.desc("query")).mapInArrow(_across(k, threshold, slack), "a long, b long")
 
 
-def _labelled(members: DataFrame, classes: DataFrame, salts: int = 16) -> DataFrame:
+def _every_salt():
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+
+
+def _labelled(members: DataFrame, classes: DataFrame) -> DataFrame:
     """A class may hold a third of all documents, so its row is dealt over salts."""
-    spread = classes.select("node", "component_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    rows = members.withColumn("salt", F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).cast("int"))
+    spread = classes.select("node", "component_id", _every_salt().alias("salt"))
+    rows = members.withColumn("salt", F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).cast("int"))
     out = rows.join(spread, ["node", "salt"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
