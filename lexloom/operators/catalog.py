@@ -76,6 +76,13 @@ def micro_accuracy(rows: DataFrame) -> DataFrame:
     return rows.agg(F.coalesce(F.try_divide(F.sum("corrected"), F.sum("injected")), F.lit(1.0)).alias("correction_accuracy"), (1 - F.try_divide(F.sum("edits"), F.sum("reference_units"))).alias("token_accuracy"))
 
 
+def constructed_summary(rows: DataFrame) -> DataFrame:
+    """One row over ``rows`` (injected, corrected, cer_before, cer_after): sums, accuracy (1 if nothing was injected), outcomes, macro means."""
+    b, a = F.col("cer_before"), F.col("cer_after")
+    total = rows.agg(F.sum("injected").alias("injected"), F.sum("corrected").alias("corrected"), (F.sum("injected") - F.sum("corrected")).alias("unresolved"), F.coalesce(F.try_divide(F.sum("corrected"), F.sum("injected")), F.lit(1.0)).alias("correction_accuracy"), F.count_if(a < b).alias("improved"), F.count_if(a == b).alias("unchanged"), F.count_if(a > b).alias("worsened"), F.avg(b).alias("macro_cer_before"), F.avg(a).alias("macro_cer_after"))
+    return total
+
+
 def report_rollup(rows: DataFrame, group: str, means: list[str], sums: list[str]) -> DataFrame:
     """Means and sums per group and over all (group null)."""
     return rows.rollup(group).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in means], *[F.sum(c).alias(f"sum_{c}") for c in sums])

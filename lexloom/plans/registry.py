@@ -27,7 +27,8 @@ def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = sql.replace("round(", f"round({TIE} + ")
+            # counts with a filter are BIGINT as in Spark, sums of flags would be wider
+            ORACLE_SQL[f.__name__] = sql.replace("round(", f"round({TIE} + ").replace("count_if(", "count(*) FILTER (WHERE ")
         return f
 
     return register
@@ -325,11 +326,12 @@ def corrected_text(spark, d):
 
 # ---------------------------------------------------------------- error rates
 
-_PAIRS = r"""pr AS (SELECT conv_id * 1000 + turn AS id, text AS reference, replace(replace(text, 'th', 'tn'), 'e', 'c') AS hypothesis, replace(text, 'th', 'tn') AS corrected FROM conversations WHERE regexp_full_match(text, '[ -~]+') AND NOT regexp_matches(text, '^ | $|  '))"""
+_PAIRS = r"""pr AS (SELECT conv_id * 1000 + turn AS id, text AS reference, replace(replace(text, 'th', 'tn'), 'e', 'c') AS hypothesis, replace(text, 'th', 'tn') AS corrected FROM (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM conversations))"""
 
 
 def _pairs(spark, d):
-    c = table(spark, d, "conversations").filter("text rlike '^[ -~]+$' and not text rlike '^ | $|  '")
+    # aligning costs the product of two lengths a row, so rows are dealt out evenly first
+    c = table(spark, d, "conversations").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn").withColumn("text", T.normalize_text(F.col("text"), compose=False))
     a = F.replace("text", F.lit("th"), F.lit("tn"))
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("reference"), F.replace(a, F.lit("e"), F.lit("c")).alias("hypothesis"), a.alias("corrected"))
 
@@ -372,7 +374,7 @@ _GRAM = r"list_concat(w, [w[j] || ' ' || w[j + 1] FOR j IN range(1, len(w))])"
 
 @query(
     rf"""WITH {_TOKENS}, {_CHUNKS},
-cx AS (SELECT doc_id, pos AS query_id, string_agg(text, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS text FROM tok QUALIFY pos % 250 = 0),
+cx AS (SELECT doc_id, pos AS query_id, string_agg(text, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS text FROM tok QUALIFY pos % 50 = 0),
 pg AS (SELECT doc_id, chunk, unnest({_GRAM}) AS g FROM (SELECT doc_id, chunk, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM cn)), pt AS (SELECT doc_id, chunk, g, count(*) AS tf FROM pg GROUP BY ALL),
 nn AS (SELECT doc_id, count(*) AS n FROM cn GROUP BY doc_id), df AS (SELECT doc_id, g, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM pt JOIN nn USING (doc_id) GROUP BY doc_id, g),
 pw AS (SELECT doc_id, chunk, g, tf * idf AS w FROM pt JOIN df USING (doc_id, g)), pn AS (SELECT doc_id, chunk, sqrt(sum(w * w)) AS norm FROM pw GROUP BY ALL),
@@ -383,7 +385,7 @@ SELECT doc_id, query_id, chunk, round(score, 4) AS score, CAST(row_number() OVER
 )
 def tfidf_topk(spark, d):
     t = _tokens(spark, d)
-    q = tokens.context_window(t).filter("pos % 250 = 0").select("doc_id", F.col("pos").alias("query_id"), F.col("context").alias("text"))
+    q = tokens.context_window(t).filter("pos % 50 = 0").select("doc_id", F.col("pos").alias("query_id"), F.col("context").alias("text"))
     return _round(retrieval.tfidf_topk(q, tokens.chunks(t, 0.2)), "score")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -17,12 +17,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def scan_uploads(spark: SparkSession, folder: str) -> DataFrame:
     """Files with media type, size, digest and an HTTP-like status; empty files give no row."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    media, status = upload_verdict(F.col("path"), F.col("length"), F.hex(F.substring("content", 1, 4)))
+    return f.select("path", media.alias("media_type"), F.col("length").alias("size"), status.alias("status"), F.sha2("content", 256).alias("sha256"))
+
+
+def upload_verdict(path: Column, size: Column, start: Column) -> tuple[Column, Column]:
+    """Media type by suffix (null: unknown) and HTTP-like status, from path, bytes and the first four bytes in hex."""
+    suffix = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
     media = F.create_map(*[F.lit(x) for kv in K.MEDIA_TYPES.items() for x in kv])[suffix]
-    start = F.hex(F.substring("content", 1, 4))
     decodable = F.when(suffix == ".pdf", start == "25504446").when(suffix == ".png", start == "89504E47").when(suffix.isin(".jpg", ".jpeg"), start.startswith("FFD8")).otherwise(start.isin("49492A00", "4D4D002A"))
-    status = F.when(media.isNull(), 415).when(F.col("length") > K.MAX_UPLOAD, 413).when(~decodable, 422).otherwise(201)
-    return f.select("path", media.alias("media_type"), F.col("length").alias("size"), status.alias("status"), F.sha2("content", 256).alias("sha256"))
+    return media, F.when(media.isNull(), 415).when(size > K.MAX_UPLOAD, 413).when(~decodable, 422).otherwise(201)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

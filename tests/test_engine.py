@@ -120,6 +120,16 @@ def test_edit_counts_and_alignment(a, b):
     assert [s["ref"] for s in steps if s["ref"] is not None] == list(b) and [s["pred"] for s in steps if s["pred"] is not None] == list(a)
 
 
+def test_edit_counts_beyond_the_first_band():
+    rnd = random.Random(5)
+    for n, m in ((150, 150), (120, 30), (40, 160), (0, 90), (90, 0), (200, 199)):
+        a, b = ("".join(rnd.choices("abc", k=x)) for x in (n, m))
+        near = a[: n // 2] + "x" + a[n // 2 + 3 :]
+        for h in (b, near):
+            c, d = fuzzy.edit_counts(h, a), plain_counts(h, a)
+            assert (c["distance"], c["substitutions"], c["deletions"], c["insertions"]) == (d[0], d[2], d[3], d[1] - d[3])
+
+
 @given(st.text("abcd", max_size=10), st.text("abcd", max_size=10))
 @settings(max_examples=100, deadline=None)
 def test_common_subsequence(a, b):
