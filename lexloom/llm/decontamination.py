@@ -4,9 +4,10 @@ Texts become templates: numbers, units after numbers and names (capitalised word
 turn into typed placeholders, letters are lower-cased, punctuation goes. Windows of consecutive template words are
 hashed and joined with the windows of the benchmark, which is broadcast only if a count shows
 that it is small, and joined by a shuffle otherwise. A document leaks an item if it holds at least ``coverage`` of
-the item's windows. Where an item has placeholders, their values are laid side by side along the
-main diagonal of the match: equal values make an exact leak, values that follow a function
-(the same value is always replaced by the same one) a re-parameterised one, anything else is no leak.
+the item's windows. Where an item has placeholders, their values are laid side by side in each matched
+window: equal values make an exact leak, values that follow a function (the same value is always
+replaced by the same one) a re-parameterised one. Anything else is a leak only if the windows
+with equal values reach ``coverage`` by themselves.
 DataFrame expressions only; the corpus is scanned once and, with a small benchmark, not shuffled.
 
 Items with fewer words than a window are matched as a whole; under ``LEAST`` words they are no
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common as C
 
@@ -32,7 +34,6 @@ UNITS = "km|cm|mm|m|kg|mg|g|lb|oz|ml|l|h|min|s|ms|hz|khz|mhz|ghz|kb|mb|gb|tb|w|k
 _UNIT = rf"(?<=\d ?)(?i:{UNITS})\b"
 _NUMBER = r"(?<![\p{L}\d])\d+(?:[.,:/]\d+)*(?![\p{L}\d])"
 _NAME = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+"
-_SLOT = rf"{_NAME}|{_UNIT}|(?<![\p{{L}}\d])\d+(?:[.,:/]\d+)*(?=(?i:{UNITS})\b|(?![\p{{L}}\d]))"
 
 
 def template(text: Column) -> Column:
@@ -43,9 +44,10 @@ def template(text: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), r"[^\p{L}\p{N}⟨⟩]+", " "), " "), "")
 
 
-def slots(text: Column) -> Column:
-    """The values that the placeholders stand for, in order."""
-    return F.regexp_extract_all(text, F.lit(_SLOT), F.lit(0))
+def values(text: Column) -> Column:
+    """The words of ``template`` with what their placeholders stand for, place by place."""
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _UNIT, " ⟨u$0⟩ "), _NUMBER, " ⟨n$0⟩ ")
+    return F.regexp_extract_all(F.lower(F.regexp_replace(t, _NAME, " ⟨m$0⟩ ")), F.lit(r"⟨n[^⟩]*⟩|[\p{L}\p{N}⟨⟩]+"), F.lit(0))
 
 
 def _windows(words: str, size: int) -> str:
@@ -54,8 +56,10 @@ def _windows(words: str, size: int) -> str:
     return f"element_at(transform(array({words}), w -> case when size(w) < {size} then array() else transform(sequence(0, size(w) - {size}), i -> xxhash64({size}, {gets})) end), 1)"
 
 
-def _placeholders(words: str) -> str:
-    return f"element_at(transform(array({words}), w -> filter(sequence(0, size(w) - 1), i -> get(w, i) rlike '^⟨')), 1)"
+def _valued(words: str, size: int) -> str:
+    """Windows of ``words`` as (hash, own): the values of their places."""
+    gets = ", ".join(f"get(w, i + {j})" for j in range(size))
+    return f"element_at(transform(array({words}), w -> case when size(w) < {size} then array() else transform(sequence(0, size(w) - {size}), i -> struct(xxhash64({size}, {gets}) as hash, slice(vals, i + 1, {size}) as own)) end), 1)"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.6) -> DataFrame:
@@ -80,28 +84,43 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
         own = words.select("doc_id", F.expr(_windows("words", n)).alias("hashes")).select("doc_id", F.posexplode_outer("hashes").alias("at", "hash"))
         spread = own if spread is None else spread.union(own)
     hits = spread.join(F.broadcast(whole) if few else whole, "hash")
-    found = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("item_hash").alias("n_windows"), F.first("windows").alias("windows"), F.mode(F.col("at") - F.col("item_at")).alias("diagonal"))
+    found = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("item_hash").alias("n_windows"), F.first("windows").alias("windows"))
     found = found.withColumn("coverage", F.col("n_windows") / F.col("windows")).filter(F.col("coverage") >= coverage)
     plain = found.select("doc_id", "item_id", "coverage", "n_windows", F.lit("exact").alias("kind"))
     slotted = items.filter(F.expr("exists(item_words, w -> w rlike '^⟨')"))
     if not slotted.limit(1).count():
         return plain
-    return _checked(found, docs, slotted)
-
-
-def _checked(found: DataFrame, docs: DataFrame, slotted: DataFrame) -> DataFrame:
-    """Values of placeholders side by side, for items that have any."""
-    side = slotted.select("item_id", F.expr(_placeholders("item_words")).alias("item_spots"), slots(F.col("item_text")).alias("item_slots"))
-    pairs = found.join(side, "item_id", "left")
-    texts = docs.join(pairs.filter("item_spots is not null").select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"])
-    texts = texts.withColumn("words", template(F.col("text"))).select("doc_id", F.expr("case when size(words) = 0 then array() else " + _placeholders("words") + " end").alias("spots"), slots(F.col("text")).alias("slots"))
-    both = pairs.join(texts, "doc_id", "left")
-    sound = "size(slots) = size(spots) and size(item_slots) = size(item_spots)"
-    value = "get(slots, cast(array_position(spots, p + diagonal) as int) - 1)"
-    both = both.withColumn("pairs", F.expr(f"case when {sound} then filter(transform(item_spots, (p, j) -> struct(get(item_slots, j) as a, case when array_position(spots, p + diagonal) > 0 then {value} end as b)), x -> x.b is not null) end"))
-    both = both.withColumn("same", F.expr("forall(pairs, x -> x.a = x.b)"))
-    both = both.withColumn("function", F.expr("size(array_distinct(pairs)) = size(array_distinct(transform(pairs, x -> x.a)))"))
-    kind = F.when(F.coalesce("same", F.lit(True)), "exact").when(F.col("function"), "reparameterised")
+    return _checked(found, docs, items, lengths, coverage, few)
+
+
+def _checked(found: DataFrame, docs: DataFrame, items: DataFrame, lengths: list[int], coverage: float, few: bool) -> DataFrame:
+    """Values of placeholders side by side in each matched window, so that words put in or left out elsewhere shift nothing."""
+    pair = ["doc_id", "item_id"]
+    texts = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").withColumns({"words": template(F.col("text")), "vals": values(F.col("text"))})
+    known = items.withColumn("vals", values(F.col("item_text")))
+    hits = None
+    for n in lengths:
+        ours = known.filter(f"len = {n}").select("item_id", "item_words", F.posexplode(F.expr(_valued("item_words", n))).alias("item_at", "w"))
+        slots = F.expr(f"filter(transform(sequence(0, {n - 1}), j -> struct(j, get(w.own, j) as a, get(item_words, item_at + j) as kind)), x -> x.kind rlike '^⟨')")
+        ours = ours.select("item_id", "item_at", F.col("w.hash").alias("hash"), slots.alias("slots"))
+        own = texts.select("doc_id", F.posexplode_outer(F.expr(_valued("words", n))).alias("at", "w")).select("doc_id", "at", "w.hash", "w.own")
+        own = own.join(F.broadcast(ours) if few else ours, "hash")
+        hits = own if hits is None else hits.union(own)
+    hits = hits.join(found.select(pair), pair, "left_semi")
+    # item windows found with equal values
+    literal = hits.filter("forall(slots, x -> x.a = get(own, x.j))").groupBy(pair).agg(F.count_distinct("hash").alias("n_literal"))
+    spots = hits.select(*pair, "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "own", F.explode("slots").alias("s"))
+    spots = spots.groupBy(*pair, "shift", (F.col("item_at") + F.col("s.j")).alias("spot"), F.col("s.a").alias("a"), F.expr("get(own, s.j)").alias("b")).agg(F.count("*").alias("support"))
+    spots = spots.withColumn("density", F.sum("support").over(Window.partitionBy(*pair, "shift")))
+    # the value next to a place is the one that most of its windows agree on; equal values come first in a second reading
+    best = F.max_by("b", F.struct("support", "density", -F.col("shift")))
+    spots = spots.groupBy(*pair, "spot", "a").agg(best.alias("near"), F.bool_or(F.col("a") == F.col("b")).alias("equal"))
+    spots = spots.withColumn("alike", F.when(F.col("equal"), F.col("a")).otherwise(F.col("near")))
+    follows = lambda c: F.size(F.collect_set(F.struct("a", c))) == F.size(F.collect_set("a"))
+    sides = spots.groupBy(pair).agg(F.bool_and(F.col("a") == F.col("near")).alias("same"), F.bool_and("equal").alias("equal"), (follows("near") | follows("alike")).alias("function"))
+    both = found.join(sides, pair, "left").join(literal, pair, "left")
+    verbatim = F.coalesce(F.col("n_literal"), F.lit(0)) / F.col("windows") >= coverage
+    kind = F.when(F.coalesce("same", F.lit(True)) | (F.col("equal") & verbatim), "exact").when(F.col("function"), "reparameterised").when(verbatim, "exact")
     return both.withColumn("kind", kind).filter("kind is not null").select("doc_id", "item_id", "coverage", "n_windows", "kind")
 
 

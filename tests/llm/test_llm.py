@@ -314,6 +314,15 @@ def test_reparameterised_items(spark):
     assert decontamination.leaks(d.limit(0), b).count() == decontamination.leaks(d, b.limit(0)).count() == 0
 
 
+def test_words_put_in_shift_no_slots(spark):
+    item = "A runner covers the first part of the way which is 5 km long and then rests for some time before the second part of the way which is 7 km long and ends there."
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [item.replace("second part", "second short part"), item.replace("then rests", "rests"), item.replace("5", "6").replace("7", "9").replace("second part", "second short part"), item]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.kind) for r in decontamination.leaks(d, b).collect()}
+    assert got == {(0, "exact"), (1, "exact"), (2, "reparameterised"), (3, "exact")}
+
+
 def test_shuffled_join_finds_the_same(spark, data, monkeypatch):
     d, b = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/benchmark.parquet")
     first = {tuple(r) for r in decontamination.leaks(d, b).collect()}
