@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become templates: numbers, units after numbers and names (capitalised words inside a sentence)
-turn into typed placeholders, letters are lower-cased, punctuation goes. Windows of consecutive template words are
+Texts become templates: numbers, units after numbers and names turn into typed placeholders, letters are
+lower-cased, punctuation goes. Names are read in three ways, and a window may match in any of them: capitalised
+words inside a sentence, all capitalised words, and none (so that the case of letters does not matter). Windows of consecutive template words are
 hashed and joined with the windows of the benchmark, which is broadcast only if a count shows
 that it is small, and joined by a shuffle otherwise. A document leaks an item if it holds at least ``coverage`` of
 the item's windows. Where an item has placeholders, their values are laid side by side in each matched
@@ -10,7 +11,7 @@ replaced by the same one) a re-parameterised one. Anything else is a leak only i
 with equal values reach ``coverage`` by themselves.
 DataFrame expressions only; the corpus is scanned once and, with a small benchmark, not shuffled.
 
-Items with fewer words than a window are matched as a whole; under ``LEAST`` words they are no
+Items with fewer words than a window are matched as a whole, the words at sentence starts included; under ``LEAST`` words they are no
 evidence and match nothing.
 
 Defined results: null or empty texts match nothing; rows with a null doc_id or item_id are never reported;
@@ -33,21 +34,36 @@ UNITS = "km|cm|mm|m|kg|mg|g|lb|oz|ml|l|h|min|s|ms|hz|khz|mhz|ghz|kb|mb|gb|tb|w|k
 
 _UNIT = rf"(?<=\d ?)(?i:{UNITS})\b"
 _NUMBER = r"(?<![\p{L}\d])\d+(?:[.,:/]\d+)*(?![\p{L}\d])"
-_NAME = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+"
+# capitalised words inside a sentence, whatever white space stands before them, and then all others
+_NAME = r"(?<![\p{L}\p{N}])\p{Lu}(?<=[\p{Ll},;]\s{1,9}\p{Lu})\p{Ll}\p{L}*(?!\p{N})"
+_INITIAL = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}\p{L}*(?!\p{N})"
+#: What of the marked words (⟨h inside, ⟨s elsewhere) becomes a placeholder and what stays a word, by reading.
+READINGS = [[(r"⟨h\p{L}+", "⟨m⟩"), ("⟨s", "")], [(r"⟨[hs]\p{L}+", "⟨m⟩")], [("⟨[hs]", "")]]
 
 
-def template(text: Column) -> Column:
-    """The words of a text's template."""
-    digits = text.rlike(r"\d")
-    t = F.when(digits, F.regexp_replace(F.regexp_replace(text, _UNIT, " ⟨u⟩ "), _NUMBER, " ⟨n⟩ ")).otherwise(text)
-    t = F.regexp_replace(t, _NAME, " ⟨m⟩ ")
-    return F.array_remove(F.split(F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), r"[^\p{L}\p{N}⟨⟩]+", " "), " "), "")
+def _marked(text: Column, number: str, unit: str) -> Column:
+    t = F.coalesce(text, F.lit(""))
+    t = F.when(t.contains("⟨") | t.contains("⟩"), F.regexp_replace(t, "[⟨⟩]", " ")).otherwise(t)
+    t = F.regexp_replace(F.regexp_replace(t, _NAME, "⟨h$0"), _INITIAL, "⟨s$0")
+    return F.lower(F.when(t.rlike(r"\d"), F.regexp_replace(F.regexp_replace(t, _UNIT, unit), _NUMBER, number)).otherwise(t))
+
+
+def marked(text: Column) -> Column:
+    """A text in lower case with placeholders for numbers and units and marks at capitalised words."""
+    return F.regexp_replace(_marked(text, " ⟨n⟩ ", " ⟨u⟩ "), r"[^\p{L}\p{N}⟨⟩]+", " ")
+
+
+def template(line: Column, reading: int = 0) -> Column:
+    """The words of a marked text's template: names inside sentences are placeholders (0), all capitalised words (1), no names (2)."""
+    for old, new in READINGS[reading]:
+        line = F.regexp_replace(line, old, new)
+    return F.array_remove(F.split(line, " "), "")
 
 
 def values(text: Column) -> Column:
     """The words of ``template`` with what their placeholders stand for, place by place."""
-    t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _UNIT, " ⟨u$0⟩ "), _NUMBER, " ⟨n$0⟩ ")
-    return F.regexp_extract_all(F.lower(F.regexp_replace(t, _NAME, " ⟨m$0⟩ ")), F.lit(r"⟨n[^⟩]*⟩|[\p{L}\p{N}⟨⟩]+"), F.lit(0))
+    t = F.regexp_replace(_marked(text, " ⟨n$0⟩ ", " ⟨u$0⟩ "), "⟨[hs]", "")
+    return F.regexp_extract_all(t, F.lit(r"⟨n[^⟩]*⟩|[\p{L}\p{N}⟨⟩]+"), F.lit(0))
 
 
 def _windows(words: str, size: int) -> str:
@@ -66,62 +82,71 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     """(doc_id, item_id, coverage, n_windows, kind) for each document that holds a benchmark item; kind is exact or reparameterised."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item_text")).filter("item_id is not null and item_text is not null")
-    items = items.withColumn("item_words", template(F.col("item_text"))).withColumn("len", F.least(F.size("item_words"), F.lit(window))).filter(f"len >= {LEAST}")
+    items = items.withColumn("line", marked(F.col("item_text"))).withColumns({f"t{r}": template(F.col("line"), r) for r in range(3)})
+    items = items.withColumn("len", F.least(F.size("t0"), F.lit(window))).filter(f"len >= {LEAST}")
     # the window sizes in use: the full one, and those of items too short for it (fewer than `window` sizes)
     lengths = sorted(r["len"] for r in items.select("len").distinct().limit(window).collect())
     whole = None
     for n in lengths:
-        own = items.filter(f"len = {n}").withColumn("hashes", F.expr(_windows("item_words", n))).withColumn("windows", F.size(F.array_distinct("hashes")))
-        own = own.select("item_id", "windows", F.posexplode("hashes").alias("item_at", "hash"))
-        whole = own if whole is None else whole.union(own)
+        # a window is known by its first template; items shorter than a window keep the words at sentence starts
+        base = items.filter(f"len = {n}").withColumn("vals", values(F.col("item_text"))).withColumn("ids", F.expr(_windows("t0", n))).withColumn("windows", F.size(F.array_distinct("ids")))
+        for r in (0, 1, 2) if n == window else (0, 2):
+            own = base.select("item_id", "windows", "ids", "t0", "t1", F.posexplode(F.expr(_valued(f"t{r}", n))).alias("item_at", "w"))
+            if r == 1:  # placeholders alone are no evidence
+                own = own.filter(f"exists(slice(t1, item_at + 1, {n}), x -> not x rlike '^⟨')")
+            slots = F.expr(f"filter(transform(sequence(0, {n - 1}), j -> struct(j, get(w.own, j) as a, get(t0, item_at + j) rlike '^⟨' as inner, get(t1, item_at + j) rlike '^⟨' as any)), x -> x.any)")
+            own = own.select("item_id", "windows", F.lit(n).alias("size"), "item_at", F.col("w.hash").alias("hash"), F.expr("get(ids, item_at)").alias("item_hash"), slots.alias("slots"), F.lit(r == 1).alias("wide"))
+            whole = own if whole is None else whole.union(own)
     if whole is None:
         return docs.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("n_windows"), F.lit("").alias("kind")).limit(0)
-    whole = whole.withColumn("item_hash", F.col("hash"))
-    few = whole.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    words = docs.withColumn("words", template(F.col("text")))
+    whole = whole.groupBy("item_id", "item_at", "size", "hash").agg(F.first("windows").alias("windows"), F.first("item_hash").alias("item_hash"), F.first("slots").alias("slots"), F.min("wide").alias("wide"))
+    known = whole.select("item_id", "windows", "hash", "item_hash").distinct()
+    few = known.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    words = docs.withColumn("line", marked(F.col("text"))).select("doc_id", *[template(F.col("line"), r).alias(f"t{r}") for r in range(3)])
     spread = None  # an outer generator: from an inner one the optimizer derives a filter that computes all windows a second time
     for n in lengths:
-        own = words.select("doc_id", F.expr(_windows("words", n)).alias("hashes")).select("doc_id", F.posexplode_outer("hashes").alias("at", "hash"))
+        hashes = F.array_distinct(F.concat(*[F.expr(_windows(f"t{r}", n)) for r in range(3)]))
+        own = words.select("doc_id", hashes.alias("hashes")).select("doc_id", F.explode_outer("hashes").alias("hash"))
         spread = own if spread is None else spread.union(own)
-    hits = spread.join(F.broadcast(whole) if few else whole, "hash")
+    hits = spread.join(F.broadcast(known) if few else known, "hash")
     found = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("item_hash").alias("n_windows"), F.first("windows").alias("windows"))
-    found = found.withColumn("coverage", F.col("n_windows") / F.col("windows")).filter(F.col("coverage") >= coverage)
-    plain = found.select("doc_id", "item_id", "coverage", "n_windows", F.lit("exact").alias("kind"))
-    slotted = items.filter(F.expr("exists(item_words, w -> w rlike '^⟨')"))
-    if not slotted.limit(1).count():
-        return plain
-    return _checked(found, docs, items, lengths, coverage, few)
-
-
-def _checked(found: DataFrame, docs: DataFrame, items: DataFrame, lengths: list[int], coverage: float, few: bool) -> DataFrame:
-    """Values of placeholders side by side in each matched window, so that words put in or left out elsewhere shift nothing."""
-    pair = ["doc_id", "item_id"]
-    texts = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").withColumns({"words": template(F.col("text")), "vals": values(F.col("text"))})
-    known = items.withColumn("vals", values(F.col("item_text")))
+    found = found.filter(F.col("n_windows") / F.col("windows") >= coverage)
+    return _checked(found, docs, whole, lengths, coverage, few)
+
+
+def _checked(found: DataFrame, docs: DataFrame, whole: DataFrame, lengths: list[int], coverage: float, few: bool) -> DataFrame:
+    """Values of placeholders side by side in each matched window, so that words put in or left out elsewhere shift nothing.
+
+    Read twice: without the windows whose sentence starts are placeholders (there those words must be the same), and with them.
+    """
+    pair, group = ["doc_id", "item_id"], ["doc_id", "item_id", "wide"]
+    texts = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").withColumns({"line": marked(F.col("text")), "vals": values(F.col("text"))})
     hits = None
     for n in lengths:
-        ours = known.filter(f"len = {n}").select("item_id", "item_words", F.posexplode(F.expr(_valued("item_words", n))).alias("item_at", "w"))
-        slots = F.expr(f"filter(transform(sequence(0, {n - 1}), j -> struct(j, get(w.own, j) as a, get(item_words, item_at + j) as kind)), x -> x.kind rlike '^⟨')")
-        ours = ours.select("item_id", "item_at", F.col("w.hash").alias("hash"), slots.alias("slots"))
-        own = texts.select("doc_id", F.posexplode_outer(F.expr(_valued("words", n))).alias("at", "w")).select("doc_id", "at", "w.hash", "w.own")
-        own = own.join(F.broadcast(ours) if few else ours, "hash")
-        hits = own if hits is None else hits.union(own)
-    hits = hits.join(found.select(pair), pair, "left_semi")
-    # item windows found with equal values
-    literal = hits.filter("forall(slots, x -> x.a = get(own, x.j))").groupBy(pair).agg(F.count_distinct("hash").alias("n_literal"))
-    spots = hits.select(*pair, "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "own", F.explode("slots").alias("s"))
-    spots = spots.groupBy(*pair, "shift", (F.col("item_at") + F.col("s.j")).alias("spot"), F.col("s.a").alias("a"), F.expr("get(own, s.j)").alias("b")).agg(F.count("*").alias("support"))
-    spots = spots.withColumn("density", F.sum("support").over(Window.partitionBy(*pair, "shift")))
+        for r in range(3):
+            own = texts.select("doc_id", "vals", template(F.col("line"), r).alias("words")).select("doc_id", F.posexplode_outer(F.expr(_valued("words", n))).alias("at", "w"))
+            own = own.select("doc_id", "at", "w.hash", "w.own", F.lit(r == 1).alias("spread_wide"))
+            hits = own if hits is None else hits.union(own)
+    hits = hits.join(F.broadcast(whole) if few else whole, "hash").join(found.select(pair), pair, "left_semi")
+    hits = hits.withColumn("wide", F.explode(F.expr("case when wide or spread_wide then array(true) else array(false, true) end")))
+    equal = F.expr("forall(slots, x -> x.a = get(own, x.j))")
+    windows = hits.groupBy(group).agg(F.first("windows").alias("windows"), F.count_distinct("item_hash").alias("n_windows"), F.count_distinct(F.when(equal, F.col("item_hash"))).alias("n_literal"))
+    windows = windows.withColumn("coverage", F.col("n_windows") / F.col("windows")).filter(F.col("coverage") >= coverage)
+    spots = hits.select(*group, "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "own", F.explode("slots").alias("s")).filter("wide or s.inner")
+    spots = spots.groupBy(*group, "shift", (F.col("item_at") + F.col("s.j")).alias("spot"), F.col("s.a").alias("a"), F.expr("get(own, s.j)").alias("b")).agg(F.count("*").alias("support"))
+    spots = spots.withColumn("density", F.sum("support").over(Window.partitionBy(*group, "shift")))
     # the value next to a place is the one that most of its windows agree on; equal values come first in a second reading
     best = F.max_by("b", F.struct("support", "density", -F.col("shift")))
-    spots = spots.groupBy(*pair, "spot", "a").agg(best.alias("near"), F.bool_or(F.col("a") == F.col("b")).alias("equal"))
+    spots = spots.groupBy(*group, "spot", "a").agg(best.alias("near"), F.bool_or(F.col("a") == F.col("b")).alias("equal"))
     spots = spots.withColumn("alike", F.when(F.col("equal"), F.col("a")).otherwise(F.col("near")))
     follows = lambda c: F.size(F.collect_set(F.struct("a", c))) == F.size(F.collect_set("a"))
-    sides = spots.groupBy(pair).agg(F.bool_and(F.col("a") == F.col("near")).alias("same"), F.bool_and("equal").alias("equal"), (follows("near") | follows("alike")).alias("function"))
-    both = found.join(sides, pair, "left").join(literal, pair, "left")
-    verbatim = F.coalesce(F.col("n_literal"), F.lit(0)) / F.col("windows") >= coverage
+    sides = spots.groupBy(group).agg(F.bool_and(F.col("a") == F.col("near")).alias("same"), F.bool_and("equal").alias("equal"), (follows("near") | follows("alike")).alias("function"))
+    both = windows.join(sides, group, "left")
+    verbatim = F.col("n_literal") / F.col("windows") >= coverage
     kind = F.when(F.coalesce("same", F.lit(True)) | (F.col("equal") & verbatim), "exact").when(F.col("function"), "reparameterised").when(verbatim, "exact")
-    return both.withColumn("kind", kind).filter("kind is not null").select("doc_id", "item_id", "coverage", "n_windows", "kind")
+    both = both.withColumn("kind", kind).filter("kind is not null")
+    # exact comes before reparameterised
+    return both.groupBy(pair).agg(F.max("coverage").alias("coverage"), F.max("n_windows").alias("n_windows"), F.min("kind").alias("kind"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

@@ -323,6 +323,17 @@ def test_words_put_in_shift_no_slots(spark):
     assert got == {(0, "exact"), (1, "exact"), (2, "reparameterised"), (3, "exact")}
 
 
+def test_names_at_sentence_starts_and_other_case(spark):
+    tom = "Tom has 3 boxes. Mary buys 5 boxes. Tom sells 2 boxes. How many boxes remain?"
+    clips = "Natalia sold clips to 48 of her friends in April, and then Natalia sold half as many clips in May. How many clips did Natalia sell?"
+    b = spark.createDataFrame([(1, tom), (2, clips)], "item_id long, text string")
+    ben = "Ben has 4 boxes. Lucy buys 9 boxes. Ben sells 1 boxes. How many boxes remain?"
+    texts = [ben, clips.lower(), clips.upper(), clips.replace(" Natalia", "\nNatalia"), ben.replace("Ben sells", "Sue sells"), "Many boxes remain. Lucy has boxes."]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.kind) for r in decontamination.leaks(d, b).collect()}
+    assert got == {(0, 1, "reparameterised"), (1, 2, "exact"), (2, 2, "exact"), (3, 2, "exact")}
+
+
 def test_shuffled_join_finds_the_same(spark, data, monkeypatch):
     d, b = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/benchmark.parquet")
     first = {tuple(r) for r in decontamination.leaks(d, b).collect()}
