@@ -286,8 +286,8 @@ def canonical_candidates(spark, d):
 
 
 def _ranked(spark, d):
-    q, _ = _word_sets(spark, d)
-    return cand.ranked_candidates(q, _lexicon(spark, d).filter("n >= 20 or is_domain"), floor=VALID_FLOOR)
+    valid = _lexicon(spark, d).filter("n >= 20 or is_domain")
+    return cand.ranked_candidates(cand.doubtful_words(_tokens(spark, d), valid, VALID_FLOOR), valid, floor=VALID_FLOOR)
 
 
 @query()

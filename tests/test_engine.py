@@ -311,3 +311,14 @@ def test_stream_equals_table(spark, data, tmp_path):
     e = stages.event_stream(spark, data)
     got = stages.run_once(stages.latest_state(e), "latest_state_test", checkpoint=str(tmp_path))
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, stages.latest_state(tables.table(spark, data, "events")).collect()))
+
+
+def test_candidates_for_repeated_and_long_doubtful_words(spark, tmp_path):
+    from lexloom.plans import registry
+
+    texts = ["the mountains and internationalisation"] * 30 + ["the mountzins and internationalisatien"] * 5
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["query"], r["value"]) for r in registry.fuzzy_candidates(spark, str(tmp_path)).collect()}
+    assert got == {("mountzins", "mountains"), ("internationalisatien", "internationalisation")}
+    assert registry.calibrated_confidence(spark, str(tmp_path)).count() == 10
