@@ -8,6 +8,9 @@ batch of many texts nor one very long text needs more than a few megabytes of sc
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text hashed at a time.
@@ -39,13 +43,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder is made.
+    Only where the session names none and runs on one machine (tests) a temporary folder is made; on a cluster,
+    where executors could not see it, that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master}")
         own = tempfile.mkdtemp(prefix="lexloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{own}")
@@ -56,12 +64,66 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that are still in the shared folder.
+_TABLES: dict[str, None] = {}
+
+
 def stored(df: DataFrame, kind: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends here and survives lost executors."""
+    """Write a table to the shared folder and read it back: lineage ends here and survives lost executors.
+
+    ``release`` removes it once nothing reads it any more; what is left goes when the process ends.
+    """
     spark = df.sparkSession
     path = shared_path(spark, kind)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _TABLES[path] = None
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def renewed(df: DataFrame, of: DataFrame) -> DataFrame:
+    """``df``, which reads nothing but the stored table ``of``, as that table."""
+    df.stored_at = of.stored_at
+    return df
+
+
+def release(*tables: DataFrame | str) -> None:
+    """Delete stored tables whose successors are written, and let go of the shuffle files that only they needed."""
+    for table in tables:
+        path = table if isinstance(table, str) else table.stored_at
+        _TABLES.pop(path, None)
+        _delete(path)
+    gc.collect()
+    if SparkContext._jvm is not None:
+        SparkContext._jvm.System.gc()  # the cleaner drops shuffle files of plans that are collected
+
+
+def _delete(path: str) -> None:
+    jvm, context = SparkContext._jvm, SparkContext._active_spark_context
+    if jvm is None:
+        return
+    conf = context._jsc.hadoopConfiguration() if context else jvm.org.apache.hadoop.conf.Configuration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch():
+    """Tables stored inside are released at the end, but for those in the list that is handed out."""
+    before, keep = set(_TABLES), []
+    try:
+        yield keep
+    finally:
+        kept = {x.stored_at for x in keep}
+        release(*[x for x in _TABLES if x not in before and x not in kept])
+
+
+@atexit.register
+def _sweep() -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        for path in list(_TABLES):
+            _delete(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

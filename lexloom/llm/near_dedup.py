@@ -1,7 +1,8 @@
 """MinHash near-dedup: bottom-k sketches from one hash function.
 
-1. Sketch. One scan hashes every document's distinct word shingles with one 64-bit hash. The
-   document's class is a digest of the whole set; its sketch is the k smallest hashes.
+1. Sketch. A scan hashes every document's distinct word shingles with one 64-bit hash. The document's class is a
+   digest of the whole set; its sketch is the k smallest hashes, and the few smallest of those are kept beside the
+   class for estimates.
 2. Frequencies. Sketch values go to the buckets that own them, in packed blocks; a bucket counts
    the classes that hold a value and sends values held by several back to their chunks of documents.
 3. Inverted lists. Two sets with Jaccard similarity of at least the threshold share many sketch
@@ -10,16 +11,21 @@
 4. Clusters. In each list the document with the most frequent values (an original rather than
    an edited copy) is the centre. A document and a centre that share a list belong to one cluster; a
    list of m documents thus gives m rows, not m*m pairs.
-5. Overlaps. A cluster is dealt out in chunks of bounded size, each with its centre. In a
-   chunk, inverted lists of the retained values give sketch overlaps, union-sketch estimates drop
-   pairs far below the threshold, and full sets decide the rest exactly.
-6. Across chunks. In a cluster of several chunks, documents not yet in their centre's component
-   are queries, in blocks, against all chunks of that cluster.
-7. Components of the confirmed links by minimum-label propagation, checkpointed.
-
-Exactness: sets of up to k shingles lose no link. Larger sets lose one only if two sketches share
-fewer values than expected by ``slack`` standard deviations (4: about 3 in 100,000 for a pair just at
-the threshold, less above it) and also no rare value. Links are confirmed on full sets of 64-bit hashes.
+5. Estimates. A cluster is dealt out in chunks of bounded size, each with its centre, of small sketches only. In a
+   chunk, inverted lists of the retained values give overlaps, and union-sketch estimates drop pairs far below
+   the threshold. What remains connects documents to candidate groups; most clusters by chance end here, before any
+   text or full set has moved.
+6. Full sets. Each document of a candidate group goes, with its full set, to one chunk of its group, and the group's
+   best-connected document to all of them; overlaps of full sets decide exactly.
+7. Across chunks. In a cluster or group of several chunks, documents not yet in the centre's component
+   are queries, in blocks, against all chunks of that cluster or group.
+8. Components of the confirmed links by minimum-label propagation; every round is a written table.
+
+Links leave a chunk as a tree of bounded degree that connects what they connect, so no round has a hot key.
+
+Exactness: sets of up to ``ESTIMATE`` shingles lose no link. Larger sets lose one only if two sketches share
+fewer values than expected by ``slack`` standard deviations (5: binomial tails of about one in a million for a pair just
+at the threshold, less above it). Links are confirmed on full sets of 64-bit hashes.
 
 Defined results: null or empty text has no shingles and is linked with nothing; a text with fewer
 words than a shingle is one shingle; equal sets are linked; rows with the same doc_id are one
@@ -39,10 +45,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Values kept in a sketch, standard deviations of slack.
-SKETCH, SLACK = 192, 4.0
-#: Parts that a hot class or component is dealt into where its label is joined.
-SALTS = 16
+#: Values kept in a sketch, and of them for estimates; standard deviations of slack.
+SKETCH, ESTIMATE, SLACK = 128, 48, 5.0
+#: Parts that a hot class or component is dealt into where its label is joined, and entries of a hot list a part.
+SALTS, LIST_ROWS = 16, 512
 #: Documents and shingles that one chunk of a cluster holds at most (one document may hold more).
 CHUNK_DOCS, CHUNK_SHINGLES = 768, 400_000
 
@@ -100,13 +106,32 @@ def _rows(rows: Iterator[tuple], schema: pa.Schema, most: int = 20_000, most_byt
         yield flush()
 
 
-_DOC = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
+_DOC = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary())])
+#: Classes that a task remembers; when there are more, it starts anew, and copies far apart are sent again.
+REMEMBERED = 1 << 20
+
+
+class _Seen:
+    """Whether a class was met lately in this task."""
 
+    def __init__(self):
+        self.known = set()
 
-def _classes(size: int):
+    def __call__(self, node: int) -> bool:
+        if node in self.known:
+            return True
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        self.known.add(node)
+        return False
+
+
+def _classes(size: int, few: int):
     def rows(batches):
+        seen = _Seen()
         for doc_id, h in _sets(batches, size):
-            yield doc_id, len(h), class_digest(h) if len(h) else None
+            node = class_digest(h) if len(h) else None
+            yield doc_id, len(h), node, None if node is None or doc_id is None or seen(node) else h[:few].tobytes()
 
     return lambda batches: _rows(rows(batches), _DOC)
 
@@ -126,6 +151,8 @@ _CLASSES, _FREQUENT, _VALUES = 0, 1, 2
 #: Sketch values that one chunk holds; its classes have 16-bit numbers. Lists are keyed by 48 bits
 #: of a value: two values that agree in them put a document in a needless list, no more.
 CHUNK_VALUES = 2_000_000
+#: Sketch values that one bucket holds at most, about.
+BUCKET_VALUES = 1 << 24
 
 
 def _owner(chunk: int, parts: int) -> int:
@@ -136,7 +163,7 @@ def _sketches(size: int, k: int, parts: int):
     """Each chunk's sketch values, in blocks for the buckets that own them, and its list of classes; copies in one task count once."""
 
     def rows(batches):
-        task, number, seen = TaskContext.get().partitionId(), 0, set()
+        task, number, seen = TaskContext.get().partitionId(), 0, _Seen()
         nodes, sizes, sketches, held = [], [], [], 0
 
         def flush():
@@ -156,9 +183,8 @@ def _sketches(size: int, k: int, parts: int):
                     yield b, _VALUES, chunk, C.pack(values[own]), local[own].tobytes(), None
 
         for _doc, h in _sets(batches, size):
-            if not len(h) or (node := class_digest(h)) in seen:
+            if not len(h) or seen(node := class_digest(h)):
                 continue
-            seen.add(node)
             nodes.append(node)
             sizes.append(len(h))
             sketches.append(h[:k].copy())
@@ -211,7 +237,7 @@ def _frequencies(parts: int):
     return lambda batches: _rows(rows(batches), _BLOCK_ARROW)
 
 
-_ENTRY = pa.schema([("value", pa.int64()), ("node", pa.int64()), ("score", pa.int32())])
+_ENTRY = pa.schema([("value", pa.int64()), ("node", pa.int64()), ("score", pa.int32()), ("salts", pa.int32())])
 
 
 def _entries(k: int, threshold: float, slack: float):
@@ -237,7 +263,8 @@ def _entries(k: int, threshold: float, slack: float):
             if not keep.any():
                 return None
             local = local[keep]
-            return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(nodes[local]), pa.array(score[local])], schema=_ENTRY)
+            salts = (1 + count[keep] // LIST_ROWS).clip(max=1 << 16).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(nodes[local]), pa.array(score[local]), pa.array(salts)], schema=_ENTRY)
 
         for batch in batches:
             for _part, kind, chunk, values, local, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -254,36 +281,41 @@ def _entries(k: int, threshold: float, slack: float):
     return rows
 
 
-def list_entries(docs: DataFrame, shingle: int, threshold: float, k: int, slack: float) -> DataFrame:
-    """(value, node, score): the inverted lists of the rarest sketch values that at least two classes hold."""
+def list_entries(docs: DataFrame, shingle: int, threshold: float, k: int, slack: float, buckets: int) -> DataFrame:
+    """(value, node, score, salts): the inverted lists of the rarest sketch values that at least two classes hold, and into how many parts a list is dealt."""
     tasks = C.shuffle_partitions(docs.sparkSession)
-    parts = tasks
-    blocks = docs.mapInArrow(_sketches(shingle, k, parts), _BLOCK)
-    back = blocks.repartition(tasks, "part").sortWithinPartitions("kind", "part").mapInArrow(_frequencies(parts), _BLOCK)
-    return back.repartition(tasks, "part").sortWithinPartitions("chunk", "kind").mapInArrow(_entries(k, threshold, slack), "value long, node long, score int")
+    blocks = docs.mapInArrow(_sketches(shingle, k, buckets), _BLOCK)
+    back = blocks.repartitionById(tasks, "part").sortWithinPartitions("kind", "part").mapInArrow(_frequencies(buckets), _BLOCK)
+    return back.repartitionById(tasks, "part").sortWithinPartitions("chunk", "kind").mapInArrow(_entries(k, threshold, slack), "value long, node long, score int, salts int")
 
 
-_SET = pa.schema([("node", pa.int64()), ("hot", pa.bool_()), ("hashes", pa.binary())])
+_SET = pa.schema([("centre", pa.int64()), ("chunk", pa.int64()), ("node", pa.int64()), ("hot", pa.bool_()), ("hashes", pa.binary())])
 
 
 def _full_sets(size: int):
+    """Rows (text, centre, chunk, node, hot): the full set of each text that is of the class ``node``."""
+
     def rows(batches):
         for batch in batches:
-            nodes, hot = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            centre, chunk, nodes, hot = (batch.column(i).to_pylist() for i in range(1, 5))
             for first, _end, data, offsets in C.text_groups(batch):
-                for i, h in enumerate(shingle_sets(data, offsets, size)):
-                    if len(h) and class_digest(h) == nodes[first + i]:
-                        yield nodes[first + i], hot[first + i], h.tobytes()
+                for i, h in enumerate(shingle_sets(data, offsets, size), first):
+                    if len(h) and class_digest(h) == nodes[i]:
+                        yield centre[i], chunk[i], nodes[i], hot[i], h.tobytes()
 
     return lambda batches: _rows(rows(batches), _SET)
 
 
 def overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of two lists of sorted sets, from the inverted lists of their values."""
+    """Sizes of all intersections of two lists of sorted sets, from the inverted lists of their values. If both are one list, only pairs of different places count."""
     a, b = np.concatenate(rows), np.concatenate(cols)
     owner_a = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
     owner_b = np.repeat(np.arange(len(cols)), [len(x) for x in cols])
-    shared = np.intersect1d(np.unique(a), np.unique(b), assume_unique=True)
+    if rows is cols:
+        shared, often = np.unique(a, return_counts=True)
+        shared = shared[often > 1]
+    else:
+        shared = np.intersect1d(a, b)
     out = np.zeros((len(rows), len(cols)), np.float32)
     step = max(256, (1 << 20) // max(len(rows), len(cols)))
     col_a, col_b = np.searchsorted(shared, a), np.searchsorted(shared, b)
@@ -302,14 +334,10 @@ def overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked(rows: list[np.ndarray], cols: list[np.ndarray], k: int, threshold: float, slack: float) -> np.ndarray:
-    """Which pairs reach the threshold: sketch overlaps, union-sketch estimates, then full sets where the estimate leaves it open."""
-    size_r, size_c = np.array([len(x) for x in rows]), np.array([len(x) for x in cols])
-    percent = round(threshold * 100)
-    hit = 100 * np.minimum.outer(size_r, size_c) >= percent * np.maximum.outer(size_r, size_c)
-    if not hit.any():
-        return hit
-    sk_r, sk_c = [x[:k] for x in rows], [x[:k] for x in cols]
+def likely(rows: list[np.ndarray], cols: list[np.ndarray], k: int, threshold: float, slack: float) -> np.ndarray:
+    """Which pairs may reach the threshold, from their k smallest values: sketch overlaps and union-sketch estimates."""
+    sk_r = [x[:k] for x in rows]
+    sk_c = sk_r if rows is cols else [x[:k] for x in cols]
     top = np.uint64((1 << 64) - 1)
     cut_r = np.array([x[-1] if len(x) == k else top for x in sk_r], np.uint64)
     cut_c = np.array([x[-1] if len(x) == k else top for x in sk_c], np.uint64)
@@ -319,11 +347,27 @@ def linked(rows: list[np.ndarray], cols: list[np.ndarray], k: int, threshold: fl
     below_c = np.stack([np.searchsorted(x, c, "right") for x, c in zip(sk_c, cut.T, strict=True)]).T
     union = np.maximum(below_r + below_c - common, 1)
     spread = np.where(cut == top, 0, slack * np.sqrt(threshold * (1 - threshold) / union))
-    hit &= common / union >= threshold - spread - 1e-6
+    return common / union >= threshold - spread - 1e-6
+
+
+def linked(rows: list[np.ndarray], cols: list[np.ndarray], k: int, threshold: float, slack: float) -> np.ndarray:
+    """Which pairs of full sets reach the threshold: sizes and estimates first, then exact overlaps where these leave it open.
+
+    If ``rows`` and ``cols`` are one list, only pairs of different places count.
+    """
+    size_r, size_c = np.array([len(x) for x in rows]), np.array([len(x) for x in cols])
+    percent = round(threshold * 100)
+    hit = 100 * np.minimum.outer(size_r, size_c) >= percent * np.maximum.outer(size_r, size_c)
+    if not hit.any():
+        return hit
+    hit &= likely(rows, cols, k, threshold, slack)
+    if rows is cols:
+        np.fill_diagonal(hit, False)
     keep_r, keep_c = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
     if not len(keep_r):
         return hit
-    both = overlaps([rows[i] for i in keep_r], [cols[j] for j in keep_c]).astype(np.int64)
+    own = [rows[i] for i in keep_r]
+    both = overlaps(own, own if rows is cols else [cols[j] for j in keep_c]).astype(np.int64)
     union = np.add.outer(size_r[keep_r], size_c[keep_c]) - both
     exact = np.zeros_like(hit)
     exact[np.ix_(keep_r, keep_c)] = 100 * both >= percent * union
@@ -334,12 +378,15 @@ _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _spanning(links: np.ndarray, names: list[int]) -> Iterator[tuple[int, int]]:
-    """Enough of the links among ``names`` to connect what they connect."""
+    """A tree over each component of the links among ``names``, in which no name has more than nine neighbours."""
     label = np.arange(len(names))
     for i, j in zip(*np.nonzero(np.triu(links, 1)), strict=True):
         if (x := label[i]) != (y := label[j]):
             label[label == y] = x
-            yield names[i], names[j]
+    order = np.argsort(label, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+        for i in range(1, len(own)):
+            yield names[own[(i - 1) // 8]], names[own[i]]
 
 
 def _groups(batches, keys: int):
@@ -367,8 +414,8 @@ def _pieces(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return [*out, (first, len(sets))]
 
 
-def _within(k: int, threshold: float, slack: float):
-    """Rows (centre, chunk, node, hashes): links inside each chunk."""
+def _within(test, k: int, threshold: float, slack: float):
+    """Rows (centre, chunk, node, hashes): links inside each chunk, by ``test``."""
 
     def rows(batches):
         for _key, held in _groups(batches, 2):
@@ -379,14 +426,15 @@ def _within(k: int, threshold: float, slack: float):
             pieces = _pieces(sets)
             hit = np.zeros((len(names), len(names)), bool)
             for i, (a, b) in enumerate(pieces):
+                own = sets[a:b]
                 for c, d in pieces[i:]:
-                    hit[a:b, c:d] = linked(sets[a:b], sets[c:d], k, threshold, slack)
+                    hit[a:b, c:d] = test(own, own if c == a else sets[c:d], k, threshold, slack)
             yield from _spanning(hit, names)
 
     return lambda batches: _rows(rows(batches), _LINK)
 
 
-def _across(k: int, threshold: float, slack: float):
+def _across(test, k: int, threshold: float, slack: float):
     """Rows (centre, chunk, block, query, node, label, hashes), queries first: links between a block of queries and a chunk."""
 
     def rows(batches):
@@ -399,7 +447,7 @@ def _across(k: int, threshold: float, slack: float):
             done = set()
             for a, b in _pieces(sets_q):
                 for c, d in _pieces(sets_r):
-                    for i, j in zip(*np.nonzero(linked(sets_q[a:b], sets_r[c:d], k, threshold, slack)), strict=True):
+                    for i, j in zip(*np.nonzero(test(sets_q[a:b], sets_r[c:d], k, threshold, slack)), strict=True):
                         x, y = asks[a + i], rest[c + j]
                         if x[1] != y[1] and (x[1], y[1]) not in done:
                             done.add((x[1], y[1]))
@@ -408,74 +456,135 @@ def _across(k: int, threshold: float, slack: float):
     return lambda batches: _rows(rows(batches), _LINK)
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, label): the smallest node that ``links`` (a, b) reach from each node, by label propagation with shortcuts."""
+def components(links: DataFrame) -> DataFrame:
+    """(node, label): the smallest node that ``links`` (a, b) reach from each node, by label propagation with shortcuts.
+
+    Labels only ever fall, so the rounds end; shortcuts make them few. Nodes of one component share a label, so
+    rows are salted where labels are joined; the right side is only labels that have a smaller one themselves.
+    """
     edges = C.stored(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), "edges")
     labels = C.stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels.withColumnsRenamed({"node": "b", "label": "near"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        nxt = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
+        fell = C.stored(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new")), "labels")
+        C.release(labels)
         # shortcut: take the label of one's label
-        jump = nxt.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        nxt = nxt.join(jump, "new", "left").select("node", "label", F.least("new", F.coalesce("far", "new")).alias("new"))
-        nxt = C.stored(nxt, "labels")
-        moved = nxt.filter("label <> new").limit(1).count()
-        labels = nxt.select("node", F.col("new").alias("label"))
-        if not moved:
-            return labels
-    raise RuntimeError(f"components didn't settle in {rounds} rounds")
+        roots = fell.select(F.col("new").alias("node")).distinct().join(fell.select("node", F.col("new").alias("far")), "node").filter("far < node")
+        jump = roots.select(F.col("node").alias("new"), "far", _every_salt().alias("salt"))
+        rows = fell.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        labels = C.stored(rows.join(jump, ["new", "salt"], "left").select("node", F.col("label").alias("old"), F.coalesce("far", "new").alias("label")), "labels")
+        C.release(fell)
+        if not labels.filter("old <> label").limit(1).count():
+            C.release(edges)
+            return C.renewed(labels.select("node", "label"), labels)
+        labels = C.renewed(labels.select("node", "label"), labels)
+
+
+def _salt(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+
+
+def _salted(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """``rows`` (with a node) joined with ``side``, which has one row a key: a key may hold a third of all rows."""
+    return _salt(rows).join(side.withColumn("salt", _every_salt()), [key, "salt"]).drop("salt")
+
+
+def _stars(entries: DataFrame) -> DataFrame:
+    """(centre, node): each list's best-connected document with every other one of it."""
+    best = entries.groupBy("value").agg(F.max(F.struct("score", "node")).alias("top"), F.min("node").alias("low"), F.max("node").alias("high"), F.max("salts").alias("salts")).filter("low <> high")
+    best = best.select("value", F.col("top.node").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    dealt = entries.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    return dealt.join(best, ["value", "salt"]).filter("node <> centre").select("centre", "node").distinct()
+
+
+def _inside(rows: DataFrame, test, k: int, threshold: float, slack: float) -> DataFrame:
+    """Links inside the chunks of rows (centre, chunk, node, hashes)."""
+    tasks = C.shuffle_partitions(rows.sparkSession)
+    rows = rows.select("centre", "chunk", "node", "hashes").repartition(tasks, "centre", "chunk").sortWithinPartitions("centre", "chunk")
+    return rows.mapInArrow(_within(test, k, threshold, slack), "a long, b long")
+
+
+def _between(many: DataFrame, placed: DataFrame, sets: DataFrame, links: DataFrame, test, k: int, threshold: float, slack: float) -> DataFrame | None:
+    """Links between chunks of one cluster: documents outside the component of its hub so far, against all chunks.
+
+    ``many`` (centre, chunks, hub), ``placed`` (centre, chunk, node), ``sets`` (node, hashes).
+    """
+    label = components(links)
+    many = many.join(label.withColumnsRenamed({"node": "hub", "label": "main"}), "hub", "left").select("centre", "chunks", "hub", F.coalesce("main", "hub").alias("main"))
+    own = _salted(placed, many, "centre").join(label, "node", "left").select("centre", "chunks", "hub", "main", "chunk", "node", F.coalesce("label", "node").alias("label"))
+    own = C.stored(own, "clusters")
+    asks = own.filter("node <> hub and label <> main").select("centre", "chunks", "node", "label").distinct()
+    blocks = C.stored(asks.groupBy("centre").agg(F.ceil(F.count("*") / CHUNK_DOCS).alias("blocks")), "blocks")
+    out = None
+    if blocks.limit(1).count():
+        asks = _salted(asks, blocks, "centre").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")))
+        left = asks.select("centre", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block", F.lit(1).alias("query"), "node", "label")
+        right = _salted(own, blocks, "centre").select("centre", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("query"), "node", "label")
+        rows = left.unionByName(right).join(sets, "node").select("centre", "chunk", "block", "query", "node", "label", "hashes")
+        tasks = C.shuffle_partitions(rows.sparkSession)
+        rows = rows.repartition(tasks, "centre", "chunk", "block").sortWithinPartitions("centre", "chunk", "block", F.desc("query"))
+        out = C.stored(rows.mapInArrow(_across(test, k, threshold, slack), "a long, b long"), "links")
+    C.release(label, own, blocks)
+    return out
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k: int = SKETCH, slack: float = SLACK) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    tasks = C.shuffle_partitions(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    members = C.stored(docs.mapInArrow(_classes(shingle), "doc_id long, n_shingles long, node long"), "classes")
-    entries = C.stored(list_entries(docs.filter("doc_id is not null"), shingle, threshold, k, slack), "entries")
-    centres = entries.groupBy("value").agg(F.max(F.struct("score", "node")).alias("top"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("value", F.col("top.node").alias("centre"))
-    stars = C.stored(entries.select("value", "node").join(centres, "value").filter("node <> centre").select("centre", "node").distinct(), "stars")
-    # chunks of each cluster, each with its centre
-    sized = stars.groupBy("centre").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / CHUNK_DOCS))
-    placed = stars.join(sized, "centre").select("centre", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "node")
-    placed = placed.union(placed.select("centre", "chunk", F.col("centre").alias("node")).distinct())
-
-    # the text of one document of each class that is in a cluster
-    wanted = placed.join(sized.select("centre", (F.col("chunks") > 1).alias("hot")), "centre").groupBy("node").agg(F.max("hot").alias("hot"))
-    whose = members.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node")
-    sets = docs.join(whose, "doc_id").select("node", "text", "hot").mapInArrow(_full_sets(shingle), "node long, hot boolean, hashes binary")
-    if members.groupBy("doc_id").count().filter("doc_id is not null and count > 1").limit(1).count():
-        sets = sets.dropDuplicates(["node"])
-    sets = C.stored(sets, "sets")
-    inside = placed.join(sets.select("node", "hashes"), "node").select("centre", "chunk", "node", "hashes")
-    links = C.stored(inside.repartition(tasks, "centre", "chunk").sortWithinPartitions("centre", "chunk").mapInArrow(_within(k, threshold, slack), "a long, b long"), "links")
-    many = sized.filter("chunks > 1").select("centre", "chunks")
-    if many.limit(1).count():
-        links = C.stored(links.union(_between(many, placed, sets, links, k, threshold, slack, tasks)), "links")
-
-    # one document with several texts links their classes
-    twice = members.filter("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("doc_id", "a")
-    same = members.join(twice, "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
-    label = components(links.union(same))
+    members = C.stored(docs.mapInArrow(_classes(shingle, ESTIMATE), "doc_id long, n_shingles long, node long, sketch binary"), "classes")
+    named = members.filter("node is not null and doc_id is not null")
+    with C.scratch() as keep:
+        links = _links(docs.filter("doc_id is not null"), named, shingle, threshold, k, slack)
+        # one document with several texts links their classes
+        twice = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("doc_id", "a")
+        same = named.join(twice, "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
+        label = components(links.union(same))
+        keep.append(label)
     # the label of a component is its smallest doc_id; hot classes are dealt over salts
-    classes = members.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-    classes = classes.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    roots = classes.groupBy("label").agg(F.min("least").alias("component_id")).withColumn("salt", _every_salt())
-    return _labelled(members, classes.join(roots, ["label", "salt"]).select("node", "component_id"))
-
-
-def _between(many, placed, sets, links, k, threshold, slack, tasks) -> DataFrame:
-    """Links between chunks of one cluster: documents outside the centre's component so far, against all chunks."""
-    label = components(links)
-    own = placed.join(many, "centre").join(label, "node", "left").select("centre", "chunks", "chunk", "node", F.coalesce("label", "node").alias("label"))
-    at_centre = many.join(label.withColumnsRenamed({"node": "centre", "label": "main"}), "centre", "left").select("centre", F.coalesce("main", "centre").alias("main"))
-    asks = own.filter("node <> centre").join(at_centre, "centre").filter("label <> main").select("centre", "chunks", "node", "label").distinct()
-    blocks = asks.groupBy("centre").agg(F.ceil(F.count("*") / CHUNK_DOCS).alias("blocks"))
-    asks = asks.join(blocks, "centre").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")))
-    left = asks.select("centre", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block", F.lit(1).alias("query"), "node", "label")
-    right = own.join(blocks, "centre").select("centre", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("query"), "node", "label")
-    rows = left.unionByName(right).join(sets.filter("hot").select("node", "hashes"), "node").select("centre", "chunk", "block", "query", "node", "label", "hashes")
-    return rows.repartition(tasks, "centre", "chunk", "block").sortWithinPartitions("centre", "chunk", "block", F.desc("query")).mapInArrow(_across(k, threshold, slack), "a long, b long")
+    classes = named.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("docs")).join(label, "node", "left")
+    classes = classes.filter("docs > 1 or label is not null").select("node", "least", F.coalesce("label", "node").alias("label"))
+    roots = classes.groupBy("label").agg(F.min("least").alias("component_id"))
+    return _labelled(members, _salted(classes, roots, "label").select("node", "component_id"))
+
+
+def _links(docs: DataFrame, named: DataFrame, shingle: int, threshold: float, k: int, slack: float) -> DataFrame:
+    """(a, b): enough confirmed links between classes to connect what all links connect."""
+    values = named.agg(F.sum(F.least("n_shingles", F.lit(k)))).first()[0] or 0
+    buckets = max(C.shuffle_partitions(docs.sparkSession), -(-values // BUCKET_VALUES))
+    entries = C.stored(list_entries(docs, shingle, threshold, k, slack, buckets), "entries")
+    stars = C.stored(_stars(entries), "stars")
+    C.release(entries)
+
+    # clusters in chunks, each with its centre; sketches only
+    sized = C.stored(stars.groupBy("centre").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / CHUNK_DOCS)), "sizes")
+    placed = _salted(stars, sized, "centre").select("centre", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "node")
+    placed = C.stored(placed.union(sized.select("centre", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("centre").alias("node"))), "placed")
+    few = named.filter("sketch is not null").select("node", F.col("sketch").alias("hashes")).join(placed.select("node").distinct(), "node").dropDuplicates(["node"])
+    few = C.stored(few, "sketches")
+    maybe = C.stored(_inside(placed.join(few, "node"), likely, ESTIMATE, threshold, slack), "maybe")
+    many = sized.filter("chunks > 1").select("centre", "chunks", F.col("centre").alias("hub"))
+    if many.limit(1).count() and (more := _between(many, placed, few, maybe, likely, ESTIMATE, threshold, slack)) is not None:
+        maybe = maybe.union(more)
+    group = components(maybe)
+    C.release(stars, placed, few)
+
+    # candidate groups in chunks bounded in documents and shingles, each with the group's hub; full sets
+    own = named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")).join(group.withColumnRenamed("label", "centre"), "node")
+    own = C.stored(own.join(sized.select(F.col("centre").alias("node"), F.col("n").alias("stars")), "node", "left"), "groups")
+    groups = own.groupBy("centre").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"), F.max(F.struct("stars", "node", "doc_id")).alias("hub"))
+    chunks = F.greatest(F.ceil(F.col("docs") / CHUNK_DOCS), F.ceil(F.col("shingles") / CHUNK_SHINGLES))
+    groups = C.stored(groups.select("centre", chunks.alias("chunks"), F.col("hub.node").alias("hub"), F.col("hub.doc_id").alias("hub_doc")), "hubs")
+    hot = groups.filter("chunks > 1")
+    placed = _salted(own, groups, "centre").select("doc_id", "centre", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "node", (F.col("chunks") > 1).alias("hot"))
+    placed = placed.union(hot.select("hub_doc", "centre", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "hub", F.lit(True)))
+    sets = docs.join(placed, "doc_id").select("text", "centre", "chunk", "node", "hot").mapInArrow(_full_sets(shingle), "centre long, chunk long, node long, hot boolean, hashes binary")
+    if not hot.limit(1).count():
+        return C.stored(_inside(sets, linked, ESTIMATE, threshold, slack), "links")
+    sets = C.stored(sets, "sets")
+    links = C.stored(_inside(sets, linked, ESTIMATE, threshold, slack), "links")
+    sets = sets.filter("hot")
+    more = _between(hot.select("centre", "chunks", "hub"), placed.filter("hot").select("centre", "chunk", "node"), sets.select("node", "hashes").dropDuplicates(["node"]), links, linked, ESTIMATE, threshold, slack)
+    return links if more is None else links.union(more)
 
 
 def _every_salt():
@@ -483,9 +592,9 @@ def _every_salt():
 
 
 def _labelled(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """A class may hold a third of all documents, so its row is dealt over salts."""
+    """A class may hold a third of all documents, so its row is dealt over salts. Documents whose class has no row are alone."""
     spread = classes.select("node", "component_id", _every_salt().alias("salt"))
-    rows = members.withColumn("salt", F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).cast("int"))
+    rows = members.drop("sketch").withColumn("salt", F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).cast("int"))
     out = rows.join(spread, ["node", "salt"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))

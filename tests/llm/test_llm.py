@@ -174,11 +174,31 @@ def test_linked_matches_sets():
     for _ in range(25):
         keep = base[r.random(len(base)) > r.choice([0.02, 0.08, 0.12, 0.3])]
         sets.append(np.unique(np.concatenate([keep, r.integers(0, 2**63, r.integers(0, 90)).astype(np.uint64)])))
-    got = near_dedup.linked(sets, sets, 192, 0.8, 4.0)
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets):
-            both = len(np.intersect1d(a, b))
-            assert got[i, j] == (100 * both >= 80 * (len(a) + len(b) - both))
+    for other in (sets, list(sets)):
+        got = near_dedup.linked(sets, other, near_dedup.ESTIMATE, 0.8, near_dedup.SLACK)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                both = len(np.intersect1d(a, b))
+                assert i == j or got[i, j] == (100 * both >= 80 * (len(a) + len(b) - both))
+
+
+def test_links_in_long_chains(spark):
+    """Chains settle whatever their length, and names in a chunk's tree keep few neighbours."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 90)] + [(500, 400)], "a long, b long")
+    got = {r.node: r.label for r in near_dedup.components(links).collect()}
+    assert got == {**dict.fromkeys(range(91), 0), 400: 400, 500: 400}
+    tree = [*near_dedup._spanning(np.ones((300, 300), bool), list(range(300)))]
+    assert len(tree) == 299 and max(Counter(x for e in tree for x in e).values()) <= 9
+
+
+def test_near_duplicates_awkward_tables(spark):
+    """Very long texts, ties, repeated rows, clashing columns: as the docstring says."""
+    long = " ".join(f"v{i % 50_000}" for i in range(200_000))
+    d = spark.createDataFrame([(1, long, 7), (2, long + " end", 7), (3, "", 7), (4, None, 7), (5, "w", 7), (5, "w", 7), (None, long, 7)], "doc_id long, text string, node long")
+    d = d.withColumns({"chunk": F.lit("x"), "centre": F.lit("y"), "label": F.lit(None)})
+    got = Counter(tuple(r) for r in near_dedup.near_duplicates(d, 2).collect())
+    assert got == Counter({(1, 50_000, 1, True): 1, (2, 50_001, 1, False): 1, (3, 0, 3, True): 1, (4, 0, 4, True): 1, (5, 1, 5, True): 2, (None, 50_000, None, True): 1})
+    assert near_dedup.drop_near_duplicates(d).columns == d.columns
 
 
 # ---------------------------------------------------------------- 5, quality rules
