@@ -1,21 +1,32 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become templates: numbers, units after numbers and names turn into typed placeholders, letters are
-lower-cased, punctuation goes. Names are read in three ways, and a window may match in any of them: capitalised
-words inside a sentence, all capitalised words, and none (so that the case of letters does not matter). Windows of consecutive template words are
-hashed and joined with the windows of the benchmark, which is broadcast only if a count shows
-that it is small, and joined by a shuffle otherwise. A document leaks an item if it holds at least ``coverage`` of
-the item's windows. Where an item has placeholders, their values are laid side by side in each matched
-window: equal values make an exact leak, values that follow a function (the same value is always
-replaced by the same one) a re-parameterised one. Anything else is a leak only if the windows
-with equal values reach ``coverage`` by themselves.
-DataFrame expressions only; the corpus is scanned once and, with a small benchmark, not shuffled.
-
-Items with fewer words than a window are matched as a whole, the words at sentence starts included; under ``LEAST`` words they are no
-evidence and match nothing.
-
-Defined results: null or empty texts match nothing; rows with a null doc_id or item_id are never reported;
-rows with equal doc_id are one document; an empty table gives an empty result; further columns are ignored.
+A text is cut once into tokens, numbers and words. Numbers, units (a word of the list right after a number) and names
+turn into typed placeholders, one token for one, so that a template and the values behind it are parallel by
+construction. There are two readings: in one every capitalised word is a name, in the other none is, so
+that neither a new name nor other case hides a copy. Windows of ``window`` consecutive template tokens are hashed and joined with the
+benchmark's. A window with fewer than ``LITERAL`` literal tokens is no evidence by its shape and is known by its
+values instead.
+
+A document is compared with an item if, in one reading, it has windows for at least ``coverage`` of the item's. Each
+offset of the item against the text is then a candidate copy: every window of the item takes its place nearest to that offset
+(at most ``GAP`` tokens off, so that words put in or left out elsewhere shift nothing), and the values of its
+placeholders stand side by side with the item's. If the windows reach ``coverage``, the copy is
+
+* ``exact`` if all values are equal,
+* ``reparameterised`` if they follow a function (the same value is always replaced by the same one),
+* nothing if they contradict each other.
+
+Whatever the offsets, windows with equal values that reach ``coverage`` by themselves make an ``exact`` leak. The best result
+of a pair is reported: exact before reparameterised, then the larger coverage.
+
+Items shorter than a window are matched verbatim (in any case and punctuation); under ``LEAST`` tokens they match nothing.
+
+DataFrame expressions only; the corpus is scanned once for hashes, and once more where something was found. The benchmark's
+windows are broadcast behind a count of rows of fixed width, and joined over salts beyond it.
+
+Defined results: null or empty texts match nothing; rows with a null doc_id or item_id are never reported; rows that share a doc_id
+(or item_id) are judged each by its own text, and a pair is reported once, by its best; an empty table gives an
+empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,130 +37,132 @@ from pyspark.sql.window import Window
 
 from . import common as C
 
-#: Words in a window, words an item needs at least, windows of a benchmark that may be broadcast.
-WINDOW, LEAST, BROADCAST_WINDOWS = 5, 3, 200_000
+#: Tokens in a window, tokens an item needs, literal tokens of a window that its template may stand for, tokens a window may be off.
+WINDOW, LEAST, LITERAL, GAP = 5, 3, 2, 8
+#: Rows (item, hash, weight; 40 bytes) that may be broadcast, and parts that hot windows are dealt into beyond that.
+BROADCAST_WINDOWS, SALTS = 200_000, 8
 
 # Units of measure.
 UNITS = "km|cm|mm|m|kg|mg|g|lb|oz|ml|l|h|min|s|ms|hz|khz|mhz|ghz|kb|mb|gb|tb|w|kw|v|mph|kmh|mi|ft|in|yd|percent|dollars|euros|pounds|usd|eur|gbp|hours|minutes|seconds|days|weeks|months|years|meters|metres|miles|feet|inches|grams|liters|litres|degrees"
 
-_UNIT = rf"(?<=\d ?)(?i:{UNITS})\b"
-_NUMBER = r"(?<![\p{L}\d])\d+(?:[.,:/]\d+)*(?![\p{L}\d])"
-# capitalised words inside a sentence, whatever white space stands before them, and then all others
-_NAME = r"(?<![\p{L}\p{N}])\p{Lu}(?<=[\p{Ll},;]\s{1,9}\p{Lu})\p{Ll}\p{L}*(?!\p{N})"
-_INITIAL = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}\p{L}*(?!\p{N})"
-#: What of the marked words (⟨h inside, ⟨s elsewhere) becomes a placeholder and what stays a word, by reading.
-READINGS = [[(r"⟨h\p{L}+", "⟨m⟩"), ("⟨s", "")], [(r"⟨[hs]\p{L}+", "⟨m⟩")], [("⟨[hs]", "")]]
-
-
-def _marked(text: Column, number: str, unit: str) -> Column:
-    t = F.coalesce(text, F.lit(""))
-    t = F.when(t.contains("⟨") | t.contains("⟩"), F.regexp_replace(t, "[⟨⟩]", " ")).otherwise(t)
-    t = F.regexp_replace(F.regexp_replace(t, _NAME, "⟨h$0"), _INITIAL, "⟨s$0")
-    return F.lower(F.when(t.rlike(r"\d"), F.regexp_replace(F.regexp_replace(t, _UNIT, unit), _NUMBER, number)).otherwise(t))
+_TOKEN = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*|[\p{L}\p{M}]+"
+_NUMBER = r"(?<![^ ])\p{Nd}[^ ]*"
+_UNIT = rf"(?<=⟨n⟩ )(?i:{UNITS})(?![^ ])"
+_NAME = r"(?<![^ ])\p{Lu}\p{Ll}[\p{L}\p{M}]*"
+#: Readings: windows by their values, names as placeholders, names as words.
+VALUES, NAMES, PLAIN = 0, 1, 2
+READINGS = {VALUES: "vals", NAMES: "named", PLAIN: "plain"}
 
 
-def marked(text: Column) -> Column:
-    """A text in lower case with placeholders for numbers and units and marks at capitalised words."""
-    return F.regexp_replace(_marked(text, " ⟨n⟩ ", " ⟨u⟩ "), r"[^\p{L}\p{N}⟨⟩]+", " ")
-
-
-def template(line: Column, reading: int = 0) -> Column:
-    """The words of a marked text's template: names inside sentences are placeholders (0), all capitalised words (1), no names (2)."""
-    for old, new in READINGS[reading]:
-        line = F.regexp_replace(line, old, new)
-    return F.array_remove(F.split(line, " "), "")
-
-
-def values(text: Column) -> Column:
-    """The words of ``template`` with what their placeholders stand for, place by place."""
-    t = F.regexp_replace(_marked(text, " ⟨n$0⟩ ", " ⟨u$0⟩ "), "⟨[hs]", "")
-    return F.regexp_extract_all(t, F.lit(r"⟨n[^⟩]*⟩|[\p{L}\p{N}⟨⟩]+"), F.lit(0))
-
-
-def _windows(words: str, size: int) -> str:
-    gets = ", ".join(f"get(w, i + {j})" for j in range(size))
-    # the words are bound to a variable, so that no optimizer rule can move their expression into the inner lambda
-    return f"element_at(transform(array({words}), w -> case when size(w) < {size} then array() else transform(sequence(0, size(w) - {size}), i -> xxhash64({size}, {gets})) end), 1)"
+def tokens(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with parallel arrays: the tokens in lower case (vals), and their templates with names as placeholders (named) and as words (plain)."""
+    line = F.array_join(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_TOKEN), F.lit(0)), " ")
+    shaped = F.regexp_replace(F.regexp_replace("__line", _NUMBER, "⟨n⟩"), _UNIT, "⟨u⟩")
+    arrays = {"vals": F.col("__line"), "named": F.regexp_replace("__shaped", _NAME, "⟨m⟩"), "plain": F.col("__shaped")}
+    df = df.withColumn("__line", line).withColumn("__shaped", F.when(F.col("__line").rlike(r"\p{Nd}"), shaped).otherwise(F.col("__line")))
+    cut = lambda c: F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(F.lower(c), " "))
+    return df.withColumns({k: cut(c) for k, c in arrays.items()}).drop("__line", "__shaped")
 
 
-def _valued(words: str, size: int) -> str:
-    """Windows of ``words`` as (hash, own): the values of their places."""
+def _hashes(reading: int, size: int) -> str:
+    """SQL for the hashes of all windows of a reading. The array is bound to a variable, so that no rule of the optimizer moves its expression inside."""
     gets = ", ".join(f"get(w, i + {j})" for j in range(size))
-    return f"element_at(transform(array({words}), w -> case when size(w) < {size} then array() else transform(sequence(0, size(w) - {size}), i -> struct(xxhash64({size}, {gets}) as hash, slice(vals, i + 1, {size}) as own)) end), 1)"
+    return f"element_at(transform(array({READINGS[reading]}), w -> case when size(w) < {size} then array() else transform(sequence(0, size(w) - {size}), i -> xxhash64({reading}, {size}, {gets})) end), 1)"
+
+
+def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(item_id, item, reading, size, total, at, hash, slots): the windows of each item, with the placeholders in them as (j, value)."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
+    items = tokens(items.withColumn("item", F.xxhash64("text")).dropDuplicates(["item_id", "item"]), "text").filter(F.size("vals") >= LEAST)
+    size = F.least(F.size("vals"), F.lit(window))
+    items = items.select("item_id", "item", "vals", "named", "plain", size.alias("size"), (F.size("vals") - size + 1).alias("total"))
+    out = None
+    for reading in (NAMES, PLAIN):
+        own = items if reading == PLAIN else items.filter(f"size = {window}")
+        own = own.select("item_id", "item", "size", "total", F.lit(reading).alias("reading"), F.col(READINGS[reading]).alias("shape"), "vals", F.explode(F.sequence(F.lit(0), F.col("total") - 1)).alias("at"))
+        out = own if out is None else out.unionByName(own)
+    own, shape = F.slice("vals", F.col("at") + 1, F.col("size")), F.slice("shape", F.col("at") + 1, F.col("size"))
+    out = out.withColumns({"own": own, "shape": shape})
+    literal = F.size(F.filter("shape", lambda x: ~x.startswith("⟨"))) >= LITERAL
+    by_shape = (F.col("size") == window) & literal
+
+    def hashed(column: str, reading: Column) -> Column:
+        out = F.lit(None).cast("long")
+        for n in range(LEAST, window + 1):
+            out = F.when(F.col("size") == n, F.xxhash64(reading, F.lit(n), *[F.get(column, F.lit(j)) for j in range(n)])).otherwise(out)
+        return out
+
+    slots = F.filter(F.transform("shape", lambda x, j: F.struct(j.alias("j"), F.get("own", j).alias("value"), x.alias("kind"))), lambda s: s["kind"].startswith("⟨"))
+    slots = F.transform(slots, lambda s: F.struct(s["j"].alias("j"), s["value"].alias("value")))
+    return out.select("item_id", "item", "reading", "size", "total", "at", F.when(by_shape, hashed("shape", F.col("reading"))).otherwise(hashed("own", F.lit(VALUES))).alias("hash"), by_shape.alias("by_shape"), slots.alias("slots"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.6) -> DataFrame:
     """(doc_id, item_id, coverage, n_windows, kind) for each document that holds a benchmark item; kind is exact or reparameterised."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item_text")).filter("item_id is not null and item_text is not null")
-    items = items.withColumn("line", marked(F.col("item_text"))).withColumns({f"t{r}": template(F.col("line"), r) for r in range(3)})
-    items = items.withColumn("len", F.least(F.size("t0"), F.lit(window))).filter(f"len >= {LEAST}")
-    # the window sizes in use: the full one, and those of items too short for it (fewer than `window` sizes)
-    lengths = sorted(r["len"] for r in items.select("len").distinct().limit(window).collect())
-    whole = None
-    for n in lengths:
-        # a window is known by its first template; items shorter than a window keep the words at sentence starts
-        base = items.filter(f"len = {n}").withColumn("vals", values(F.col("item_text"))).withColumn("ids", F.expr(_windows("t0", n))).withColumn("windows", F.size(F.array_distinct("ids")))
-        for r in (0, 1, 2) if n == window else (0, 2):
-            own = base.select("item_id", "windows", "ids", "t0", "t1", F.posexplode(F.expr(_valued(f"t{r}", n))).alias("item_at", "w"))
-            if r == 1:  # placeholders alone are no evidence
-                own = own.filter(f"exists(slice(t1, item_at + 1, {n}), x -> not x rlike '^⟨')")
-            slots = F.expr(f"filter(transform(sequence(0, {n - 1}), j -> struct(j, get(w.own, j) as a, get(t0, item_at + j) rlike '^⟨' as inner, get(t1, item_at + j) rlike '^⟨' as any)), x -> x.any)")
-            own = own.select("item_id", "windows", F.lit(n).alias("size"), "item_at", F.col("w.hash").alias("hash"), F.expr("get(ids, item_at)").alias("item_hash"), slots.alias("slots"), F.lit(r == 1).alias("wide"))
-            whole = own if whole is None else whole.union(own)
-    if whole is None:
+    whole = C.stored(item_windows(benchmark, window), "items")
+    # which arrays of windows the benchmark needs: two readings of the full size, values of few sizes
+    kinds = sorted({(r["reading"] if r["by_shape"] else VALUES, r["size"]) for r in whole.select("reading", "by_shape", "size").distinct().limit(4 * window).collect()})
+    if not kinds:
         return docs.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("n_windows"), F.lit("").alias("kind")).limit(0)
-    whole = whole.groupBy("item_id", "item_at", "size", "hash").agg(F.first("windows").alias("windows"), F.first("item_hash").alias("item_hash"), F.first("slots").alias("slots"), F.min("wide").alias("wide"))
-    known = whole.select("item_id", "windows", "hash", "item_hash").distinct()
+    known = whole.groupBy("item_id", "item", "reading", "hash").agg(F.count("*").alias("weight"), F.first("total").alias("total"))
     few = known.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    words = docs.withColumn("line", marked(F.col("text"))).select("doc_id", *[template(F.col("line"), r).alias(f"t{r}") for r in range(3)])
-    spread = None  # an outer generator: from an inner one the optimizer derives a filter that computes all windows a second time
-    for n in lengths:
-        hashes = F.array_distinct(F.concat(*[F.expr(_windows(f"t{r}", n)) for r in range(3)]))
-        own = words.select("doc_id", hashes.alias("hashes")).select("doc_id", F.explode_outer("hashes").alias("hash"))
-        spread = own if spread is None else spread.union(own)
-    hits = spread.join(F.broadcast(known) if few else known, "hash")
-    found = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("item_hash").alias("n_windows"), F.first("windows").alias("windows"))
-    found = found.filter(F.col("n_windows") / F.col("windows") >= coverage)
-    return _checked(found, docs, whole, lengths, coverage, few)
-
-
-def _checked(found: DataFrame, docs: DataFrame, whole: DataFrame, lengths: list[int], coverage: float, few: bool) -> DataFrame:
-    """Values of placeholders side by side in each matched window, so that words put in or left out elsewhere shift nothing.
-
-    Read twice: without the windows whose sentence starts are placeholders (there those words must be the same), and with them.
-    """
-    pair, group = ["doc_id", "item_id"], ["doc_id", "item_id", "wide"]
-    texts = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").withColumns({"line": marked(F.col("text")), "vals": values(F.col("text"))})
-    hits = None
-    for n in lengths:
-        for r in range(3):
-            own = texts.select("doc_id", "vals", template(F.col("line"), r).alias("words")).select("doc_id", F.posexplode_outer(F.expr(_valued("words", n))).alias("at", "w"))
-            own = own.select("doc_id", "at", "w.hash", "w.own", F.lit(r == 1).alias("spread_wide"))
-            hits = own if hits is None else hits.union(own)
-    hits = hits.join(F.broadcast(whole) if few else whole, "hash").join(found.select(pair), pair, "left_semi")
-    hits = hits.withColumn("wide", F.explode(F.expr("case when wide or spread_wide then array(true) else array(false, true) end")))
-    equal = F.expr("forall(slots, x -> x.a = get(own, x.j))")
-    windows = hits.groupBy(group).agg(F.first("windows").alias("windows"), F.count_distinct("item_hash").alias("n_windows"), F.count_distinct(F.when(equal, F.col("item_hash"))).alias("n_literal"))
-    windows = windows.withColumn("coverage", F.col("n_windows") / F.col("windows")).filter(F.col("coverage") >= coverage)
-    spots = hits.select(*group, "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "own", F.explode("slots").alias("s")).filter("wide or s.inner")
-    spots = spots.groupBy(*group, "shift", (F.col("item_at") + F.col("s.j")).alias("spot"), F.col("s.a").alias("a"), F.expr("get(own, s.j)").alias("b")).agg(F.count("*").alias("support"))
-    spots = spots.withColumn("density", F.sum("support").over(Window.partitionBy(*group, "shift")))
-    # the value next to a place is the one that most of its windows agree on; equal values come first in a second reading
-    best = F.max_by("b", F.struct("support", "density", -F.col("shift")))
-    spots = spots.groupBy(*group, "spot", "a").agg(best.alias("near"), F.bool_or(F.col("a") == F.col("b")).alias("equal"))
-    spots = spots.withColumn("alike", F.when(F.col("equal"), F.col("a")).otherwise(F.col("near")))
-    follows = lambda c: F.size(F.collect_set(F.struct("a", c))) == F.size(F.collect_set("a"))
-    sides = spots.groupBy(group).agg(F.bool_and(F.col("a") == F.col("near")).alias("same"), F.bool_and("equal").alias("equal"), (follows("near") | follows("alike")).alias("function"))
-    both = windows.join(sides, group, "left")
-    verbatim = F.col("n_literal") / F.col("windows") >= coverage
-    kind = F.when(F.coalesce("same", F.lit(True)) | (F.col("equal") & verbatim), "exact").when(F.col("function"), "reparameterised").when(verbatim, "exact")
-    both = both.withColumn("kind", kind).filter("kind is not null")
-    # exact comes before reparameterised
-    return both.groupBy(pair).agg(F.max("coverage").alias("coverage"), F.max("n_windows").alias("n_windows"), F.min("kind").alias("kind"))
+    # an outer generator: from an inner one the optimizer derives a filter that computes all windows a second time
+    every = F.array_distinct(F.concat(*[F.expr(_hashes(r, n)) for r, n in kinds]))
+    spread = tokens(docs, "text").select("doc_id", F.xxhash64("text").alias("row"), F.explode_outer(every).alias("hash"))
+    if few:
+        hits = spread.join(F.broadcast(known), "hash")
+    else:
+        known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = spread.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(known, ["hash", "salt"])
+    # rows alike in doc_id and text count once
+    found = hits.groupBy("doc_id", "row", "item_id", "item", "reading", "hash").agg(F.first("weight").alias("weight"), F.first("total").alias("total"))
+    found = found.groupBy("doc_id", "row", "item_id", "item", "reading").agg(F.sum("weight").alias("n"), F.first("total").alias("total")).filter(F.col("n") >= coverage * F.col("total"))
+    found = C.stored(found.select("doc_id", "row", "item_id", "item", "reading"), "found")
+    return _checked(found, docs, whole, kinds, coverage)
+
+
+def _checked(found: DataFrame, docs: DataFrame, whole: DataFrame, kinds: list[tuple[int, int]], coverage: float) -> DataFrame:
+    """The best copy of each found pair, by the values of its placeholders."""
+    pair = ["doc_id", "row", "item_id", "item", "reading"]
+    docs = docs.withColumn("row", F.xxhash64("text")).join(found.select("doc_id", "row").distinct(), ["doc_id", "row"], "left_semi")
+    docs = tokens(docs, "text")
+    places = None
+    for r, n in kinds:
+        own = docs.select("doc_id", "row", "vals", F.posexplode_outer(F.expr(_hashes(r, n))).alias("place", "hash"))
+        own = own.select("doc_id", "row", "hash", "place", F.slice("vals", F.col("place") + 1, F.lit(n)).alias("own"))
+        places = own if places is None else places.union(own)
+    wanted = found.join(whole, ["item_id", "item", "reading"])
+    hits = places.join(wanted, ["doc_id", "row", "hash"]).withColumn("offset", F.col("place") - F.col("at"))
+    hits = hits.withColumn("equal", F.expr("forall(slots, s -> s.value = get(own, s.j))")).dropDuplicates([*pair, "at", "place"])
+    hits = C.stored(hits.select(*pair, "total", "at", "place", "offset", "equal", "slots", "own"), "hits")
+    C.release(found, whole)
+
+    # every offset with its neighbours: the window nearest to it, and of equally near ones the earlier
+    near = hits.withColumn("anchor", F.explode(F.sequence(F.col("offset") - GAP, F.col("offset") + GAP)))
+    near = near.join(hits.select(*pair, F.col("offset").alias("anchor")).distinct(), [*pair, "anchor"], "left_semi")
+    near = near.withColumn("off", F.abs(F.col("offset") - F.col("anchor")))
+    first = Window.partitionBy(*pair, "anchor", "at").orderBy("off", "offset")
+    copy = [*pair, "anchor"]
+    taken = near.withColumn("rank", F.row_number().over(first)).filter("rank = 1")
+    # the value beside a placeholder is that of its nearest window
+    spots = taken.select(*copy, "off", "offset", "at", "own", F.explode("slots").alias("s"))
+    spots = spots.select(*copy, (F.col("at") + F.col("s.j")).alias("spot"), F.col("s.value").alias("a"), F.struct("off", "offset", "at", F.expr("get(own, s.j)").alias("b")).alias("by"))
+    spots = spots.groupBy(*copy, "spot", "a").agg(F.min("by")["b"].alias("b"))
+    values = spots.groupBy(*copy).agg(F.bool_and(F.col("a") == F.col("b")).alias("same"), (F.count_distinct("a", "b") == F.count_distinct("a")).alias("function"))
+    copies = taken.groupBy(*copy).agg(F.count("*").alias("n_windows"), F.first("total").alias("total")).join(values, copy, "left")
+    kind = F.when(F.coalesce("same", F.lit(True)), "exact").when(F.col("function"), "reparameterised")
+    copies = copies.select("doc_id", "item_id", "n_windows", "total", kind.alias("kind"))
+    verbatim = hits.filter("equal").groupBy(*pair).agg(F.count_distinct("at").alias("n_windows"), F.first("total").alias("total"))
+    every = copies.union(verbatim.select("doc_id", "item_id", "n_windows", "total", F.lit("exact"))).filter("kind is not null")
+    every = every.withColumn("coverage", F.col("n_windows") / F.col("total")).filter(F.col("coverage") >= coverage)
+    best = F.min(F.struct("kind", (-F.col("coverage")).alias("less"), (-F.col("n_windows")).alias("fewer")))  # exact sorts before reparameterised
+    every = every.groupBy("doc_id", "item_id").agg(best.alias("best"))
+    return every.select("doc_id", "item_id", (-F.col("best.less")).alias("coverage"), (-F.col("best.fewer")).alias("n_windows"), F.col("best.kind").alias("kind"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` whose doc_id leaks no item; a null doc_id stays."""
     lost = leaks(docs, benchmark, **how).select(F.col("doc_id").alias("__lost")).distinct()
     return docs.join(lost, docs["doc_id"] == lost["__lost"], "left_anti")
 
