@@ -119,10 +119,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     found = hits.groupBy("doc_id", "row", "item_id", "item", "reading", "hash").agg(F.first("weight").alias("weight"), F.first("total").alias("total"))
     found = found.groupBy("doc_id", "row", "item_id", "item", "reading").agg(F.sum("weight").alias("n"), F.first("total").alias("total")).filter(F.col("n") >= coverage * F.col("total"))
     found = C.stored(found.select("doc_id", "row", "item_id", "item", "reading"), "found")
-    return _checked(found, docs, whole, kinds, coverage)
+    return _checked(found, docs, whole, kinds, coverage, few)
 
 
-def _checked(found: DataFrame, docs: DataFrame, whole: DataFrame, kinds: list[tuple[int, int]], coverage: float) -> DataFrame:
+def _checked(found: DataFrame, docs: DataFrame, whole: DataFrame, kinds: list[tuple[int, int]], coverage: float, few: bool) -> DataFrame:
     """The best copy of each found pair, by the values of its placeholders."""
     pair = ["doc_id", "row", "item_id", "item", "reading"]
     docs = docs.withColumn("row", F.xxhash64("text")).join(found.select("doc_id", "row").distinct(), ["doc_id", "row"], "left_semi")
@@ -132,18 +132,24 @@ def _checked(found: DataFrame, docs: DataFrame, whole: DataFrame, kinds: list[tu
         own = docs.select("doc_id", "row", "vals", F.posexplode_outer(F.expr(_hashes(r, n))).alias("place", "hash"))
         own = own.select("doc_id", "row", "hash", "place", F.slice("vals", F.col("place") + 1, F.lit(n)).alias("own"))
         places = own if places is None else places.union(own)
-    wanted = found.join(whole, ["item_id", "item", "reading"])
-    hits = places.join(wanted, ["doc_id", "row", "hash"]).withColumn("offset", F.col("place") - F.col("at"))
-    hits = hits.withColumn("equal", F.expr("forall(slots, s -> s.value = get(own, s.j))")).dropDuplicates([*pair, "at", "place"])
+    if few:
+        hits = places.join(F.broadcast(whole), "hash").join(found, pair, "left_semi")
+    else:
+        hits = places.join(found.join(whole, ["item_id", "item", "reading"]), ["doc_id", "row", "hash"])
+    hits = hits.withColumns({"offset": F.col("place") - F.col("at"), "equal": F.expr("forall(slots, s -> s.value = get(own, s.j))")}).dropDuplicates([*pair, "at", "place"])
     hits = C.stored(hits.select(*pair, "total", "at", "place", "offset", "equal", "slots", "own"), "hits")
     C.release(found, whole)
 
-    # every offset with its neighbours: the window nearest to it, and of equally near ones the earlier
-    near = hits.withColumn("anchor", F.explode(F.sequence(F.col("offset") - GAP, F.col("offset") + GAP)))
-    near = near.join(hits.select(*pair, F.col("offset").alias("anchor")).distinct(), [*pair, "anchor"], "left_semi")
+    # offsets that have enough windows around them, each with its neighbours
+    ways = C.stored(hits.groupBy(*pair, "offset").agg(F.count("*").alias("n"), F.first("total").alias("total")), "offsets")
+    around = F.explode(F.sequence(F.col("offset") - GAP, F.col("offset") + GAP)).alias("anchor")
+    anchors = ways.select(*pair, "n", "total", around).groupBy(*pair, "anchor").agg(F.sum("n").alias("n"), F.first("total").alias("total")).filter(F.col("n") >= coverage * F.col("total"))
+    anchors = anchors.join(ways.select(*pair, F.col("offset").alias("anchor")), [*pair, "anchor"], "left_semi")
+    # every such offset with its neighbours: the window nearest to it, and of equally near ones the earlier
+    near = anchors.select(*pair, "anchor", F.explode(F.sequence(F.col("anchor") - GAP, F.col("anchor") + GAP)).alias("offset")).join(hits, [*pair, "offset"])
     near = near.withColumn("off", F.abs(F.col("offset") - F.col("anchor")))
-    first = Window.partitionBy(*pair, "anchor", "at").orderBy("off", "offset")
     copy = [*pair, "anchor"]
+    first = Window.partitionBy(*copy, "at").orderBy("off", "offset")
     taken = near.withColumn("rank", F.row_number().over(first)).filter("rank = 1")
     # the value beside a placeholder is that of its nearest window
     spots = taken.select(*copy, "off", "offset", "at", "own", F.explode("slots").alias("s"))
