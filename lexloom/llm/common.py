@@ -130,6 +130,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a table's bytes, 0 where it has none; it decides numbers of partitions, never results."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 50 else 0
+
+
 # ---------------------------------------------------------------- Arrow batches
 
 

@@ -26,6 +26,8 @@ from pyspark.sql.window import Window
 from . import common as C
 
 _SPACE = r"[\x20\x09-\x0D]+"
+#: Sources (rows of a name and few numbers) that may be broadcast, and parts that a hot source is dealt into beyond that.
+BROADCAST_SOURCES, SALTS = 10_000, 16
 
 
 def text_size(text: str = "text"):
@@ -73,12 +75,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     plan = C.stored(plan.join(_named(rate), _same("source", "s"), "left").drop("s").withColumn("rate", F.coalesce("rate", F.lit(0.0))), "rates")
 
     # one row per source, so small that every task may hold it; checked, with a shuffled join beyond
-    few = plan.limit(10_001).count() <= 10_000
-    side = F.broadcast(_named(plan)) if few else _named(plan)
+    few = plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("tie"))), 11).cast("double") + 0.5) / float(1 << 53)
     p = F.least(F.lit(1.0), F.col("rate") * F.sqrt("size"))
     odds = F.when((F.col("size") > 0) & (p > 0), (u / (1 - u)) * ((1 - p) / p))
-    rows = base.join(side, _same("source", "s"), "left").drop("s").withColumn("rank", odds)
+    rows = _beside(base, plan, few).withColumn("rank", odds)
     parts = F.ceil(F.sqrt("source_rows"))
     rows = rows.withColumn("part", F.floor(F.col("rank") / (1 + F.col("rank")) * parts))
     sums = rows.filter("part is not null").groupBy("source", "part").agg(F.sum("size").alias("part_size"), F.first("missing").alias("missing"))
@@ -86,25 +87,34 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     sums = sums.withColumn("until", F.sum("part_size").over(along))
     edge = sums.filter(F.col("until") > F.col("missing")).groupBy("source").agg(F.min(F.struct("part", (F.col("until") - F.col("part_size")).alias("before"))).alias("e"))
     edge = C.stored(edge.select("source", F.col("e.part").alias("edge"), F.col("e.before").alias("before")), "edges")
-    rows = rows.join(F.broadcast(_named(edge)) if few else _named(edge), _same("source", "s"), "left").drop("s")
+    rows = _beside(rows, edge, few)
     inside = Window.partitionBy("source").orderBy("rank", "doc_id", "tie")
     near = rows.filter("part = edge").withColumn("until", F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     # the last document that still fits: what follows it isn't drawn
     last = near.filter(F.col("until") <= F.col("missing")).groupBy("source").agg(F.max(F.struct("rank", "doc_id", "tie")).alias("last"), F.max("until").alias("reached"))
     stop = edge.join(_named(last), _same("source", "s"), "left").drop("s").select("source", "last", F.coalesce("reached", "before").alias("reached"))
     stop = C.stored(stop, "stops")
-    rows = rows.join(F.broadcast(_named(stop)) if few else _named(stop), _same("source", "s"), "left").drop("s")
+    rows = _beside(rows, stop, few)
     drawn = F.coalesce((F.col("edge").isNull() & F.col("part").isNotNull()) | (F.col("part") < F.col("edge")) | ((F.col("part") == F.col("edge")) & (F.struct("rank", "doc_id", "tie") <= F.col("last"))), F.lit(False))
     rows = rows.withColumn("drawn", drawn)
     gap = F.col("missing") - F.col("reached")
     better = rows.filter(~F.col("drawn") & (F.col("size") > 0) & (F.abs(F.col("size") - gap) < gap))
     closing = better.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - gap).alias("off"), "rank", "doc_id", "tie")).alias("c")).select("source", F.col("c.doc_id").alias("c_doc"), F.col("c.tie").alias("c_tie"), F.lit(True).alias("closes"))
-    rows = rows.join(F.broadcast(_named(closing)) if few else _named(closing), _same("source", "s"), "left").drop("s")
+    rows = _beside(rows, closing, few)
     closes = F.coalesce(F.col("closes") & F.col("c_doc").eqNullSafe(F.col("doc_id")) & F.col("c_tie").eqNullSafe(F.col("tie")), F.lit(False))
     copies = F.col("certain") + F.when(F.col("drawn") | closes, 1).otherwise(0)
     return rows.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "source", "tie")
 
 
+def _beside(rows: DataFrame, side: DataFrame, few: bool) -> DataFrame:
+    """``rows`` with the columns of ``side``, a row a source; a source may hold a third of all rows."""
+    if few:
+        return rows.join(F.broadcast(_named(side)), _same("source", "s"), "left").drop("s")
+    dealt = _named(side).withColumn("part_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(SALTS)).cast("int"))
+    return rows.join(dealt, _same("source", "s") & (F.col("salt") == F.col("part_of")), "left").drop("s", "salt", "part_of")
+
+
 def _named(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed("source", "s")
 

@@ -10,8 +10,9 @@ their positions into longs and sorted; positions whose leading 33 bits have a ne
 again on the whole hash, so a document costs n log n and no shuffle.
 
 Defined results: null text counts as empty (no words, so it fails ``few_words``); a null doc_id is kept as
-it is; an empty table gives an empty ledger; further columns pass through ``quality_ledger`` unless they
-have the name of a measurement, which then is replaced.
+it is; rows are judged one by one, repeated ones alike; an empty table gives an empty ledger; further columns pass through
+``quality_ledger`` unless they have the name of a measurement or are called failed_rules, which then are replaced;
+``passing_documents`` returns all columns as they came, whatever their names.
 """
 
 from __future__ import annotations
@@ -96,14 +97,15 @@ def passes(policy: str, bits: Column | None = None) -> Column:
     return (F.col("failed_rules") if bits is None else bits).bitwiseAND(F.lit(POLICIES[policy]).cast("long")) == 0
 
 
-def passing_documents(docs: DataFrame, policy: str) -> DataFrame:
-    """The rows of ``docs`` that a policy lets pass.
+def passing_documents(docs: DataFrame, policy: str, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that a policy lets pass, with their columns as they are.
 
     The row number is there because it is not deterministic: the optimizer can't move the
     filter below the measurements, where each use would compute them again.
     """
-    ledger = quality_ledger(docs).withColumn("__row", F.monotonically_increasing_id())
-    return ledger.filter(passes(policy) & (F.col("__row") >= 0)).select(docs.columns)
+    private = {c: f"__in_{i}" for i, c in enumerate(docs.columns)}
+    ledger = quality_ledger(docs.withColumnsRenamed(private), private[text]).withColumn("__row", F.monotonically_increasing_id())
+    return ledger.filter(passes(policy) & (F.col("__row") >= 0)).select([F.col(own).alias(c) for c, own in private.items()])
 
 
 def ablation(ledger: DataFrame, policy: str = "v1") -> DataFrame:

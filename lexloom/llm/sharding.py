@@ -1,16 +1,21 @@
 """Sharding: a Feistel permutation with cycle walking over global row numbers.
 
-Rows get gapless numbers in an order that only their content decides: a hash bucket of the
-doc_id, then doc_id, digest of the text. Buckets are fixed in number, so their row counts (one
+Rows get gapless numbers in an order that only their content decides: a hash bucket of doc_id and text,
+then doc_id, digest of the text. The number of buckets grows with the number of rows, so their row counts (one
 small table) give each bucket's first number, and numbering needs no global sort. A Feistel network on
-Z_a x Z_b, with a * b just over the number of rows, permutes the numbers; the few results past the end
-walk on until they fall inside. The permuted number gives shard and slot, so anyone can compute where a row
+Z_a x Z_b permutes the numbers; the few results past the end walk on until they fall inside. The permuted number
+gives shard and slot, so anyone can compute where a row
 number goes without the table. DataFrame expressions only; one shuffle of short rows.
 
-The law is ``rows``: counts of the shards differ by one at most.
+How far a row may walk: a * b exceeds the rows by less than a = ceil(sqrt(rows)), and a walk visits no outside place twice.
+Up to 4,096 rows that makes at most 63 steps outside. Beyond, each step leads outside with a probability under 1/64,
+64 of them with one of 10**-115; if it ever happened, the query fails with an error that names another seed as remedy.
+
+The law is ``rows``: counts of the shards differ by one at most. Rows with equal texts form no unit under this law: each row
+has a place of its own, and copies may fall into different shards.
 
 Defined results: null text has no bytes and CRC 0; null doc_ids are spread by their text; rows
-alike in doc_id and text are interchangeable; an empty table gives an empty result; further columns are kept by
+alike in doc_id and text are interchangeable (and numbered in one task, as short rows); an empty table gives an empty result; further columns are kept by
 ``shard_rows`` unless they are called shard or slot, which are replaced.
 """
 
@@ -22,13 +27,14 @@ from pyspark.sql.window import Window
 
 from . import common as C
 
-BUCKETS, ROUNDS, SEED, WALK = 4096, 6, 20240607, 64
+#: Rows that a bucket holds on average, buckets at least; rounds of the network, steps of a walk.
+BUCKET_ROWS, LEAST_BUCKETS, ROUNDS, SEED, WALK = 1 << 17, 64, 6, 20240607, 64
 
 
 def permute(df: DataFrame, number: str, total: str, out: str, seed: int = SEED) -> DataFrame:
     """Permute 0 .. total-1. State is a struct (l, r), one round at a time, so no expression is repeated."""
     df = df.withColumn("__a", F.greatest(F.ceil(F.sqrt(F.col(total).cast("double"))).cast("long"), F.lit(1).cast("long"))).withColumn("__b", F.expr(f"greatest(({total} + __a - 1) div __a, 1L)"))
-    rounds = "s"
+    rounds = "named_struct('l', x % __a, 'r', x div __a)"
     for i in range(ROUNDS):
         if i % 2 == 0:
             step = f"named_struct('l', pmod(s.l + pmod(xxhash64(s.r, {seed}L, {i}), __a), __a), 'r', s.r)"
@@ -36,15 +42,18 @@ def permute(df: DataFrame, number: str, total: str, out: str, seed: int = SEED)
             step = f"named_struct('l', s.l, 'r', pmod(s.r + pmod(xxhash64(s.l, {seed}L, {i}), __b), __b))"
         rounds = f"element_at(transform(array({rounds}), s -> {step}), 1)"
     once = f"element_at(transform(array({rounds}), s -> s.l + __a * s.r), 1)"
-    once = once.replace("array(s)", "array(named_struct('l', x % __a, 'r', x div __a))", 1)
-    walk = f"aggregate(sequence(1, {WALK}), {{}}, (x, i) -> case when i > 1 and x < {total} then x else {once} end)"
-    return df.withColumn(out, F.expr(walk.format(number))).drop("__a", "__b")
+    walk = f"aggregate(sequence(1, {WALK}), y, (x, i) -> case when x < {total} then x else {once} end)"
+    lost = f"raise_error('a row left the table {WALK} times; choose another seed than {seed}')"
+    home = f"element_at(transform(array({walk}), z -> case when z < {total} then z else {lost} end), 1)"
+    first = f"element_at(transform(array({number}), x -> {once}), 1)"
+    return df.withColumn(out, F.expr(f"element_at(transform(array({first}), y -> case when y < {total} then y else {home} end), 1)")).drop("__a", "__b")
 
 
 def number_rows(df: DataFrame, key: str = "doc_id", tie: str = "__tie") -> DataFrame:
     """``df`` with __number (0 .. n-1) and __total."""
-    df = df.withColumn("__bucket", F.pmod(F.xxhash64(F.when(F.col(key).isNull(), F.col(tie)).otherwise(F.col(key).cast("long"))), F.lit(BUCKETS)).cast("int"))
-    counts = df.groupBy("__bucket").agg(F.count("*").alias("__n"))  # at most BUCKETS rows
+    buckets = max(LEAST_BUCKETS, df.count() // BUCKET_ROWS)
+    df = df.withColumn("__bucket", F.pmod(F.xxhash64(F.col(key).cast("long"), F.col(tie)), F.lit(buckets)).cast("int"))
+    counts = df.groupBy("__bucket").agg(F.count("*").alias("__n"))  # one row for BUCKET_ROWS rows
     running = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__bucket", F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__first"), F.sum("__n").over(Window.partitionBy(F.lit(1))).alias("__total"))
     within = F.row_number().over(Window.partitionBy("__bucket").orderBy(F.col(key).asc_nulls_last(), tie))

@@ -9,7 +9,7 @@ windows merge into maximal removal intervals of words.
 
 Cost: one shuffle of about 8 bytes a window, one of the texts (compressed). A window that a
 third of all documents hold sends one entry a chunk, not one a document. Buckets grow in
-number with ``spark.sql.shuffle.partitions``; nothing is collected or broadcast.
+number with the input's bytes; nothing is collected or broadcast.
 
 Equality of windows is that of 64-bit hashes: n windows give about n*n / 2**65 false matches
 (0.0005 expected for 137 million windows).
@@ -38,6 +38,9 @@ _BLOCK_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("bucket",
 #: kinds of rows: hashes for a bucket, covered hashes for documents, a document.
 _HASHES, _COVERED, _DOCUMENT = 0, 1, 2
 
+#: Bytes of input that one bucket of hashes, and one part of documents, may stand for; there are at least as many as shuffle partitions.
+PART_BYTES = 256 << 20
+
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, intervals array<struct<start:long,end:long>>"
 
 
@@ -258,12 +261,13 @@ def substring_dedup(docs: DataFrame, window: int = 50, *, with_text: bool = Fals
     chunk_windows: windows of consecutive documents whose repeats a map task joins before the
     shuffle; it bounds a task's memory (about 40 bytes a window) and changes no result.
     """
-    parts = C.shuffle_partitions(docs.sparkSession)
+    tasks = C.shuffle_partitions(docs.sparkSession)
+    parts = max(tasks, C.estimated_bytes(docs) // PART_BYTES)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hashes = docs.filter("doc_id is not null and text is not null").mapInArrow(_hash_blocks(window, parts, chunk_windows), _BLOCK)
-    covered = hashes.repartition(parts, "part").sortWithinPartitions("kind", "bucket").mapInArrow(_count_buckets(parts), _BLOCK)
+    covered = hashes.repartitionById(parts, "part").sortWithinPartitions("kind", "bucket").mapInArrow(_count_buckets(parts), _BLOCK)
     rows = covered.unionByName(docs.mapInArrow(_documents(parts), _BLOCK))
-    return rows.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_remove(window, with_text), RESULT + ", text string" * with_text)
+    return rows.repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_remove(window, with_text), RESULT + ", text string" * with_text)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

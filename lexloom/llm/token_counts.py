@@ -7,7 +7,8 @@ once and looks its length up afterwards. Pieces to encode go to the library in b
 bytes. The table of lengths is bounded; when it is full, it starts anew.
 
 Places where the byte before is part of a character that might be Unicode white space are no boundaries. Special
-strings hold no white space, so none is cut, and the library treats them in a piece as in the text.
+strings hold no white space, so none is cut, and the library treats them in a piece as in the text; a tokenizer with an added
+token that holds white space, or one of another kind, encodes whole texts. A text without white space is one piece.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); rows are kept as they are, whatever their doc_id; an
 empty table gives an empty result; further columns are ignored.
@@ -59,7 +60,8 @@ class Lengths:
         new = np.flatnonzero(~known)
         if len(new):
             raw = buf.tobytes()
-            out[new] = self.count([raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            a, b = starts[first[new]], ends[first[new]]
+            out[new] = self.count([raw[i:j].decode() for i, j in zip(a.tolist(), b.tolist(), strict=True)], (b - a).tolist())
             if len(self.keys) + len(new) > REMEMBERED:
                 self.keys, self.values = np.empty(0, np.uint64), np.empty(0, np.int32)
             keys, values = np.concatenate([self.keys, distinct[new]]), np.concatenate([self.values, out[new]])
@@ -68,11 +70,12 @@ class Lengths:
         return out[back]
 
 
-def _balanced(pieces: list[str]) -> Iterator[list[str]]:
+def _balanced(pieces: list[str], sizes: list[int] | None) -> Iterator[list[str]]:
+    """Batches of about ``BATCH_BYTES`` each; ``sizes`` are the pieces' bytes."""
     held, size = [], 0
-    for p in pieces:
+    for p, n in zip(pieces, sizes or [len(p.encode()) for p in pieces], strict=True):
         held.append(p)
-        size += len(p)
+        size += n
         if size >= BATCH_BYTES:
             yield held
             held, size = [], 0
@@ -81,19 +84,19 @@ def _balanced(pieces: list[str]) -> Iterator[list[str]]:
 
 
 def load_counter(path: str):
-    """A function from texts to token counts, for a .json (tokenizers) or .model (sentencepiece) file."""
+    """A function from texts (and their bytes, if known) to token counts, for a .json (tokenizers) or .model (sentencepiece) file."""
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+        return lambda texts, sizes=None: [len(x) for batch in _balanced(texts, sizes) for x in model.encode(batch, num_threads=1)]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return lambda texts: [len(x) for batch in _balanced(texts) for x in tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+    return lambda texts, sizes=None: [len(x) for batch in _balanced(texts, sizes) for x in tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
 
 
 _LOADED: dict[str, Lengths] = {}
@@ -140,7 +143,7 @@ def _splits(path: str) -> bool:
     with open(path, encoding="utf-8") as f:
         kind = json.load(f)
     before = kind.get("pre_tokenizer") or {}
-    plain = not any(a.get(k) for a in kind.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word"))
+    plain = not any(a.get(k) for a in kind.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")) and not any(any(c.isspace() for c in a.get("content", "")) for a in kind.get("added_tokens", []))
     return plain and not kind.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
 
 

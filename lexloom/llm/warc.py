@@ -6,13 +6,15 @@ record, and validates version line, mandatory fields, block length, closing byte
 fails gives a row with an ``error``; the ones after it are still read.
 
 Archives are written through Spark's text writer, hence on any file system, with its commit protocol: one row is
-one frame, and the line separator is itself an empty skippable frame (``P*M\x18\0\0\0\0``), which every decoder passes
-over. Which records are revisits is found on digests alone: (page_id, digest) rows are counted per
+a few MB of frames, and the line separator is itself an empty skippable frame (``P*M\x18\0\0\0\0``), which every decoder passes
+over. After a fixed number of rows the writer begins another archive, again with the dictionary, so an archive is never
+larger than a reader's memory allows. Which records are revisits is found on digests alone: (page_id, digest) rows are counted per
 digest, and only digests that occur again are joined back, salted, since one payload may fill a third of all pages.
 
 Defined results: null html is an empty payload; null urls get a name from the page_id; a null page_id is always a
 response and nobody revisits it; rows that share the smallest page_id are all responses; an empty table gives an empty
-result; further columns are ignored.
+result (and a folder without records reads as an empty table); a very long page is one record of its own; further columns are
+ignored, whatever their names. ``revisit_errors`` holds what revisits say against the responses they refer to.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ SEPARATOR = "P*M\x18\x00\x00\x00\x00"
 
 #: The dictionary is trained on so many pages, so many bytes of each; it only affects the size of archives.
 SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES = 200, 8192, 32768
-#: Revisit rows that may be broadcast to the writers.
+#: Revisit rows (page_id, SHA-1, page_id: under 100 bytes each) that may be broadcast to the writers.
 BROADCAST_REVISITS, SALTS = 50_000, 16
 
 _MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
@@ -177,35 +179,47 @@ def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return seen.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(spread, ["sha", "salt"]).filter("page_id > refers_to").select("page_id", "sha", "refers_to").distinct()
 
 
-def _frames(dictionary: bytes, level: int):
-    schema = pa.schema([("value", pa.binary())])
+#: Bytes of frames that a row of the text writer holds, rows that an archive holds: archives of about 64 MB, whatever the partitions.
+ROW_BYTES, ARCHIVE_ROWS = 4 << 20, 16
+
+
+def _frames(dictionary: bytes, level: int, row_bytes: int, archive_rows: int):
+    """Rows of frames for archives of ``archive_rows`` rows each; the first row of each archive begins with the dictionary."""
+    schema, gap = pa.schema([("value", pa.binary())]), SEPARATOR.encode()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         how = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
         encoder = zstandard.ZstdCompressor(level=level, write_checksum=True, **how)
-        held, size = [dictionary_frame(dictionary)] if dictionary else [], 0
+        held, size, written = [], 0, 0
+
+        def row():
+            head = [dictionary_frame(dictionary)] if dictionary and written % archive_rows == 0 else []
+            return pa.RecordBatch.from_arrays([pa.array([gap.join([*head, *held])], pa.binary())], schema=schema)
+
         for batch in batches:
             for page_id, url, html, refers_to in zip(*batch.columns, strict=True):
                 held.append(encoder.compress(record(page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), refers_to.as_py())))
                 size += len(held[-1])
-                if size >= 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], schema=schema)
-                    held, size = [], 0
+                if size >= row_bytes:
+                    yield row()
+                    held, size, written = [], 0, written + 1
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], schema=schema)
+            yield row()
 
     return rows
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, level: int = 3) -> None:
-    """One archive per partition of ``pages`` (page_id, url, html) into the folder ``path``."""
+    """Archives of bounded size, one or more per partition of ``pages`` (page_id, url, html), into the folder ``path``."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     sample = [(r["s"] or "").encode() for r in pages.select(F.substring("html", 1, SAMPLE_BYTES).alias("s")).limit(SAMPLE_PAGES).collect()]
     again = C.stored(revisits(pages, least_bytes).withColumnsRenamed({"page_id": "__id", "sha": "__sha"}), "revisits")
-    side = F.broadcast(again) if again.limit(BROADCAST_REVISITS + 1).count() <= BROADCAST_REVISITS else again
     sha = F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
+    side = F.broadcast(again) if again.limit(BROADCAST_REVISITS + 1).count() <= BROADCAST_REVISITS else again
     rows = pages.withColumn("__own", sha).join(side, (F.col("page_id") == F.col("__id")) & (F.col("__own") == F.col("__sha")), "left").select("page_id", "url", "html", "refers_to")
-    rows.mapInArrow(_frames(train(sample), level), "value binary").select(F.col("value").cast("string")).write.option("lineSep", SEPARATOR).text(path)
+    rows = rows.mapInArrow(_frames(train(sample), level, ROW_BYTES, ARCHIVE_ROWS), "value binary").select(F.col("value").cast("string"))
+    rows.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", ARCHIVE_ROWS).text(path)
+    C.release(again)
 
 
 _READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("error", pa.string()), ("archive", pa.string())])
@@ -238,6 +252,16 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
     return files.mapInArrow(_records(with_payload), columns)
 
 
+def revisit_errors(records: DataFrame) -> DataFrame:
+    """(page_id, refers_to, error): revisits whose response is missing or has another length or digest. ``records`` as read back."""
+    said = records.filter("record_type = 'revisit' and error is null").select("page_id", "refers_to", F.col("payload_bytes").alias("__bytes"), F.col("payload_digest").alias("__digest"), F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("__salt"))
+    held = records.filter("record_type = 'response' and error is null").select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").distinct()
+    # one response may be what a third of all records refer to
+    held = held.join(said.select("refers_to").distinct(), "refers_to", "left_semi").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    wrong = F.when(F.col("payload_digest").isNull(), "no response").when(F.col("payload_digest") != F.col("__digest"), "another digest").when(F.col("payload_bytes") != F.col("__bytes"), "another length")
+    return said.join(held, ["refers_to", "__salt"], "left").select("page_id", "refers_to", wrong.alias("error")).filter("error is not null")
+
+
 def op2_warc(spark, sf_dir: str) -> DataFrame:
     path = C.shared_path(spark, "archives")
     write_archives(C.table(spark, sf_dir, "pages"), path)

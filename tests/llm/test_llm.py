@@ -237,6 +237,14 @@ def test_policies_and_ablation(docs):
     assert quality_rules.passing_documents(docs.limit(0), "v1").count() == 0
 
 
+def test_passing_documents_keep_their_columns(docs):
+    mine = docs.withColumns({c: F.concat(F.lit("mine "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) for c in (*quality_rules.MEASURES, "failed_rules", "__text", "__words", "__row")})
+    kept = quality_rules.passing_documents(mine, "v1")
+    good = Counter(r.doc_id for r in quality_rules.quality_ledger(docs).collect() if r.failed_rules == 0)
+    assert kept.schema == mine.schema and Counter(r.doc_id for r in kept.collect()) == good
+    assert all(r.n_words == r.failed_rules == f"mine {'null' if r.doc_id is None else r.doc_id}" for r in kept.collect())
+
+
 def test_labelled_documents(spark, data):
     ledger = quality_rules.quality_ledger(spark.read.parquet(f"{data}/documents.parquet")).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id")
     bad = ledger.filter((F.col("quality") == 0) & quality_rules.passes("v1")).count()
@@ -267,6 +275,50 @@ def test_sharding(docs):
     assert sharding.shard_rows(docs.limit(0)).count() == 0
 
 
+def brute_place(x, n, seed, hashes):
+    """The network of the docstring on whole numbers, by a table of Spark's hashes (value, round)."""
+    a = max(1, int(np.ceil(np.sqrt(n))))
+    b = max(1, -(-n // a))
+    while True:
+        left, right = x % a, x // a
+        for i in range(sharding.ROUNDS):
+            if i % 2 == 0:
+                left = (left + hashes[right, i] % a) % a
+            else:
+                right = (right + hashes[left, i] % b) % b
+        x = left + a * right
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [7, 100, 1000])
+def test_permutation_recomputed(spark, n):
+    keys = spark.range(64).crossJoin(spark.range(sharding.ROUNDS).withColumnRenamed("id", "i"))
+    hashes = {(r.id, r.i): r.h for r in keys.select("id", "i", F.xxhash64("id", F.lit(sharding.SEED).cast("long"), F.col("i").cast("int")).alias("h")).collect()}
+    got = {r.id: r.p for r in sharding.permute(spark.range(n).withColumn("t", F.lit(n).cast("long")), "id", "t", "p").collect()}
+    assert got == {x: brute_place(x, n, sharding.SEED, hashes) for x in range(n)}
+
+
+def test_many_buckets_number_without_gaps(docs, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 1)
+    got = sharding.number_rows(docs.withColumn("__tie", F.xxhash64("text"))).collect()
+    assert sorted(r["__number"] for r in got) == list(range(docs.count()))
+
+
+def test_rows_lost_on_their_walk_are_an_error(spark, monkeypatch):
+    """With one step outside allowed, a table of 17 rows on 20 places is permuted whole or not at all."""
+    monkeypatch.setattr(sharding, "WALK", 1)
+    lost = 0
+    for seed in range(25):
+        df = sharding.permute(spark.range(17).withColumn("t", F.lit(17).cast("long")), "id", "t", "p", seed=seed)
+        try:
+            assert sorted(r.p for r in df.collect()) == list(range(17))
+        except Exception as e:
+            assert "another seed" in str(e)
+            lost += 1
+    assert 0 < lost < 25
+
+
 # ---------------------------------------------------------------- 6, mixing
 
 
@@ -301,12 +353,61 @@ def test_mixing(docs):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def mix_key(r):
+    return (r["rank"], r["doc_id"], r["tie"])
+
+
+def brute_sample(rows, missing):
+    """Rates, ranks and the closing document of one source, from its rows (size, u, doc_id, tie)."""
+    sized = sorted((r for r in rows if r["size"] > 0), key=lambda r: -r["size"])
+    best = 0.0
+    for size in sorted({r["size"] for r in sized}):
+        sure = sum(r["size"] for r in sized if r["size"] > size)
+        rate = (missing - sure) / sum(r["size"] ** 1.5 for r in sized if r["size"] <= size)
+        if rate * size**0.5 <= 1:
+            best = rate
+    ranked = []
+    for r in sized:
+        p = min(1.0, best * r["size"] ** 0.5)
+        if p > 0:
+            ranked.append(r | {"rank": r["u"] / (1 - r["u"]) * ((1 - p) / p)})
+    ranked.sort(key=mix_key)
+    drawn, total = set(), 0
+    for r in ranked:
+        if total + r["size"] > missing:
+            break
+        total += r["size"]
+        drawn.add((r["doc_id"], r["tie"]))
+    gap = missing - total
+    rest = [r for r in ranked if (r["doc_id"], r["tie"]) not in drawn and abs(r["size"] - gap) < gap]
+    if rest:
+        r = min(rest, key=lambda r: (abs(r["size"] - gap), *mix_key(r)))
+        drawn.add((r["doc_id"], r["tie"]))
+    return drawn
+
+
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_mixed_sample_recomputed(spark, data, monkeypatch, few):
+    """Which documents a source's sample takes, also where the plan of sources is too long to be broadcast."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", few)
+    d = spark.read.parquet(f"{data}/documents.parquet")
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(11), F.col("doc_id"), F.lit(None).cast("long")), 11).cast("double") + 0.5) / float(1 << 53)
+    rows = [r.asDict() for r in mixing.mix_sources(d).withColumn("u", u).collect()]
+    for source in {r["source"] for r in rows}:
+        own = [r for r in rows if r["source"] == source]
+        certain = int(own[0]["target"] // own[0]["source_size"])
+        drawn = brute_sample(own, own[0]["target"] - certain * own[0]["source_size"])
+        assert {(r["doc_id"], r["tie"]) for r in own if r["copies"] > certain} == drawn
+        assert all(r["copies"] in (certain, certain + 1) for r in own)
+
+
 def test_mixed_documents(spark, data):
     d = spark.read.parquet(f"{data}/documents.parquet")
     taken = {r.doc_id: r.copies for r in mixing.mix_sources(d).collect()}
     got = mixing.mixed_documents(d)
     assert got.columns == d.columns
     assert Counter(r.doc_id for r in got.collect()) == Counter({k: v for k, v in taken.items() if v})
+    assert mixing.mixed_documents(d.limit(0)).count() == 0
 
 
 # ---------------------------------------------------------------- 1, decontamination
@@ -481,6 +582,31 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_warc_archives_roll_over(spark, tmp_path, monkeypatch):
+    """Several archives from one partition, each with its dictionary; a very long page; clashing columns; revisits checked against responses."""
+    monkeypatch.setattr(warc, "ROW_BYTES", 400)
+    monkeypatch.setattr(warc, "ARCHIVE_ROWS", 2)
+    rows = [*((i, f"http://h/{i}", f"page {i % 9} " * 40) for i in range(60)), (100, "http://long/", "long " * 400_000)]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).withColumns({"sha": F.lit("mine"), "refers_to": F.lit("mine"), "payload": F.lit(1)})
+    warc.write_archives(p, f"file://{tmp_path}/w")
+    got = warc.read_archives(spark, f"file://{tmp_path}/w")
+    read = got.collect()
+    assert len({r.archive for r in read}) > 5 and all(r.error is None for r in read)
+    assert {(r.page_id, r.payload_bytes) for r in read} == {(i, len(h)) for i, _, h in rows} and len(read) == len(rows)
+    assert warc.revisit_errors(got).count() == 0
+    wrong = got.filter("page_id <> 3").withColumn("payload_bytes", F.when(F.col("page_id") == 4, F.lit(1).cast("long")).otherwise(F.col("payload_bytes")))
+    errors = {(r.refers_to, r.error) for r in warc.revisit_errors(wrong).collect()}
+    assert errors == {(3, "no response"), (4, "another length")}
+
+
+def test_warc_many_revisits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_REVISITS", 0)
+    p = spark.createDataFrame([(i, None, f"x{i % 5}") for i in range(40)], "page_id long, url string, html string")
+    warc.write_archives(p, f"file://{tmp_path}/w")
+    got = {r.page_id: r.refers_to for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()}
+    assert got == {i: None if i < 5 else i % 5 for i in range(40)}
+
+
 def test_warc_checks():
     good = warc.record(1, "http://a/", b"payload", None)
     assert warc.parse(good)["error"] is None and warc.parse(good)["payload"] == b"payload"
@@ -523,7 +649,8 @@ def test_url_rules(spark):
             host = lower(host)
         fits = [(h + q, v) for v, h, q in url_filters.RULES if (host == h or host.endswith("." + h)) and path.startswith(q)]
         rule, verdict = max(fits, key=lambda x: len(x[0]), default=(None, None))
-        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule) and got[i].verdict == (verdict or got[i].verdict)
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
+    assert {(i, r.host, r.verdict) for i, r in got.items()} == {*brute_verdicts([(i, u, None) for i, u in enumerate(urls)])}
     assert url_filters.filter_urls(p.limit(0)).count() == 0
 
 
@@ -534,15 +661,73 @@ def test_propagation_matches_dense_iteration(spark):
     seeds = {"h0": 0.75, "h5": 0.25}
     links = spark.createDataFrame([("trust", a, b, n) for (a, b), n in edges.items()], "kind string, source string, target string, n long")
     s = spark.createDataFrame([("trust", h, x) for h, x in seeds.items()], "kind string, host string, seed double")
-    got = {x.host: x.rank for x in url_filters.propagate(links, s, rounds=5).collect()}
+    got = {x.host: x.rank for x in url_filters.propagate(links, s, tolerance=1e-6).collect()}
     rank = {h: seeds.get(h, 0.0) for h in hosts}
-    for _ in range(5):
+    for _ in range(200):
         moved = dict.fromkeys(hosts, 0.0)
         for (a, b), n in edges.items():
             moved[b] += rank[a] * n / sum(m for (x, _), m in edges.items() if x == a)
         lost = 1 - sum(moved.values())
         rank = {h: 0.85 * (moved[h] + lost * seeds.get(h, 0)) + 0.15 * seeds.get(h, 0) for h in hosts}
-    assert all(got.get(h, 0) == pytest.approx(rank[h]) for h in hosts)
+    assert all(got.get(h, 0) == pytest.approx(rank[h], abs=1e-5) for h in hosts)
+
+
+def brute_verdicts(pages):
+    """Rules, seeds, links and ranks over dictionaries, iterated to the end."""
+    seen, links = [], Counter()
+    for page_id, url, html in pages:
+        host = path = ""
+        if url and "://" in url:
+            host, path = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1], re.S).groups()
+            host = lower(host)
+        fits = [(len(h + q), k, v) for k, (v, h, q) in enumerate(url_filters.RULES) if (host == h or host.endswith("." + h)) and path.startswith(q)]
+        seen.append((page_id, host, max(fits)[2] if fits else None))
+        base = re.search(r"""<base href=["']https?://([^/"']+)""", html or "")
+        for href in re.findall(r"""<(?:a|area|link) href=["']([^"']+)""", html or ""):
+            named = re.match(r"(?:https?:)?//([^/]+)", href)
+            to = named[1] if named else base[1] if base and not re.match(r"[a-z]+:", href) else None
+            if host and to and lower(to) != host:
+                links[host, lower(to)] += 1
+    ranks = {}
+    for kind, word, edges in (("trust", "allow", links), ("distrust", "block", Counter({(b, a): n for (a, b), n in links.items()}))):
+        hosts = {h for _, h, _ in seen if h}
+        hits = {h: sum(x == h and v == word for _, x, v in seen) for h in hosts}
+        seeds = {h: n for h, n in hits.items() if n and n >= 0.9 * sum(x == h for _, x, _ in seen)}
+        seeds = {h: n / sum(seeds.values()) for h, n in seeds.items()}
+        rank, out = dict(seeds), Counter()
+        for (a, _), n in edges.items():
+            out[a] += n
+        for _ in range(300 if links else 0):
+            moved = Counter()
+            for (a, b), n in edges.items():
+                moved[b] += rank.get(a, 0) * n / out[a]
+            lost = 1 - sum(moved.values())
+            rank = {h: 0.85 * (moved[h] + lost * seeds.get(h, 0)) + 0.15 * seeds.get(h, 0) for h in {*moved, *seeds}}
+        ranks[kind] = rank
+    return Counter((i, h, v or ("block" if ranks["distrust"].get(h, 0) - ranks["trust"].get(h, 0) > 1e-6 else "allow")) for i, h, v in seen)
+
+
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_verdicts_over_a_graph_of_hosts(spark, monkeypatch, few):
+    """A table with links between hosts, by brute force end to end; also where scores are too many to be broadcast."""
+    monkeypatch.setattr(url_filters, "BROADCAST_HOSTS", few)
+    r = random.Random(4)
+    hosts = [f"{a}.{t}" for a in ("a", "b", "c", "d", "e") for t in ("org", "com", "net", "info")]
+    pages = []
+    for i in range(160):
+        h = r.choice(hosts)
+        path = r.choice({"a.com": ["/de/x", "/de/"], "b.com": ["/de/x", "/fr/y", "/"]}.get(h, ["/x", "/y?z", ""]))
+        to = [r.choice(["a.com"] if h.endswith("info") else hosts if r.random() < 0.3 else [x for x in hosts if x.endswith(h.rsplit(".", 1)[1])]) for _ in range(r.randint(0, 4))]
+        html = "".join(f'<{r.choice(["a", "area", "link"])} href="{r.choice(["http://", "https://", "//"])}{r.choice([x, x.upper()])}/p">' for x in to)
+        if i % 11 == 0:
+            html = f'<base href="http://{r.choice(hosts)}/q/"><a href="rel/x"> <a href="mailto:me">{html}'
+        pages.append((i, f"http://{h}{path}", html))
+    pages += [(3, "http://a.net/", None), (3, "http://a.net/", None), (None, None, '<a href="http://a.com/">'), (200, "nohost", None)]
+    p = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({c: F.lit("mine") for c in ("host", "rule", "kind", "salt", "rank")})
+    got = Counter((x.page_id, x.host, x.verdict) for x in url_filters.filter_urls(p).collect())
+    want = brute_verdicts(pages)
+    assert got == want and len({v for _, _, v in want}) == 2
+    assert any(v == "block" and not h.endswith("com") for _, h, v in want)
 
 
 def test_distrust_goes_against_links(spark):
@@ -583,6 +768,78 @@ def test_license_scan(spark, docs, texts):
     assert all(0 <= r.score <= 1 and {*filter(None, r.base_labels.split(","))} <= {*r.labels.split(",")} for r in got)
 
 
+def brute_chains(scanner, words):
+    """Maximal runs by comparing every place of a text with every place of a template, then the chain rule of the docstring."""
+    out = []
+    for t, whole in enumerate(scanner.templates):
+        runs = []
+        for i in range(len(words)):
+            for j in range(len(whole)):
+                n = 0
+                while i + n < len(words) and j + n < len(whole) and words[i + n] == whole[j + n]:
+                    n += 1
+                runs.append((i, n, j))
+        # a run counts where no longer known run of any template ends at the same word
+        ends = {}
+        for u in scanner.templates:
+            for i in range(len(words)):
+                for j in range(len(u)):
+                    n = 0
+                    while i + n < len(words) and j + n < len(u) and words[i + n] == u[j + n]:
+                        n += 1
+                        ends[i + n] = max(ends.get(i + n, 0), n)
+        kept = set()
+        for i, n, j in runs:
+            for m in range(scanner.least, n + 1):
+                if ends[i + m] == m and ends.get(i + m + 1, 0) <= m:
+                    kept.add((i, m, j))
+        chain, done, end = None, 0, 0
+        for start, n, place in [*sorted(kept), (1 << 60, 0, 0)]:
+            if chain and start - chain[1] <= license_scan.SKIP and start + n > chain[1] and place + n > end:
+                done += min(n, start + n - chain[1], place + n - end)
+                chain, end = (chain[0], start + n), place + n
+                continue
+            if chain and done >= (len(whole) if len(whole) <= license_scan.SHORT else scanner.cover * len(whole)):
+                out.append((scanner.labels[t], *chain, min(1.0, done / len(whole))))
+            chain, done, end = (start, start + n), n, place + n
+    return sorted(x for x in out if not any(x[0] != y[0] and y[1] <= x[1] and x[2] <= y[2] and ((y[1], y[2]) != (x[1], x[2]) or y[3] > x[3]) for y in out))
+
+
+def test_chains_against_all_runs():
+    r, found = random.Random(8), 0
+    for _ in range(150):
+        templates = [(f"t{k}", " ".join(f"w{r.randint(0, 6)}" for _ in range(r.choice([4, 6, 12, 16])))) for k in range(3)]
+        scanner = license_scan.Scanner(templates, (), 4, 0.7)
+        words = " ".join(f"w{r.randint(0, 8)}" for _ in range(6)).split()
+        for _, t in templates:
+            t = t.split()
+            if len(t) > 6 and r.random() < 0.6:
+                t[r.randrange(len(t))] = "other"
+            words += [*t, *(f"w{r.randint(0, 8)}" for _ in range(r.randint(0, 4)))]
+        vocabulary = sorted({w for _, t in templates for w in t.split()})
+        numbers = [vocabulary.index(w) + 1 if w in vocabulary else 0 for w in words]
+        got = scanner.covered(np.array(numbers))
+        assert got == brute_chains(scanner, [n or -1 for n in numbers])
+        found += len(got)
+    assert found > 150
+
+
+def test_licence_names(spark):
+    texts = {
+        "bsd-3-clause": "Distributed under the BSD 3-Clause License.", "gpl": "// SPDX-License-Identifier: GPL-3.0-only", "mpl": "the Mozilla Public License version 2.0 applies", "cc-by-nc": "Licensed under CC BY-NC 4.0.",
+        "cc-by-nc-sa": "CC BY-NC-SA 4.0", "cc-by-sa": "Creative Commons Attribution-ShareAlike 4.0 International License", "cc0": "CC0 1.0 Universal", "": "We read the license of the apache people and the mit of old.",
+        "bsd-2-clause": f"Copyright (c) 2020, A. B. {license_scan._BSD_HEAD} {license_scan._BSD_TAIL}", "zlib": license_scan._ZLIB.replace("software", "library", 1), "agpl,gpl": "GNU Affero General Public License", "lgpl,gpl": "x",
+    }
+    texts.pop("lgpl,gpl")
+    texts["agpl,gpl"] = "the general public license, or rather: GNU Affero General Public License"
+    full = [(len(texts), f"{license_scan._BSD_HEAD}\n{license_scan._BSD_THIRD}\n{license_scan._BSD_TAIL}"), (99, "x" * 300_000), (99, None)]
+    d = spark.createDataFrame([*((i, t) for i, t in enumerate(texts.values())), *full], "doc_id long, text string").withColumn("labels", F.lit("mine"))
+    got = license_scan.license_scan(d).collect()
+    by = {r.doc_id: r for r in got}
+    assert {k: by[i].labels for i, k in enumerate(texts)} == {k: k for k in texts}
+    assert by[len(texts)].labels == "bsd-3-clause" and by[len(texts)].score == 1 and sum(r.doc_id == 99 and r.score == 0 for r in got) == 2
+
+
 # ---------------------------------------------------------------- 9, token counts
 
 TRICKY = ["", None, "a", "  two  spaces  ", "tab\there\n\n new", "nbsp\u00a0 x \u2003 y", "日本語 テスト\u3000全角 x", "<|endoftext|> x <|endoftext|>y", "it's we're I'll", "x" * 5000, " " * 300 + "z", "é è à ñ\u0085 q", "a\x1c b\x1f c", "\n \n a", "1 22 333,4"]
