@@ -1,7 +1,13 @@
 """From raw documents to mixed and sharded training documents, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; ``run`` writes each result as
-Parquet in the shared folder and reads it back as the next stage's input.
+Parquet in the shared folder and reads it back as the next stage's input, then deletes what the stage and its
+predecessor left there.
+
+Defined results: rows with a null text fail the quality rules; rows with a null doc_id are judged by their text, are copies of nothing,
+and stay; repeated rows are one document to near-dedup and are kept or dropped together; further columns pass through all stages as they are, but
+for shard and slot, which the last stage sets; an empty table gives an empty result with these columns. Texts of any length
+are read whole.
 """
 
 from __future__ import annotations
@@ -49,7 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for _name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), "stage")
+        with common.scratch() as keep:
+            docs = common.stored(stage(spark, docs, sf_dir), "stage")
+            keep.append(docs)
+        if before is not None:
+            common.release(before)
+        before = docs
     return docs
