@@ -21,7 +21,7 @@
    are queries, in blocks, against all chunks of that cluster or group.
 8. Components of the confirmed links by minimum-label propagation; every round is a written table.
 
-Links leave a chunk as a tree of bounded degree that connects what they connect, so no round has a hot key.
+Links leave a chunk as small stars that connect what they connect, with the centre as a leaf, so no round has a hot key.
 
 Exactness: sets of up to ``ESTIMATE`` shingles lose no link. Larger sets lose one only if two sketches share
 fewer values than expected by ``slack`` standard deviations (5: binomial tails of about one in a million for a pair just
@@ -289,19 +289,19 @@ def list_entries(docs: DataFrame, shingle: int, threshold: float, k: int, slack:
     return back.repartitionById(tasks, "part").sortWithinPartitions("chunk", "kind").mapInArrow(_entries(k, threshold, slack), "value long, node long, score int, salts int")
 
 
-_SET = pa.schema([("centre", pa.int64()), ("chunk", pa.int64()), ("node", pa.int64()), ("hot", pa.bool_()), ("hashes", pa.binary())])
+_SET = pa.schema([("centre", pa.int64()), ("chunk", pa.int64()), ("hot", pa.bool_()), ("node", pa.int64()), ("hashes", pa.binary())])
 
 
 def _full_sets(size: int):
-    """Rows (text, centre, chunk, node, hot): the full set of each text that is of the class ``node``."""
+    """Rows (text, centre, chunk, hot, node): the full set of each text that is of the class ``node``."""
 
     def rows(batches):
         for batch in batches:
-            centre, chunk, nodes, hot = (batch.column(i).to_pylist() for i in range(1, 5))
+            centre, chunk, hot, nodes = (batch.column(i).to_pylist() for i in range(1, 5))
             for first, _end, data, offsets in C.text_groups(batch):
                 for i, h in enumerate(shingle_sets(data, offsets, size), first):
                     if len(h) and class_digest(h) == nodes[i]:
-                        yield centre[i], chunk[i], nodes[i], hot[i], h.tobytes()
+                        yield centre[i], chunk[i], hot[i], nodes[i], h.tobytes()
 
     return lambda batches: _rows(rows(batches), _SET)
 
@@ -374,19 +374,26 @@ def linked(rows: list[np.ndarray], cols: list[np.ndarray], k: int, threshold: fl
     return hit & exact
 
 
-_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_LINK = pa.schema([("centre", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+_LINKS = "centre long, a long, b long"
 
 
-def _spanning(links: np.ndarray, names: list[int]) -> Iterator[tuple[int, int]]:
-    """A tree over each component of the links among ``names``, in which no name has more than nine neighbours."""
-    label = np.arange(len(names))
+def _joint(links: np.ndarray) -> np.ndarray:
+    """A label for each place: places that ``links`` connect share one."""
+    label = np.arange(len(links))
     for i, j in zip(*np.nonzero(np.triu(links, 1)), strict=True):
         if (x := label[i]) != (y := label[j]):
             label[label == y] = x
+    return label
+
+
+def _spanning(label: np.ndarray, names: list[int], centre: int) -> Iterator[tuple[int, int]]:
+    """Stars that connect names of one label, around the smallest one but the centre: the centre is in all chunks and must stay a leaf."""
     order = np.argsort(label, kind="stable")
     for own in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
-        for i in range(1, len(own)):
-            yield names[own[(i - 1) // 8]], names[own[i]]
+        own = sorted((names[i] == centre, names[i]) for i in own)
+        for _, name in own[1:]:
+            yield own[0][1], name
 
 
 def _groups(batches, keys: int):
@@ -415,78 +422,102 @@ def _pieces(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _within(test, k: int, threshold: float, slack: float):
-    """Rows (centre, chunk, node, hashes): links inside each chunk, by ``test``."""
+    """Rows (centre, chunk, hot, node, hashes): links inside each chunk, by ``test``; in hot clusters also, without a partner, the nodes that nothing in their chunk connects with the centre."""
 
     def rows(batches):
-        for _key, held in _groups(batches, 2):
+        for (centre, _chunk, hot), held in _groups(batches, 3):
             held = sorted({n: h for n, h in held}.items())
             names, sets = [n for n, _ in held], [np.frombuffer(h, np.uint64) for _, h in held]
-            if len(names) < 2:
-                continue
             pieces = _pieces(sets)
             hit = np.zeros((len(names), len(names)), bool)
             for i, (a, b) in enumerate(pieces):
                 own = sets[a:b]
                 for c, d in pieces[i:]:
                     hit[a:b, c:d] = test(own, own if c == a else sets[c:d], k, threshold, slack)
-            yield from _spanning(hit, names)
+            label = _joint(hit)
+            for a, b in _spanning(label, names, centre):
+                yield centre, a, b
+            if hot:
+                main = label[names.index(centre)] if centre in names else -1
+                for name, lab in zip(names, label.tolist(), strict=True):
+                    if lab != main:
+                        yield centre, name, None
 
     return lambda batches: _rows(rows(batches), _LINK)
 
 
 def _across(test, k: int, threshold: float, slack: float):
-    """Rows (centre, chunk, block, query, node, label, hashes), queries first: links between a block of queries and a chunk."""
+    """Rows (centre, chunk, block, query, node, hashes), queries first: links between a block of queries and a chunk, enough of them to connect what they connect."""
 
     def rows(batches):
-        for _key, held in _groups(batches, 3):
-            asks = [(n, lab, np.frombuffer(h, np.uint64)) for q, n, lab, h in held if q]
-            rest = [(n, lab, np.frombuffer(h, np.uint64)) for q, n, lab, h in held if not q]
+        for (centre, *_), held in _groups(batches, 3):
+            asks = [(n, np.frombuffer(h, np.uint64)) for q, n, h in held if q]
+            rest = [(n, np.frombuffer(h, np.uint64)) for q, n, h in held if not q]
             if not asks or not rest:
                 continue
-            sets_q, sets_r = [x[2] for x in asks], [x[2] for x in rest]
-            done = set()
+            sets_q, sets_r = [x[1] for x in asks], [x[1] for x in rest]
+            hit = np.zeros((len(asks), len(rest)), bool)
             for a, b in _pieces(sets_q):
                 for c, d in _pieces(sets_r):
-                    for i, j in zip(*np.nonzero(test(sets_q[a:b], sets_r[c:d], k, threshold, slack)), strict=True):
-                        x, y = asks[a + i], rest[c + j]
-                        if x[1] != y[1] and (x[1], y[1]) not in done:
-                            done.add((x[1], y[1]))
-                            yield x[0], y[0]
+                    hit[a:b, c:d] = test(sets_q[a:b], sets_r[c:d], k, threshold, slack)
+            names = [x[0] for x in (*asks, *rest)]
+            both = np.zeros((len(names), len(names)), bool)
+            both[: len(asks), len(asks) :] = hit
+            for a, b in _spanning(_joint(both), names, centre):
+                if a != b:
+                    yield centre, a, b
 
     return lambda batches: _rows(rows(batches), _LINK)
 
 
+#: Rounds of label propagation before shortcuts are taken as well.
+PLAIN_ROUNDS = 3
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that ``links`` (a, b) reach from each node, by label propagation with shortcuts.
+    """(node, label): the smallest node that ``links`` (a, b) reach from each node, by label propagation.
 
-    Labels only ever fall, so the rounds end; shortcuts make them few. Nodes of one component share a label, so
-    rows are salted where labels are joined; the right side is only labels that have a smaller one themselves.
+    Labels only ever fall, so the rounds end. Most components settle in a few; for the chains of others each further round also
+    takes the label of one's label, which halves what is left. Nodes of one component share a label, so that join is salted.
     """
     edges = C.stored(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), "edges")
     labels = C.stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
+    done = 0
     while True:
         near = edges.join(labels.withColumnsRenamed({"node": "b", "label": "near"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        fell = C.stored(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new")), "labels")
+        nxt = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
+        if done >= PLAIN_ROUNDS:
+            far = labels.filter("label < node").select(F.col("node").alias("new"), F.col("label").alias("far"), _every_salt().alias("salt"))
+            nxt = _salt(nxt).join(far, ["new", "salt"], "left").select("node", "label", F.coalesce("far", "new").alias("new"))
+        nxt = C.stored(nxt, "labels")
+        moved = nxt.filter("label <> new").limit(1).count()
         C.release(labels)
-        # shortcut: take the label of one's label
-        roots = fell.select(F.col("new").alias("node")).distinct().join(fell.select("node", F.col("new").alias("far")), "node").filter("far < node")
-        jump = roots.select(F.col("node").alias("new"), "far", _every_salt().alias("salt"))
-        rows = fell.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-        labels = C.stored(rows.join(jump, ["new", "salt"], "left").select("node", F.col("label").alias("old"), F.coalesce("far", "new").alias("label")), "labels")
-        C.release(fell)
-        if not labels.filter("old <> label").limit(1).count():
+        labels = C.renewed(nxt.select("node", F.col("new").alias("label")), nxt)
+        done += 1
+        if not moved:
             C.release(edges)
-            return C.renewed(labels.select("node", "label"), labels)
-        labels = C.renewed(labels.select("node", "label"), labels)
+            return labels
 
 
 def _salt(df: DataFrame) -> DataFrame:
     return df.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
 
 
-def _salted(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
-    """``rows`` (with a node) joined with ``side``, which has one row a key: a key may hold a third of all rows."""
-    return _salt(rows).join(side.withColumn("salt", _every_salt()), [key, "salt"]).drop("salt")
+#: Rows of one key that a join deals over salts.
+HOT_ROWS = 4096
+
+
+def _beside(rows: DataFrame, side: DataFrame, key: str, weight: str, own: str, extra: list[str]) -> DataFrame:
+    """``rows`` (with a salt) left-joined with ``side``, a row a key: columns ``extra``, null where there is none.
+
+    A key may hold a third of all rows. ``weight`` of ``side`` says how many it holds: the few heavy keys are joined first, over salts,
+    and their rows then leave the plain join by a key from their column ``own`` that meets nothing (if it did, the first result would hold).
+    """
+    heavy = side.filter(F.col(weight) > HOT_ROWS).select(key, _every_salt().alias("salt"), F.lit(True).alias("__heavy"), *[F.col(c).alias(f"__{c}") for c in extra])
+    light = side.filter(F.col(weight) <= HOT_ROWS).select(F.col(key).alias("__key"), *extra)
+    rows = rows.join(heavy, [key, "salt"], "left").withColumn("__key", F.when(F.col("__heavy"), F.xxhash64(own, F.lit(1))).otherwise(F.col(key)))
+    kept = [c for c in rows.columns if not c.startswith("__") and c != "salt"]
+    return rows.join(light, "__key", "left").select(*kept, *[F.when(F.col("__heavy"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in extra])
 
 
 def _stars(entries: DataFrame) -> DataFrame:
@@ -498,34 +529,30 @@ def _stars(entries: DataFrame) -> DataFrame:
 
 
 def _inside(rows: DataFrame, test, k: int, threshold: float, slack: float) -> DataFrame:
-    """Links inside the chunks of rows (centre, chunk, node, hashes)."""
+    """Links inside the chunks of rows (centre, chunk, hot, node, hashes), as ``_within`` gives them."""
     tasks = C.shuffle_partitions(rows.sparkSession)
-    rows = rows.select("centre", "chunk", "node", "hashes").repartition(tasks, "centre", "chunk").sortWithinPartitions("centre", "chunk")
-    return rows.mapInArrow(_within(test, k, threshold, slack), "a long, b long")
+    rows = rows.select("centre", "chunk", "hot", "node", "hashes").repartition(tasks, "centre", "chunk").sortWithinPartitions("centre", "chunk")
+    return rows.mapInArrow(_within(test, k, threshold, slack), _LINKS)
 
 
-def _between(many: DataFrame, placed: DataFrame, sets: DataFrame, links: DataFrame, test, k: int, threshold: float, slack: float) -> DataFrame | None:
-    """Links between chunks of one cluster: documents outside the component of its hub so far, against all chunks.
+def _between(many: DataFrame, placed: DataFrame, sets: DataFrame, links: DataFrame, test, k: int, threshold: float, slack: float) -> DataFrame:
+    """Links between chunks of one cluster: nodes that their chunk doesn't connect with the centre, in blocks, against all chunks.
 
-    ``many`` (centre, chunks, hub), ``placed`` (centre, chunk, node), ``sets`` (node, hashes).
+    ``many`` (centre, chunks), ``placed`` (centre, chunk, node), ``sets`` (node, hashes).
     """
-    label = components(links)
-    many = many.join(label.withColumnsRenamed({"node": "hub", "label": "main"}), "hub", "left").select("centre", "chunks", "hub", F.coalesce("main", "hub").alias("main"))
-    own = _salted(placed, many, "centre").join(label, "node", "left").select("centre", "chunks", "hub", "main", "chunk", "node", F.coalesce("label", "node").alias("label"))
-    own = C.stored(own, "clusters")
-    asks = own.filter("node <> hub and label <> main").select("centre", "chunks", "node", "label").distinct()
-    blocks = C.stored(asks.groupBy("centre").agg(F.ceil(F.count("*") / CHUNK_DOCS).alias("blocks")), "blocks")
-    out = None
-    if blocks.limit(1).count():
-        asks = _salted(asks, blocks, "centre").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")))
-        left = asks.select("centre", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block", F.lit(1).alias("query"), "node", "label")
-        right = _salted(own, blocks, "centre").select("centre", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("query"), "node", "label")
-        rows = left.unionByName(right).join(sets, "node").select("centre", "chunk", "block", "query", "node", "label", "hashes")
-        tasks = C.shuffle_partitions(rows.sparkSession)
-        rows = rows.repartition(tasks, "centre", "chunk", "block").sortWithinPartitions("centre", "chunk", "block", F.desc("query"))
-        out = C.stored(rows.mapInArrow(_across(test, k, threshold, slack), "a long, b long"), "links")
-    C.release(label, own, blocks)
-    return out
+    asks = links.filter("b is null").select("centre", F.col("a").alias("node")).distinct()
+    many = asks.groupBy("centre").agg(F.ceil(F.count("*") / CHUNK_DOCS).alias("blocks")).join(many, "centre")
+    many = C.stored(many, "blocks")  # a row a hot cluster
+    if not many.limit(1).count():
+        return links
+    spread = many.withColumn("salt", _every_salt())
+    asks = _salt(asks).join(spread, ["centre", "salt"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")))
+    left = asks.select("centre", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block", F.lit(1).alias("query"), "node")
+    right = _salt(placed).join(spread, ["centre", "salt"]).select("centre", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("query"), "node")
+    rows = left.unionByName(right).join(sets, "node").select("centre", "chunk", "block", "query", "node", "hashes")
+    tasks = C.shuffle_partitions(rows.sparkSession)
+    rows = rows.repartition(tasks, "centre", "chunk", "block").sortWithinPartitions("centre", "chunk", "block", F.desc("query"))
+    return links.union(C.stored(rows.mapInArrow(_across(test, k, threshold, slack), _LINKS), "links"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k: int = SKETCH, slack: float = SLACK) -> DataFrame:
@@ -538,13 +565,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k
         # one document with several texts links their classes
         twice = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("doc_id", "a")
         same = named.join(twice, "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
-        label = components(links.union(same))
+        label = components(links.select("a", "b").union(same))
         keep.append(label)
     # the label of a component is its smallest doc_id; hot classes are dealt over salts
     classes = named.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("docs")).join(label, "node", "left")
-    classes = classes.filter("docs > 1 or label is not null").select("node", "least", F.coalesce("label", "node").alias("label"))
-    roots = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    return _labelled(members, _salted(classes, roots, "label").select("node", "component_id"))
+    classes = classes.filter("docs > 1 or label is not null").select("node", "least", "docs", F.coalesce("label", "node").alias("label"))
+    roots = classes.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
+    return _labelled(members, _beside(_salt(classes), roots, "label", "classes", "node", ["component_id"]))
 
 
 def _links(docs: DataFrame, named: DataFrame, shingle: int, threshold: float, k: int, slack: float) -> DataFrame:
@@ -556,35 +583,36 @@ def _links(docs: DataFrame, named: DataFrame, shingle: int, threshold: float, k:
     C.release(entries)
 
     # clusters in chunks, each with its centre; sketches only
-    sized = C.stored(stars.groupBy("centre").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / CHUNK_DOCS)), "sizes")
-    placed = _salted(stars, sized, "centre").select("centre", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "node")
-    placed = C.stored(placed.union(sized.select("centre", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("centre").alias("node"))), "placed")
+    sized = C.stored(stars.groupBy("centre").agg(F.count("*").alias("n")), "sizes")
+    many = sized.filter(F.col("n") > CHUNK_DOCS).select("centre", F.ceil(F.col("n") / CHUNK_DOCS).alias("chunks"))
+    placed = _salt(stars).join(many.withColumn("salt", _every_salt()), ["centre", "salt"], "left")
+    placed = placed.select("centre", F.coalesce(F.pmod(F.xxhash64("node"), F.col("chunks")), F.lit(0)).alias("chunk"), F.col("chunks").isNotNull().alias("hot"), "node")
+    hubs = sized.select("centre", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / CHUNK_DOCS) - 1)).alias("chunk"), F.col("n") > CHUNK_DOCS, F.col("centre").alias("node"))
+    placed = C.stored(placed.union(hubs), "placed")
     few = named.filter("sketch is not null").select("node", F.col("sketch").alias("hashes")).join(placed.select("node").distinct(), "node").dropDuplicates(["node"])
     few = C.stored(few, "sketches")
     maybe = C.stored(_inside(placed.join(few, "node"), likely, ESTIMATE, threshold, slack), "maybe")
-    many = sized.filter("chunks > 1").select("centre", "chunks", F.col("centre").alias("hub"))
-    if many.limit(1).count() and (more := _between(many, placed, few, maybe, likely, ESTIMATE, threshold, slack)) is not None:
-        maybe = maybe.union(more)
-    group = components(maybe)
+    if many.limit(1).count():
+        maybe = _between(many, placed, few, maybe, likely, ESTIMATE, threshold, slack)
+    group = components(maybe.filter("b is not null"))
     C.release(stars, placed, few)
 
     # candidate groups in chunks bounded in documents and shingles, each with the group's hub; full sets
-    own = named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")).join(group.withColumnRenamed("label", "centre"), "node")
+    own = named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")).join(group, "node")
     own = C.stored(own.join(sized.select(F.col("centre").alias("node"), F.col("n").alias("stars")), "node", "left"), "groups")
-    groups = own.groupBy("centre").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"), F.max(F.struct("stars", "node", "doc_id")).alias("hub"))
+    groups = own.groupBy("label").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"), F.max(F.struct("stars", "node", "doc_id")).alias("hub"))
     chunks = F.greatest(F.ceil(F.col("docs") / CHUNK_DOCS), F.ceil(F.col("shingles") / CHUNK_SHINGLES))
-    groups = C.stored(groups.select("centre", chunks.alias("chunks"), F.col("hub.node").alias("hub"), F.col("hub.doc_id").alias("hub_doc")), "hubs")
-    hot = groups.filter("chunks > 1")
-    placed = _salted(own, groups, "centre").select("doc_id", "centre", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "node", (F.col("chunks") > 1).alias("hot"))
-    placed = placed.union(hot.select("hub_doc", "centre", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "hub", F.lit(True)))
-    sets = docs.join(placed, "doc_id").select("text", "centre", "chunk", "node", "hot").mapInArrow(_full_sets(shingle), "centre long, chunk long, node long, hot boolean, hashes binary")
+    hot = C.stored(groups.select("label", chunks.alias("chunks"), F.col("hub.node").alias("centre"), F.col("hub.doc_id").alias("doc_id")).filter("chunks > 1"), "hubs")
+    placed = _salt(own).join(hot.select("label", "chunks", "centre", _every_salt().alias("salt")), ["label", "salt"], "left")
+    placed = placed.select("doc_id", F.coalesce("centre", "label").alias("centre"), F.coalesce(F.pmod(F.xxhash64("node"), F.col("chunks")), F.lit(0)).alias("chunk"), F.col("chunks").isNotNull().alias("hot"), "node")
+    placed = placed.union(hot.select("doc_id", "centre", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), F.lit(True), F.col("centre")))
+    sets = docs.join(placed, "doc_id").select("text", "centre", "chunk", "hot", "node").mapInArrow(_full_sets(shingle), "centre long, chunk long, hot boolean, node long, hashes binary")
     if not hot.limit(1).count():
         return C.stored(_inside(sets, linked, ESTIMATE, threshold, slack), "links")
     sets = C.stored(sets, "sets")
     links = C.stored(_inside(sets, linked, ESTIMATE, threshold, slack), "links")
-    sets = sets.filter("hot")
-    more = _between(hot.select("centre", "chunks", "hub"), placed.filter("hot").select("centre", "chunk", "node"), sets.select("node", "hashes").dropDuplicates(["node"]), links, linked, ESTIMATE, threshold, slack)
-    return links if more is None else links.union(more)
+    full = sets.filter("hot").select("node", "hashes").dropDuplicates(["node"])
+    return _between(hot.select("centre", "chunks"), placed.filter("hot").select("centre", "chunk", "node"), full, links, linked, ESTIMATE, threshold, slack).filter("b is not null")
 
 
 def _every_salt():
@@ -592,12 +620,12 @@ def _every_salt():
 
 
 def _labelled(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """A class may hold a third of all documents, so its row is dealt over salts. Documents whose class has no row are alone."""
-    spread = classes.select("node", "component_id", _every_salt().alias("salt"))
-    rows = members.drop("sketch").withColumn("salt", F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).cast("int"))
-    out = rows.join(spread, ["node", "salt"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    """Documents with their classes' components. Documents whose class has no row are alone; those without id have no component."""
+    rows = members.drop("sketch").filter("doc_id is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    out = _beside(rows, classes.select("node", "docs", "component_id"), "node", "docs", "doc_id", ["component_id"])
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.union(members.filter("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
