@@ -4,8 +4,8 @@ A text is cut once into tokens, numbers and words. Numbers, units (a word of the
 turn into typed placeholders, one token for one, so that a template and the values behind it are parallel by
 construction. There are two readings: in one every capitalised word is a name, in the other none is, so
 that neither a new name nor other case hides a copy. Windows of ``window`` consecutive template tokens are hashed and joined with the
-benchmark's. A window with fewer than ``LITERAL`` literal tokens is no evidence by its shape and is known by its
-values instead.
+benchmark's; a window of an item, in either reading, may meet either reading of a text. A window with fewer than ``LITERAL`` literal
+tokens is no evidence by its shape: it is known by its shape with names as words, and if that has too few as well, by its values.
 
 A document is compared with an item if, in one reading, it has windows for at least ``coverage`` of the item's. Each
 offset of the item against the text is then a candidate copy: every window of the item takes its place nearest to that offset
@@ -49,9 +49,9 @@ _TOKEN = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*|[\p{L}\p{M}]+"
 _NUMBER = r"(?<![^ ])\p{Nd}[^ ]*"
 _UNIT = rf"(?<=⟨n⟩ )(?i:{UNITS})(?![^ ])"
 _NAME = r"(?<![^ ])\p{Lu}\p{Ll}[\p{L}\p{M}]*"
-#: Readings: windows by their values, names as placeholders, names as words.
-VALUES, NAMES, PLAIN = 0, 1, 2
-READINGS = {VALUES: "vals", NAMES: "named", PLAIN: "plain"}
+#: Readings: names as placeholders, names as words.
+NAMES, PLAIN = 1, 2
+READINGS = {NAMES: "named", PLAIN: "plain"}
 
 
 def tokens(df: DataFrame, text: str) -> DataFrame:
@@ -64,14 +64,31 @@ def tokens(df: DataFrame, text: str) -> DataFrame:
     return df.withColumns({k: cut(c) for k, c in arrays.items()}).drop("__line", "__shaped")
 
 
-def _hashes(reading: int, size: int) -> str:
-    """SQL for the hashes of all windows of a reading. The array is bound to a variable, so that no rule of the optimizer moves its expression inside."""
-    gets = ", ".join(f"get(w, i + {j})" for j in range(size))
-    return f"element_at(transform(array({READINGS[reading]}), w -> case when size(w) < {size} then array() else transform(sequence(0, size(w) - {size}), i -> xxhash64({reading}, {size}, {gets})) end), 1)"
+def _hash(array: str, size: int, place: str) -> Column:
+    """The hash of the window of ``size`` tokens at ``place``; windows of values and of shapes are told apart, as are their sizes."""
+    return F.xxhash64(F.lit(array == "vals"), F.lit(size), *[F.get(array, F.col(place) + j) for j in range(size)])
+
+
+def _windows(docs: DataFrame, kinds: list[tuple[bool, int]], *carry: str) -> DataFrame:
+    """Rows (carry, place, hash, size) of all windows of the needed kinds (by values, size), each hash once a place.
+
+    Generators and not lambdas over arrays, so that windows are hashed in generated code. They are outer ones: from an inner one
+    the optimizer derives a filter that computes the arrays a second time.
+    """
+    least = min(n for _, n in kinds)
+    places = F.when(F.size("vals") >= least, F.sequence(F.lit(0), F.size("vals") - least))
+    df = docs.select(*carry, "vals", *([] if all(v for v, _ in kinds) else ["named", "plain"]), F.explode_outer(places).alias("place")).filter("place is not null")
+    hashes = []
+    for by_values, n in kinds:
+        fits = F.col("place") <= F.size("vals") - n
+        for array in ["vals"] if by_values else ["plain", "named"]:
+            hashes.append(F.when(fits, F.struct(_hash(array, n, "place").alias("hash"), F.lit(n).alias("size"))))
+    df = df.select(*carry, "place", F.explode_outer(F.array_distinct(F.array(*hashes)) if len(hashes) > 1 else F.array(*hashes)).alias("w"))
+    return df.select(*carry, "place", F.col("w.hash").alias("hash"), F.col("w.size").alias("size")).filter("hash is not null")
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, item, reading, size, total, at, hash, slots): the windows of each item, with the placeholders in them as (j, value)."""
+    """(item_id, item, reading, size, total, at, hash, by_values, slots): the windows of each item, with the placeholders in them as (j, value)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     items = tokens(items.withColumn("item", F.xxhash64("text")).dropDuplicates(["item_id", "item"]), "text").filter(F.size("vals") >= LEAST)
     size = F.least(F.size("vals"), F.lit(window))
@@ -79,37 +96,33 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     out = None
     for reading in (NAMES, PLAIN):
         own = items if reading == PLAIN else items.filter(f"size = {window}")
-        own = own.select("item_id", "item", "size", "total", F.lit(reading).alias("reading"), F.col(READINGS[reading]).alias("shape"), "vals", F.explode(F.sequence(F.lit(0), F.col("total") - 1)).alias("at"))
+        own = own.select("item_id", "item", "size", "total", F.lit(reading).alias("reading"), F.col(READINGS[reading]).alias("shape"), "plain", "vals", F.explode(F.sequence(F.lit(0), F.col("total") - 1)).alias("at"))
         out = own if out is None else out.unionByName(own)
-    own, shape = F.slice("vals", F.col("at") + 1, F.col("size")), F.slice("shape", F.col("at") + 1, F.col("size"))
-    out = out.withColumns({"own": own, "shape": shape})
-    literal = F.size(F.filter("shape", lambda x: ~x.startswith("⟨"))) >= LITERAL
-    by_shape = (F.col("size") == window) & literal
-
-    def hashed(column: str, reading: Column) -> Column:
-        out = F.lit(None).cast("long")
-        for n in range(LEAST, window + 1):
-            out = F.when(F.col("size") == n, F.xxhash64(reading, F.lit(n), *[F.get(column, F.lit(j)) for j in range(n)])).otherwise(out)
-        return out
-
-    slots = F.filter(F.transform("shape", lambda x, j: F.struct(j.alias("j"), F.get("own", j).alias("value"), x.alias("kind"))), lambda s: s["kind"].startswith("⟨"))
+    cut = lambda c: F.slice(c, F.col("at") + 1, F.col("size"))
+    evidence = lambda c: F.size(F.filter(cut(c), lambda x: ~x.startswith("⟨"))) >= LITERAL
+    hashed = F.lit(None).cast("long")
+    for n in range(LEAST, window + 1):
+        own = _hash("vals", n, "at")
+        if n == window:
+            own = F.when(evidence("shape"), _hash("shape", n, "at")).when(evidence("plain"), _hash("plain", n, "at")).otherwise(own)
+        hashed = F.when(F.col("size") == n, own).otherwise(hashed)
+    by_values = (F.col("size") < window) | ~(evidence("shape") | evidence("plain"))
+    slots = F.filter(F.transform(cut("shape"), lambda x, j: F.struct(j.alias("j"), F.get("vals", F.col("at") + j).alias("value"), x.alias("kind"))), lambda s: s["kind"].startswith("⟨"))
     slots = F.transform(slots, lambda s: F.struct(s["j"].alias("j"), s["value"].alias("value")))
-    return out.select("item_id", "item", "reading", "size", "total", "at", F.when(by_shape, hashed("shape", F.col("reading"))).otherwise(hashed("own", F.lit(VALUES))).alias("hash"), by_shape.alias("by_shape"), slots.alias("slots"))
+    return out.select("item_id", "item", "reading", "size", "total", "at", hashed.alias("hash"), by_values.alias("by_values"), slots.alias("slots"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.6) -> DataFrame:
     """(doc_id, item_id, coverage, n_windows, kind) for each document that holds a benchmark item; kind is exact or reparameterised."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     whole = C.stored(item_windows(benchmark, window), "items")
-    # which arrays of windows the benchmark needs: two readings of the full size, values of few sizes
-    kinds = sorted({(r["reading"] if r["by_shape"] else VALUES, r["size"]) for r in whole.select("reading", "by_shape", "size").distinct().limit(4 * window).collect()})
+    # which kinds of windows the benchmark needs: shapes of the full size, values of few sizes
+    kinds = sorted({(r["by_values"], r["size"]) for r in whole.select("by_values", "size").distinct().limit(2 * window).collect()})
     if not kinds:
         return docs.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("n_windows"), F.lit("").alias("kind")).limit(0)
     known = whole.groupBy("item_id", "item", "reading", "hash").agg(F.count("*").alias("weight"), F.first("total").alias("total"))
     few = known.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    # an outer generator: from an inner one the optimizer derives a filter that computes all windows a second time
-    every = F.array_distinct(F.concat(*[F.expr(_hashes(r, n)) for r, n in kinds]))
-    spread = tokens(docs, "text").select("doc_id", F.xxhash64("text").alias("row"), F.explode_outer(every).alias("hash"))
+    spread = _windows(tokens(docs, "text").withColumn("row", F.xxhash64("text")), kinds, "doc_id", "row").select("doc_id", "row", "hash")
     if few:
         hits = spread.join(F.broadcast(known), "hash")
     else:
@@ -122,20 +135,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     return _checked(found, docs, whole, kinds, coverage, few)
 
 
-def _checked(found: DataFrame, docs: DataFrame, whole: DataFrame, kinds: list[tuple[int, int]], coverage: float, few: bool) -> DataFrame:
+def _checked(found: DataFrame, docs: DataFrame, whole: DataFrame, kinds: list[tuple[bool, int]], coverage: float, few: bool) -> DataFrame:
     """The best copy of each found pair, by the values of its placeholders."""
     pair = ["doc_id", "row", "item_id", "item", "reading"]
     docs = docs.withColumn("row", F.xxhash64("text")).join(found.select("doc_id", "row").distinct(), ["doc_id", "row"], "left_semi")
     docs = tokens(docs, "text")
-    places = None
-    for r, n in kinds:
-        own = docs.select("doc_id", "row", "vals", F.posexplode_outer(F.expr(_hashes(r, n))).alias("place", "hash"))
-        own = own.select("doc_id", "row", "hash", "place", F.slice("vals", F.col("place") + 1, F.lit(n)).alias("own"))
-        places = own if places is None else places.union(own)
+    places = _windows(docs, kinds, "doc_id", "row", "vals")
+    places = places.select("doc_id", "row", "hash", "place", "vals")
     if few:
         hits = places.join(F.broadcast(whole), "hash").join(found, pair, "left_semi")
     else:
         hits = places.join(found.join(whole, ["item_id", "item", "reading"]), ["doc_id", "row", "hash"])
+    hits = hits.withColumn("own", F.slice("vals", F.col("place") + 1, F.col("size"))).drop("vals")
     hits = hits.withColumns({"offset": F.col("place") - F.col("at"), "equal": F.expr("forall(slots, s -> s.value = get(own, s.j))")}).dropDuplicates([*pair, "at", "place"])
     hits = C.stored(hits.select(*pair, "total", "at", "place", "offset", "equal", "slots", "own"), "hits")
     C.release(found, whole)
@@ -146,7 +157,8 @@ def _checked(found: DataFrame, docs: DataFrame, whole: DataFrame, kinds: list[tu
     anchors = ways.select(*pair, "n", "total", around).groupBy(*pair, "anchor").agg(F.sum("n").alias("n"), F.first("total").alias("total")).filter(F.col("n") >= coverage * F.col("total"))
     anchors = anchors.join(ways.select(*pair, F.col("offset").alias("anchor")), [*pair, "anchor"], "left_semi")
     # every such offset with its neighbours: the window nearest to it, and of equally near ones the earlier
-    near = anchors.select(*pair, "anchor", F.explode(F.sequence(F.col("anchor") - GAP, F.col("anchor") + GAP)).alias("offset")).join(hits, [*pair, "offset"])
+    near = anchors.select(*pair, "anchor", F.explode(F.sequence(F.col("anchor") - GAP, F.col("anchor") + GAP)).alias("offset"))
+    near = hits.join(near.hint("merge"), [*pair, "offset"])  # the planner doesn't see how many rows the neighbours are
     near = near.withColumn("off", F.abs(F.col("offset") - F.col("anchor")))
     copy = [*pair, "anchor"]
     first = Window.partitionBy(*copy, "at").orderBy("off", "offset")
