@@ -63,6 +63,14 @@ def context_window(tokens: DataFrame, reach: int = 5) -> DataFrame:
     return tokens.withColumn("context", F.concat_ws(" ", F.collect_list("text").over(frame)))
 
 
+def contexts_at(docs: DataFrame, every: int = 50, reach: int = 5) -> DataFrame:
+    """(doc_id, pos, context) of every so-many-th token, cut from the text's row: what ``context_window`` gives there, without a window over all tokens."""
+    d = docs.select("doc_id", F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("words")).filter(F.size("words") > 0)
+    d = d.select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1, F.lit(every))).alias("pos"))
+    first = F.greatest(F.col("pos") - reach, F.lit(0))
+    return d.select("doc_id", F.col("pos").cast("long").alias("pos"), F.array_join(F.slice("words", first + 1, F.col("pos") - first + reach + 1), " ").alias("context"))
+
+
 def chunks(tokens: DataFrame, threshold: float = 0.9, size: int = 80) -> DataFrame:
     """Trusted tokens of each page in runs of ``size``, numbered through the document."""
     rank = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("pos")) - 1

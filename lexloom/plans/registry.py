@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import candidates as cand
 from ..operators import catalog, errors, graph, quality, retrieval, tokens
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from ..streaming import stages
 
 QUERIES: dict = {}
@@ -71,7 +71,7 @@ sq AS (SELECT *, CASE WHEN score >= 80 THEN 'High Quality' WHEN score >= 60 THEN
 
 
 def _documents(spark, d):
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"), "doc_id")
 
 
 def _tokens(spark, d):
@@ -385,7 +385,7 @@ SELECT doc_id, query_id, chunk, round(score, 4) AS score, CAST(row_number() OVER
 )
 def tfidf_topk(spark, d):
     t = _tokens(spark, d)
-    q = tokens.context_window(t).filter("pos % 50 = 0").select("doc_id", F.col("pos").alias("query_id"), F.col("context").alias("text"))
+    q = tokens.contexts_at(_documents(spark, d), 50).select("doc_id", F.col("pos").alias("query_id"), F.col("context").alias("text"))
     return _round(retrieval.tfidf_topk(q, tokens.chunks(t, 0.2)), "score")
 
 

@@ -14,11 +14,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """A table in fewer splits than there are cores is dealt out by ``key``; larger ones stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def scan_uploads(spark: SparkSession, folder: str) -> DataFrame:
-    """Files with media type, size, digest and an HTTP-like status; empty files give no row."""
+    """Files with media type, size, digest and an HTTP-like status; empty files give no row. Contents are read only of files whose name and size let them pass."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    media, status = upload_verdict(F.col("path"), F.col("length"), F.hex(F.substring("content", 1, 4)))
-    return f.select("path", media.alias("media_type"), F.col("length").alias("size"), status.alias("status"), F.sha2("content", 256).alias("sha256"))
+    media, early = upload_verdict(F.col("path"), F.col("length"), F.lit(None).cast("string"))
+    passes = media.isNotNull() & (F.col("length") <= K.MAX_UPLOAD)
+    held = f.filter(F.col("length") <= K.MAX_UPLOAD).filter(passes)
+    status = upload_verdict(F.col("path"), F.col("length"), F.hex(F.substring("content", 1, 4)))[1]
+    held = held.select("path", media.alias("media_type"), F.col("length").alias("size"), status.alias("status"), F.sha2("content", 256).alias("sha256"))
+    refused = f.filter(~passes).select("path", media.alias("media_type"), F.col("length").alias("size"), early.alias("status"), F.lit(None).cast("string").alias("sha256"))
+    return held.union(refused)
 
 
 def upload_verdict(path: Column, size: Column, start: Column) -> tuple[Column, Column]:

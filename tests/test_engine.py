@@ -1,8 +1,10 @@
 """The engine's operators against hand-made examples, and every query against DuckDB at sf0.001."""
 
+import hashlib
 import json
 import math
 import random
+import unicodedata
 from collections import Counter
 
 import duckdb
@@ -159,9 +161,55 @@ def test_empty_reference_is_null(spark):
 # ---------------------------------------------------------------- quality
 
 
-def test_noise_counts():
-    n, a = quality.noise_counts("clean #### coooool �")
-    assert n >= 9 and a >= 8 and quality.noise_counts("café — policy") == (0, 0)
+def brute_noise(t):
+    """Positions that runs of symbols, repeats, characters decoded twice and control characters cover, by unions of sets."""
+    symbol = lambda c: not (c.isalnum() or c == "_" or c.isspace())
+    artifacts, noise, i = set(), set(), 0
+    while i < len(t):  # repeats
+        j = i
+        while j < len(t) and t[j].lower() == t[i].lower():
+            j += 1
+        if j - i >= 4 and t[i] != "\n":
+            artifacts.update(range(i, j))
+        i = j
+    for i, c in enumerate(t):
+        if c == "�":
+            artifacts.add(i)
+        if c in "ÃÂ" and i + 1 < len(t) and t[i + 1] != "\n" and i not in artifacts and not (i and t[i - 1] in "ÃÂ" and i - 1 in artifacts):
+            artifacts.update((i, i + 1))
+    i = 0
+    while i < len(t):
+        j = i
+        while j < len(t) and symbol(t[j]):
+            j += 1
+        if j - i >= 3:
+            noise.update(range(i, j))
+        i = max(j, i + 1)
+    noise |= artifacts | {i for i, c in enumerate(t) if unicodedata.category(c)[0] == "C" and c not in "\n\t"}
+    return len(noise), len(artifacts)
+
+
+def test_noise_counts(spark):
+    texts = ["clean #### coooool �", "café — policy", "", "a\x00b\x07\x07", "cafÃ© fiancÂ  x", "!!! ?? ;;;; a....b", "AaAa bBb xXxX", "Ãxxxx Ã### y", "tab\tand\nline\n\n\n\nend", "��� ok", "soft\xadhyphen \u200bzero", "日本語、、、、 テスト", "no noise here at all"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_noise, r.n_artifacts) for r in quality.noise_metrics(d, compose=False).collect()}
+    shown = {r.doc_id: r.t for r in d.select("doc_id", T.normalize_text(F.col("text"), False).alias("t")).collect()}
+    assert got == {i: brute_noise(t) for i, t in shown.items()}
+    assert got[0][0] >= 9 and got[0][1] >= 8 and got[1] == (0, 0)
+
+
+def test_word_quality_with_a_long_lexicon(spark, data, monkeypatch):
+    d = spark.read.parquet(f"{data}/documents.parquet")
+    lex = tokens.lexicon(d)
+    first = {tuple(r) for r in quality.word_quality(d, lex, 4.0).collect()}
+    monkeypatch.setattr(quality, "BROADCAST_WORDS", 0)
+    assert {tuple(r) for r in quality.word_quality(d, lex, 4.0).collect()} == first
+
+
+def test_contexts_are_those_of_the_window(spark, data):
+    d = spark.read.parquet(f"{data}/documents.parquet")
+    want = {tuple(r) for r in tokens.context_window(tokens.tokenize(d)).filter("pos % 50 = 0").select("doc_id", "pos", "context").collect()}
+    assert {tuple(r) for r in tokens.contexts_at(d).collect()} == want
 
 
 def test_word_ratios(spark):
@@ -307,6 +355,59 @@ def test_uploads_and_reports(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out/csv")).first().xs == "[1,2]"
 
 
+def test_large_and_unknown_uploads_are_not_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "MAX_UPLOAD", 20)
+    for name, body in (("a.png", b"\x89PNG" + b"x" * 30), ("b.doc", b"x" * 30), ("c.pdf", b"%PDF-1")):
+        (tmp_path / name).write_bytes(body)
+    got = {r.path.split("/")[-1]: (r.status, r.size, r.sha256) for r in tables.scan_uploads(spark, str(tmp_path)).collect()}
+    assert got == {"a.png": (413, 34, None), "b.doc": (415, 30, None), "c.pdf": (201, 6, hashlib.sha256(b"%PDF-1").hexdigest())}
+
+
+def test_manifests_artifacts_and_provenance(spark, tmp_path):
+    rows = [{"document_id": "D1", "injected_error_types": ["swap", "drop"]}, {"document_id": "D2", "injected_error_types": []}]
+    (tmp_path / "m.json").write_text(json.dumps(rows))
+    (tmp_path / "m.csv").write_text('document_id,injected_error_types\nD1,"[""swap"",""drop""]"\nD2,[]\n')
+    for kind in ("json", "csv"):
+        got = {r.document_id: list(r.injected_error_types) for r in tables.read_manifest(spark, f"{tmp_path}/m.{kind}").collect()}
+        assert got == {"D1": ["swap", "drop"], "D2": []}
+    for doc, name, body in (("D1", "ocr_raw.txt", "raw"), ("D1", "corrected.txt", "fixed"), ("D2", "ocr_raw.txt", "only")):
+        (tmp_path / "runs" / doc).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "runs" / doc / name).write_text(body)
+    got = {(r.document_id, r.file): r.content for r in tables.read_run_artifacts(spark, f"{tmp_path}/runs").collect()}
+    assert got == {("D1", "ocr_raw.txt"): "raw", ("D1", "corrected.txt"): "fixed", ("D2", "ocr_raw.txt"): "only"}
+    p = spark.createDataFrame([(1, "a", ["x"]), (2, "b", [])], "doc_id long, event string, ids array<string>")
+    for _ in range(2):  # writing again replaces
+        tables.write_provenance(p, f"{tmp_path}/prov")
+    assert {(r.doc_id, r.event, tuple(r.ids)) for r in spark.read.json(f"{tmp_path}/prov").collect()} == {(1, "a", ("x",)), (2, "b", ())}
+
+
+def test_config_is_checked():
+    good = {"quality_weights": K.QUALITY_WEIGHTS, "quality_thresholds": {"high": 80, "medium": 60}}
+    assert tables.load_config(json.dumps(good)) == good
+    for bad in ({"quality_weights": K.QUALITY_WEIGHTS | {"density_quality": 0.5}}, {"quality_thresholds": {"high": 50, "medium": 60}}):
+        with pytest.raises(ValueError):
+            tables.load_config(json.dumps(good | bad))
+
+
+def test_dense_search_over_blocks(spark):
+    r = random.Random(1)
+    v = [(i, [r.gauss(0, 1) for _ in range(5)]) for i in range(80)] + [(80, [0.0] * 5)]
+    e = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    got = {(x.query_id, x.rank): (x.vec_id, x.score) for x in retrieval.dense_topk(e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e).collect()}
+    unit = lambda a, b: 0.0 if not any(a) or not any(b) else sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    for q, a in v:
+        if q % 20 == 0:
+            want = sorted(((-round(1e-9 + unit(a, b), 6), i) for i, b in v))[:3]
+            assert [got[q, k + 1][0] for k in range(3)] == [i for _, i in want]
+
+
+def test_windowed_counts_as_a_stream(spark, data, tmp_path):
+    e = stages.event_stream(spark, data)
+    got = stages.run_once(stages.windowed_counts(e), "windowed_counts_test", checkpoint=str(tmp_path))
+    want = stages.windowed_counts(tables.table(spark, data, "events"))
+    assert {*map(str, got.collect())} <= {*map(str, want.collect())}
+
+
 def test_stream_equals_table(spark, data, tmp_path):
     e = stages.event_stream(spark, data)
     got = stages.run_once(stages.latest_state(e), "latest_state_test", checkpoint=str(tmp_path))
