@@ -18,13 +18,28 @@ def run_catalog(runs: DataFrame, documents: DataFrame) -> DataFrame:
 
 def latest_runs(runs: DataFrame) -> DataFrame:
     """Per run: chosen (newest valid one of its document) or why not. Invalid runs are out before duplicates are told."""
-    valid = (F.col("status") == "COMPLETED") & (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
+    valid = F.coalesce(F.col("status") == "COMPLETED", F.lit(False)) & (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
     order = Window.partitionBy("document_id", valid).orderBy(F.desc("updated_at"), "id")
     r = runs.withColumn("__rank", F.row_number().over(order))
-    why = F.when(F.col("status") != "COMPLETED", "not completed").when(~F.coalesce(valid, F.lit(False)), "no text").when(F.col("__rank") > 1, "duplicate: an older run of the document")
+    why = F.when(~F.col("status").eqNullSafe("COMPLETED"), "not completed").when(~valid, "no text").when(F.col("__rank") > 1, "duplicate: an older run of the document")
     return r.withColumns({"chosen": why.isNull(), "reason": why}).drop("__rank")
 
 
+def by_ids(rows: DataFrame, ids: list, key: str = "id") -> DataFrame:
+    """Point look-ups: the rows of given ids. The ids reach the scan as a filter."""
+    return rows.filter(F.col(key).isin(list(ids)))
+
+
+def upsert(rows: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+    """``rows`` with changed ones replaced and new ones added. Several changes of one key are an error of the caller's: all are kept."""
+    return rows.join(changes.select(key).distinct(), key, "left_anti").unionByName(changes.select(rows.columns))
+
+
+def displayed(tokens: DataFrame) -> DataFrame:
+    """``tokens`` with what a viewer shows: the recogniser's confidence, else the calibrated one, and KEEP where nothing was decided."""
+    return tokens.withColumns({"shown_confidence": F.coalesce("ocr_confidence", "confidence"), "shown_decision": F.coalesce("decision", F.lit("KEEP"))})
+
+
 def missing_runs(documents: DataFrame, runs: DataFrame) -> DataFrame:
     return documents.join(runs.select(F.col("document_id").alias("id")), "id", "left_anti")
 
@@ -52,7 +67,9 @@ def resolve_truth(runs: DataFrame, supplied: DataFrame, files: DataFrame) -> Dat
     steps = [("supplied_run", supplied, "run_id"), ("supplied_document", supplied, "document_id"), ("supplied_name", supplied, "name"), ("supplied_stem", supplied, "__stem"), ("file_document", files, "document_id"), ("file_stem", files, "__stem")]
     for name, table, on in steps:
         k, v = table.columns
-        r = r.join(table.select(F.col(k).cast("string").alias("__k"), F.col(v).alias(name)), F.col(on).cast("string") == F.col("__k"), "left").drop("__k")
+        # of several texts under one key the first that isn't blank, in code point order
+        one = table.groupBy(F.col(k).cast("string").alias("__k")).agg(F.coalesce(F.min(full(v)), F.min(v)).alias(name))
+        r = r.join(one, F.col(on).cast("string") == F.col("__k"), "left").drop("__k")
     text = F.coalesce(*[full(s) for s, _, _ in steps])
     source = F.coalesce(*[F.when(full(s).isNotNull(), s) for s, _, _ in steps])
     return r.select("run_id", "document_id", text.alias("truth"), F.coalesce(source, F.lit("missing")).alias("truth_source"))

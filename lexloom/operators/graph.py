@@ -64,6 +64,32 @@ def graph_edges(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     return x.select("doc_id", "source", "relation", "target", "ordinal")
 
 
+def document_edges(nodes: DataFrame, references: DataFrame | None = None, dates: DataFrame | None = None, document_type: str = "DocumentType") -> DataFrame:
+    """(doc_id, source, relation, target, ordinal): from a document to its document types, then its reference identifiers, then its date."""
+    doc = F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("source")
+    own = F.concat(F.col("doc_id").cast("string"), F.lit(":"), T.label_key(F.col("label")))
+    out = nodes.filter(F.col("type") == document_type).select("doc_id", doc, F.lit("HAS_DOCUMENT_TYPE").alias("relation"), F.col("node_id").alias("target"), F.col("ordinal").cast("long").alias("ordinal"))
+    if references is not None:
+        rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("label")) + (1 << 20)
+        out = out.union(references.select("doc_id", doc, F.lit("HAS_REFERENCE"), own, rank.cast("long")))
+    if dates is not None:
+        out = out.union(dates.select("doc_id", doc, F.lit("DATED"), own, F.lit(1 << 40).cast("long")))
+    return out
+
+
+def numbered_edges(edges: DataFrame, of_documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All edges with their ids rel1, rel2, ... in each document (relations of the domain first) and the pages and positions of both ends."""
+    both = edges.withColumn("phase", F.lit(0)).unionByName(of_documents.withColumn("phase", F.lit(1)))
+    order = Window.partitionBy("doc_id").orderBy("phase", "ordinal", "relation", "target")
+    both = both.withColumn("id", F.concat(F.lit("rel"), F.row_number().over(order).cast("string")))
+    none = F.array().cast("array<bigint>")
+    for end in ("source", "target"):
+        ends = nodes.select("doc_id", F.col("node_id").alias(end), F.col("pages").cast("array<bigint>").alias(f"{end}_pages"), F.col("positions").cast("array<bigint>").alias(f"{end}_positions"))
+        both = both.join(ends, ["doc_id", end], "left")
+    union = lambda what: F.array_union(F.coalesce(f"source_{what}", none), F.coalesce(f"target_{what}", none))
+    return both.select("doc_id", "id", "source", "relation", "target", F.array_sort(union("pages")).alias("pages"), union("positions").alias("positions"))
+
+
 def anchor_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """MENTIONS edges from the document to the first node of every part of its graph.
 

@@ -33,6 +33,18 @@ def recognizer_tokens(lines: DataFrame) -> DataFrame:
     return boxed.select("doc_id", name.alias("id"), "page", "line_index", "word_index", F.col("word").alias("text"), F.col("score").alias("confidence"), F.col("score").alias("ocr_confidence"), "bbox")
 
 
+def frame_pages(images: DataFrame) -> DataFrame:
+    """A page for each frame of images (doc_id, frames); a decoder that can't tell the number gives null, and no page."""
+    return images.filter("frames > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("frames").cast("int"))).alias("page"))
+
+
+def embedded_words(words: DataFrame, scale: float = 2.0) -> DataFrame:
+    """Words (doc_id, page, text, x1, y1, x2, y2) that a document itself holds, in their order ``word_index``: certain, in the rendered page's coordinates."""
+    box = F.array(*[F.col(c).cast("double") * scale for c in ("x1", "y1", "x2", "y2")])
+    name = F.format_string("p%d-t%d", F.col("page").cast("int"), F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("word_index")))
+    return words.select("doc_id", name.alias("id"), "page", "text", F.lit(1.0).alias("confidence"), F.lit(1.0).alias("ocr_confidence"), F.lit("embedded PDF text").alias("confidence_source"), box.alias("bbox"))
+
+
 def boxed_words(words: DataFrame) -> DataFrame:
     """Words with percent confidence and x, y, width, height: blanks and negative confidence go, the rest is scaled."""
     kept = words.filter((F.trim("text") != "") & (F.col("conf") >= 0))
@@ -86,6 +98,16 @@ def regrouped_lines(tokens: DataFrame, per_line: int = 18) -> DataFrame:
     return t.groupBy("doc_id", "page", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"), F.count("*").alias("n_tokens"))
 
 
+def layout_order(regions: DataFrame) -> DataFrame:
+    """``regions`` (page, id, x1, y1) with position: from the top, then from the left."""
+    return regions.withColumn("position", F.row_number().over(Window.partitionBy("page").orderBy("y1", "x1", "id")))
+
+
+def regions_on_pages(regions: DataFrame, pages: DataFrame) -> DataFrame:
+    """Regions with the columns of their pages; regions of unknown pages go."""
+    return regions.join(pages, "page")
+
+
 def reading_order(regions: DataFrame) -> DataFrame:
     """``regions`` (page, id, x1, y1, x2, y2) with column and reading_order: two columns if there are four regions or more and the median is narrow."""
     page = Window.partitionBy("page")

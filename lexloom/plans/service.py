@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions import text as T
 from ..operators import candidates as cand
 from ..operators import catalog, errors, graph, quality, retrieval, tokens
@@ -305,3 +306,98 @@ def evaluation_rows(spark, d):
 
 
 ORACLE_SQL["evaluation_rows"] = f"SELECT q.*, ocr_confidence, n_confident, structural_consistency FROM ({ORACLE_SQL['quality_score']}) q LEFT JOIN ({ORACLE_SQL['weighted_confidence']}) c USING (doc_id) LEFT JOIN ({ORACLE_SQL['structural_consistency']}) s USING (doc_id)"
+
+
+_COMPONENTS = ("ocr_confidence", "valid_word_ratio", "dictionary_match_ratio", "noise_cleanliness", "artifact_cleanliness", "language_consistency", "structural_consistency", "non_alphanumeric_cleanliness", "density_quality")
+
+
+@query()
+def full_quality_score(spark, d):
+    """The weighted score over all components that need no true text, each rounded to four digits; page sizes are invented."""
+    docs, t = _documents(spark, d), _tokens(spark, d)
+    noise = quality.noise_metrics(docs, compose=False)
+    pages = docs.select("doc_id", F.lit(1000).alias("width"), (F.lit(1000) + F.col("doc_id") % 7 * 100).alias("height"))
+    clean = noise.select("doc_id", "n_chars", *[(1 - F.col(c)).alias(k) for c, k in (("noise_ratio", "noise_cleanliness"), ("artifact_ratio", "artifact_cleanliness"), ("non_alphanumeric_ratio", "non_alphanumeric_cleanliness"))])
+    parts = [
+        QUERIES["word_quality"](spark, d).select("doc_id", "valid_word_ratio", "dictionary_match_ratio"),
+        quality.weighted_confidence(t).select("doc_id", "ocr_confidence"),
+        quality.structural_consistency(t).select("doc_id", "structural_consistency"),
+        QUERIES["language_profile"](spark, d).select("doc_id", F.col("share").alias("language_consistency")),
+        quality.text_density(docs, pages).select("doc_id", quality.density_quality(F.col("density")).alias("density_quality")),
+    ]
+    for p in parts:
+        clean = clean.join(p, "doc_id", "left")
+    out = quality.final_scores(_round(clean, *_COMPONENTS), F.col("n_chars") == 0)
+    return _round(out, "final_score", digits=2).select("doc_id", "n_components", "final_score", "quality_class")
+
+
+def _full_score_sql() -> str:
+    weights = {k: K.QUALITY_WEIGHTS[k] for k in _COMPONENTS}
+    top = " + ".join(f"CASE WHEN {k} IS NULL THEN 0 ELSE {w}::DOUBLE * greatest(0, least(1, {k})) END" for k, w in weights.items())
+    bottom = " + ".join(f"CASE WHEN {k} IS NULL THEN 0 ELSE {w}::DOUBLE END" for k, w in weights.items())
+    share = lambda c: f"round({TIE} + (1 - {c} / nullif(n_chars, 0)), 4)"
+    return rf"""WITH m AS (SELECT n.doc_id, n_chars, ocr_confidence, valid_word_ratio, dictionary_match_ratio, {share("n_noise")} AS noise_cleanliness, {share("n_artifacts")} AS artifact_cleanliness, {share("n_non_alnum")} AS non_alphanumeric_cleanliness,
+  l.share AS language_consistency, structural_consistency, round({TIE} + least(1, length(regexp_replace(t.text, '[^\p{{L}}\p{{N}}]', '', 'g')) / ((1000.0::DOUBLE * (1000 + n.doc_id % 7 * 100)) / 1000000) / 80), 4) AS density_quality
+  FROM ({ORACLE_SQL["noise_metrics"]}) n JOIN (SELECT doc_id, text FROM documents) t USING (doc_id) LEFT JOIN ({ORACLE_SQL["word_quality"]}) w USING (doc_id) LEFT JOIN ({ORACLE_SQL["weighted_confidence"]}) c USING (doc_id) LEFT JOIN ({ORACLE_SQL["structural_consistency"]}) s USING (doc_id) LEFT JOIN ({ORACLE_SQL["language_profile"]}) l USING (doc_id)),
+f AS (SELECT doc_id, {" + ".join(f"({k} IS NOT NULL)::INT" for k in _COMPONENTS)} AS n_components, CASE WHEN n_chars = 0 THEN 0.0::DOUBLE ELSE coalesce(round(100 * ({top}) / nullif({bottom}, 0), 4), 0) END AS s FROM m)
+SELECT doc_id, CAST(n_components AS INT) AS n_components, round({TIE} + s, 2) AS final_score, CASE WHEN s >= 80 THEN 'High Quality' WHEN s >= 60 THEN 'Medium Quality' ELSE 'Low Quality' END AS quality_class FROM f"""
+
+
+ORACLE_SQL["full_quality_score"] = _full_score_sql()
+
+
+@query(f"""WITH {_TOKENS}, {_NODES}, {_EDGES}, e AS (SELECT doc_id, 0 AS phase, ordinal, source, relation, target FROM ed UNION ALL SELECT doc_id, 1, ordinal, 'doc:' || doc_id, 'HAS_DOCUMENT_TYPE', node_id FROM nd WHERE type = 'Pair'),
+pg AS (SELECT doc_id, doc_id || ':' || replace(lower(label), ' ', '-') AS node_id, page FROM mn), pe AS (SELECT e.doc_id, e.phase, e.ordinal, e.relation, e.target, count(DISTINCT pg.page) AS n_pages FROM e LEFT JOIN pg ON pg.doc_id = e.doc_id AND pg.node_id IN (e.source, e.target) GROUP BY ALL)
+SELECT e.doc_id, 'rel' || row_number() OVER (PARTITION BY e.doc_id ORDER BY e.phase, e.ordinal, e.relation, e.target) AS id, e.source, e.relation, e.target, n_pages FROM e JOIN pe USING (doc_id, phase, ordinal, relation, target)""")
+def document_relations(spark, d):
+    """Pairs of words stand in for document types."""
+    nodes = _nodes(spark, d)
+    edges = graph.numbered_edges(graph.graph_edges(nodes, _specs(spark)[1]), graph.document_edges(nodes, document_type="Pair"), nodes)
+    return edges.select("doc_id", "id", "source", "relation", "target", F.size("pages").cast("long").alias("n_pages"))
+
+
+@query("SELECT o_orderkey AS doc_id, CAST(i AS INT) AS page FROM orders, unnest(range(1, o_orderkey % 4 + 1)) AS r(i)")
+def multi_frame_scan(spark, d):
+    return tokens.frame_pages(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 4).alias("frames")))
+
+
+@query("SELECT l_orderkey AS doc_id, 'p1-t' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_partkey, l_suppkey) AS id, l_returnflag AS text, 1.0::DOUBLE AS confidence, l_quantity * 2 AS x1, (l_quantity + 10) * 2 AS x2 FROM lineitem")
+def embedded_word_tokens(spark, d):
+    c = F.col
+    w = table(spark, d, "lineitem").select(c("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.struct("l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey").alias("word_index"), c("l_returnflag").alias("text"), c("l_quantity").alias("x1"), F.lit(0).alias("y1"), (c("l_quantity") + 10).alias("x2"), F.lit(8).alias("y2"))
+    return tokens.embedded_words(w).select("doc_id", "id", "text", "confidence", F.get("bbox", F.lit(0)).alias("x1"), F.get("bbox", F.lit(2)).alias("x2"))
+
+
+_REGIONS = "SELECT l_orderkey AS page, l_linenumber AS id, floor(l_quantity / 10) AS y1, l_extendedprice AS x1 FROM lineitem"
+
+
+@query(f"SELECT page, id, CAST(row_number() OVER (PARTITION BY page ORDER BY y1, x1, id) AS INT) AS position FROM ({_REGIONS})")
+def layout_order(spark, d):
+    r = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("id"), F.floor(F.col("l_quantity") / 10).alias("y1"), F.col("l_extendedprice").alias("x1"))
+    return tokens.layout_order(r).select("page", "id", "position")
+
+
+@query("SELECT l_orderkey AS page, l_linenumber AS id, o_orderstatus AS page_status FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+def regions_on_pages(spark, d):
+    r = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("id"))
+    return tokens.regions_on_pages(r, table(spark, d, "orders").select(F.col("o_orderkey").alias("page"), F.col("o_orderstatus").alias("page_status")))
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey IN (1, 5, 7, 999999999)")
+def point_lookup(spark, d):
+    return catalog.by_ids(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), [1, 5, 7, 999999999])
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN 'CHANGED' ELSE o_orderstatus END AS status FROM orders UNION ALL SELECT o_orderkey + 1000000000, 'NEW' FROM orders WHERE o_orderkey % 50 = 1")
+def run_upsert(spark, d):
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders")
+    changes = o.filter(k % 10 == 0).select(k.alias("id"), F.lit("CHANGED").alias("status")).union(o.filter(k % 50 == 1).select(k + 1000000000, F.lit("NEW")))
+    return catalog.upsert(o.select(k.alias("id"), F.col("o_orderstatus").alias("status")), changes)
+
+
+@query("SELECT l_orderkey AS run, l_linenumber AS id, l_extendedprice AS price, coalesce(CASE WHEN l_linenumber % 2 = 0 THEN l_discount END, l_tax) AS shown_confidence, CASE WHEN l_returnflag = 'R' THEN 'LOW' ELSE 'KEEP' END AS shown_decision FROM lineitem")
+def display_defaults(spark, d):
+    c = F.col
+    t = table(spark, d, "lineitem").select(c("l_orderkey").alias("run"), c("l_linenumber").alias("id"), c("l_extendedprice").alias("price"), F.when(c("l_linenumber") % 2 == 0, c("l_discount")).alias("ocr_confidence"), c("l_tax").alias("confidence"), F.when(c("l_returnflag") == "R", "LOW").alias("decision"))
+    return catalog.displayed(t).select("run", "id", "price", "shown_confidence", "shown_decision")

@@ -355,6 +355,39 @@ def test_uploads_and_reports(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out/csv")).first().xs == "[1,2]"
 
 
+def test_document_relations_and_stored_graphs(spark, tmp_path):
+    t = [(1, i, 1 + i // 6, w, 0.95) for i, w in enumerate("Government document ABC-2024-17 dated 3 May 2021 ABC-2024-17 information government".split())]
+    tok = spark.createDataFrame(t, "doc_id long, pos long, page long, text string, confidence double")
+    e = spark.createDataFrame([("Document", "DocumentType", ["document"], 0), ("Information", "Concept", ["information"], 1), ("Government", "Body", ["government"], 2)], "label string, type string, parts array<string>, ordinal int")
+    r = spark.createDataFrame([("Document", "DESCRIBES", "Information", 0)], "source string, relation string, target string, ordinal int")
+    nodes = graph.entity_nodes(graph.phrase_mentions(tok, e, 0.9))
+    extra = graph.document_edges(nodes, graph.reference_ids(tok), graph.date_entities(tok))
+    edges = graph.numbered_edges(graph.graph_edges(nodes, r), extra, nodes)
+    got = {x.id: (x.source, x.relation, x.target, x.pages, x.positions) for x in edges.collect()}
+    assert got == {"rel1": ("1:document", "DESCRIBES", "1:information", [1, 2], [1, 8]), "rel2": ("doc:1", "HAS_DOCUMENT_TYPE", "1:document", [1], [1]), "rel3": ("doc:1", "HAS_REFERENCE", "1:abc-2024-17", [], []), "rel4": ("doc:1", "DATED", "1:3-may-2021", [], [])}
+    other = nodes.withColumn("doc_id", F.lit(2).cast("long"))
+    for n in (nodes, other, nodes.limit(1)):  # a document's graph is replaced, others stay
+        graph.write_graph(n, edges.select("doc_id", "source", "relation", "target"), f"{tmp_path}/g")
+    assert Counter(x.document_id for x in spark.read.parquet(f"{tmp_path}/g/nodes").collect()) == {1: 1, 2: 3}
+
+
+def test_weights_of_what_is_known(spark):
+    rows = [(1, 0.9, 0.8, None, 1.0), (2, None, None, None, None), (3, 1.5, -1.0, 0.5, None)]
+    d = spark.createDataFrame(rows, "doc_id long, character_accuracy double, word_accuracy double, ocr_confidence double, density_quality double")
+    got = {r.doc_id: (r.n_components, r.final_score, r.quality_class) for r in quality.final_scores(d).collect()}
+    assert got == {1: (3, round(100 * (0.2 * 0.9 + 0.15 * 0.8 + 0.02) / 0.37, 4), "High Quality"), 2: (0, 0.0, "Low Quality"), 3: (3, round(100 * (0.2 + 0.15 * 0.5) / 0.5, 4), "Low Quality")}
+    rates = spark.createDataFrame([(1, 0.25, 1.5), (2, None, None)], "doc_id long, cer double, wer double")
+    assert {tuple(r) for r in quality.accuracies(rates).collect()} == {(1, 0.75, 0.0), (2, None, None)}
+
+
+def test_runs_without_status_and_repeated_truths(spark):
+    r = spark.createDataFrame([("r1", "d1", None, "text", 1), ("r2", "d1", "COMPLETED", "text", 2), ("r3", "d2", "COMPLETED", " ", 1)], "id string, document_id string, status string, text string, updated_at long")
+    assert {x.id: x.reason for x in catalog.latest_runs(r).collect()} == {"r1": "not completed", "r2": None, "r3": "no text"}
+    runs = spark.createDataFrame([("r1", "d1", "a.pdf")], "run_id string, document_id string, name string")
+    twice = spark.createDataFrame([("d1", " "), ("d1", "truth"), ("d1", "zzz")], "key string, text string")
+    assert [x.truth for x in catalog.resolve_truth(runs, twice, twice).collect()] == ["truth"]
+
+
 def test_large_and_unknown_uploads_are_not_read(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(K, "MAX_UPLOAD", 20)
     for name, body in (("a.png", b"\x89PNG" + b"x" * 30), ("b.doc", b"x" * 30), ("c.pdf", b"%PDF-1")):
