@@ -1,18 +1,18 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length word window, counted in Spark.
 
-A rolling polynomial over word hashes gives a 64-bit hash of every window. Each map task
+A rolling polynomial over word hashes gives a 64-bit hash of every window, a second one with another base 16 bits more. Each map task
 keeps, of equal hashes in one chunk of documents, only the smallest doc_id's (the others are
 covered already, and say so), and sends the rest in byte-packed blocks to the bucket that owns
 the hash. A bucket sees every chunk's smallest doc_id of a hash, so it knows which documents
 repeat a window of a smaller doc_id, and sends each document its covered hashes. There, covered
 windows merge into maximal removal intervals of words.
 
-Cost: one shuffle of about 8 bytes a window, one of the texts (compressed). A window that a
+Cost: one shuffle of about 10 bytes a window, one of the texts (compressed). A window that a
 third of all documents hold sends one entry a chunk, not one a document. Buckets grow in
 number with the input's bytes; nothing is collected or broadcast.
 
-Equality of windows is that of 64-bit hashes: n windows give about n*n / 2**65 false matches
-(0.0005 expected for 137 million windows).
+Equality of windows is that of both hashes, 80 bits: n windows give about n*n / 2**81 false matches
+(10**-8 expected for 137 million windows, some forty for 10**13).
 
 Defined results: null or empty text has no words, is kept as the empty string; texts under one
 window keep all words; rows with equal doc_id don't cover each other and are each judged against
@@ -56,18 +56,48 @@ def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
         return C.mix((total[window:] - total[:n]) * C._power(C.inverse(C.WINDOW_BASE), n))
 
 
+def window_checks(words: np.ndarray, window: int) -> np.ndarray:
+    """16 bits of a second hash of every window: another polynomial over other word hashes."""
+    n = len(words) - window + 1
+    if n <= 0:
+        return np.empty(0, np.uint16)
+    base = C.BASES[1]
+    with np.errstate(over="ignore"):
+        total = np.empty(len(words) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(C.mix(words ^ np.uint64(C.BASES[0])) * C._power(base, len(words)), out=total[1:])
+        return (C.mix((total[window:] - total[:n]) * C._power(C.inverse(base), n)) >> np.uint64(48)).astype("<u2")
+
+
+def _joined(keys: np.ndarray, checks: np.ndarray, sort: bool) -> bytes:
+    """Keys (if sorted, as differences) and then their checks."""
+    return (C.pack(keys) if sort else keys.astype("<u8").tobytes()) + checks.tobytes()
+
+
+def _parted(data: bytes, sort: bool) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 10 * 8
+    return C.unpack(data[:n]) if sort else np.frombuffer(data[:n], "<u8"), np.frombuffer(data[n:], "<u2")
+
+
+def _first(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Where another window begins in sorted keys and checks."""
+    out = np.ones(len(keys), bool)
+    out[1:] = (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])
+    return out
+
+
 def _owner(doc_ids: np.ndarray, parts: int) -> np.ndarray:
     return (C.mix(doc_ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
 
 
-def _covered_rows(ids: np.ndarray, keys: np.ndarray, parts: int) -> Iterator[dict]:
+def _covered_rows(ids: np.ndarray, keys: np.ndarray, checks: np.ndarray, parts: int) -> Iterator[dict]:
     """Covered hashes, one row for each partition of documents."""
     part = _owner(ids, parts)
     order = np.lexsort((keys, ids, part))
-    part, ids, keys = part[order], ids[order], keys[order]
+    part, ids, keys, checks = part[order], ids[order], keys[order], checks[order]
     edges = np.flatnonzero(np.diff(part, prepend=-1, append=parts))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        yield {"part": int(part[a]), "kind": _COVERED, "bucket": 0, "doc_id": 0, "ids": _squeeze(ids[a:b]), "keys": keys[a:b].tobytes(), "text": None}
+        yield {"part": int(part[a]), "kind": _COVERED, "bucket": 0, "doc_id": 0, "ids": _squeeze(ids[a:b]), "keys": _joined(keys[a:b], checks[a:b], False), "text": None}
 
 
 def _squeeze(ids: np.ndarray) -> bytes:
@@ -94,32 +124,31 @@ def _batches(rows: Iterator[dict], schema: pa.Schema, most: int = 8 << 20) -> It
 
 def _hash_blocks(window: int, parts: int, chunk_windows: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        keys, ids, held = [], [], 0
+        keys, checks, ids, held = [], [], [], 0
 
         def flush() -> Iterator[dict]:
             nonlocal held
             if not keys:
                 return
-            k, d = np.concatenate(keys), np.concatenate(ids)
+            k, c, d = np.concatenate(keys), np.concatenate(checks), np.concatenate(ids)
             keys.clear()
+            checks.clear()
             ids.clear()
             held = 0
-            order = np.lexsort((d, k))
-            k, d = k[order], d[order]
-            first = np.empty(len(k), bool)
-            first[0] = True
-            first[1:] = k[1:] != k[:-1]
+            order = np.lexsort((d, c, k))
+            k, c, d = k[order], c[order], d[order]
+            first = _first(k, c)
             least = d[np.flatnonzero(first)][np.cumsum(first) - 1]
             again = d > least
             if again.any():
-                yield from _covered_rows(d[again], k[again], parts)
-            k, d = k[first], d[first]
+                yield from _covered_rows(d[again], k[again], c[again], parts)
+            k, c, d = k[first], c[first], d[first]
             bucket = (k >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)  # ranges of the hash, so keys stay sorted
             edges = np.searchsorted(bucket, np.arange(parts + 1, dtype=np.uint64))
             for b in range(parts):
                 if edges[b] < edges[b + 1]:
                     part = slice(edges[b], edges[b + 1])
-                    yield {"part": b, "kind": _HASHES, "bucket": b, "doc_id": 0, "ids": _local_ids(d[part]), "keys": C.pack(k[part]), "text": None}
+                    yield {"part": b, "kind": _HASHES, "bucket": b, "doc_id": 0, "ids": _local_ids(d[part]), "keys": _joined(k[part], c[part], True), "text": None}
 
         for batch in batches:
             doc_ids = batch.column(0)
@@ -131,8 +160,14 @@ def _hash_blocks(window: int, parts: int, chunk_windows: int):
                 words = C.span_hashes(buf, starts, ends)
                 for i in range(len(at) - 1):
                     if known[first + i] and at[i + 1] - at[i] >= window:
-                        h = np.unique(window_hashes(words[at[i] : at[i + 1]], window))
+                        own = words[at[i] : at[i + 1]]
+                        h, c = window_hashes(own, window), window_checks(own, window)
+                        order = np.lexsort((c, h))
+                        h, c = h[order], c[order]
+                        new = _first(h, c)
+                        h, c = h[new], c[new]
                         keys.append(h)
+                        checks.append(c)
                         ids.append(np.full(len(h), numbers[first + i], np.int64))
                         held += len(h)
                         if held >= chunk_windows:
@@ -163,15 +198,13 @@ def _count_buckets(parts: int):
 
         def flush() -> Iterator[dict]:
             if len(keys) > 1:
-                k, d = np.concatenate(keys), np.concatenate(ids)
-                order = np.lexsort((d, k))
-                k, d = k[order], d[order]
-                first = np.empty(len(k), bool)
-                first[0] = True
-                first[1:] = k[1:] != k[:-1]
+                k, c, d = np.concatenate([x for x, _ in keys]), np.concatenate([x for _, x in keys]), np.concatenate(ids)
+                order = np.lexsort((d, c, k))
+                k, c, d = k[order], c[order], d[order]
+                first = _first(k, c)
                 again = d > d[np.flatnonzero(first)][np.cumsum(first) - 1]
                 if again.any():
-                    yield from _covered_rows(d[again], k[again], parts)
+                    yield from _covered_rows(d[again], k[again], c[again], parts)
             keys.clear()
             ids.clear()
 
@@ -183,7 +216,7 @@ def _count_buckets(parts: int):
                 if r["bucket"] != at:
                     yield from flush()
                     at = r["bucket"]
-                keys.append(C.unpack(r["keys"]))
+                keys.append(_parted(r["keys"], True))
                 ids.append(_read_ids(r["ids"]))
         yield from flush()
 
@@ -203,12 +236,20 @@ def _documents(parts: int):
     return lambda batches: _batches(rows(batches), _BLOCK_ARROW)
 
 
-def removal(data: bytes, covered: np.ndarray, window: int) -> tuple[int, np.ndarray, bytes]:
-    """(words, maximal intervals of removed words, kept words joined by a space) of one text."""
+def removal(data: bytes, covered: tuple[np.ndarray, np.ndarray], window: int) -> tuple[int, np.ndarray, bytes]:
+    """(words, maximal intervals of removed words, kept words joined by a space) of one text, from the keys and checks of its covered windows."""
     buf = np.frombuffer(data, np.uint8)
     starts, ends, _ = C.word_spans(buf, np.array([0, len(buf)]))
     n = len(starts)
-    hit = np.isin(window_hashes(C.span_hashes(buf, starts, ends), window), covered) if len(covered) and n >= window else np.empty(0, bool)
+    keys, checks = covered
+    hit = np.empty(0, bool)
+    if len(keys) and n >= window:
+        words = C.span_hashes(buf, starts, ends)
+        own = window_hashes(words, window)
+        hit = np.isin(own, keys)
+        # the pair: for one key, sums differ as checks do
+        both = lambda k, c: k + (c.astype(np.uint64) << np.uint64(48))
+        hit &= np.isin(both(own, window_checks(words, window)), both(keys, checks))
     if not hit.any():
         return n, np.empty((0, 2), np.int64), b" ".join(data.split())
     change = np.zeros(n + 1, np.int64)
@@ -236,17 +277,18 @@ def _remove(window: int, with_text: bool):
                     at, ids, keys, ready = r["part"], [], [], None
                 if r["kind"] == _COVERED:
                     ids.append(_expand(r["ids"]))
-                    keys.append(np.frombuffer(r["keys"], np.uint64))
+                    keys.append(_parted(r["keys"], False))
                     continue
                 if ready is None:
                     d = np.concatenate(ids) if ids else np.empty(0, np.int64)
-                    k = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+                    k = np.concatenate([x for x, _ in keys]) if keys else np.empty(0, np.uint64)
+                    c = np.concatenate([x for _, x in keys]) if keys else np.empty(0, np.uint16)
                     order = np.argsort(d, kind="stable")
-                    ready, ids, keys = (d[order], k[order]), [], []
-                own = np.empty(0, np.uint64)
+                    ready, ids, keys = (d[order], k[order], c[order]), [], []
+                own = np.empty(0, np.uint64), np.empty(0, np.uint16)
                 if r["doc_id"] is not None:
                     a, b = np.searchsorted(ready[0], r["doc_id"], "left"), np.searchsorted(ready[0], r["doc_id"], "right")
-                    own = ready[1][a:b]
+                    own = ready[1][a:b], ready[2][a:b]
                 n, spans, kept = removal(expand.decompress(r["text"]), own, window)
                 out = {"doc_id": r["doc_id"], "n_words": n, "n_removed": int((spans[:, 1] - spans[:, 0]).sum()), "kept_sha256": hashlib.sha256(kept).hexdigest(), "intervals": [{"start": int(a), "end": int(b)} for a, b in spans]}
                 yield out | ({"text": kept.decode()} if with_text else {})

@@ -115,6 +115,22 @@ def test_substring_dedup(docs, texts, window, chunk):
     assert all(sum(x["end"] - x["start"] for x in r.intervals) == r.n_removed for r in got)
 
 
+def test_windows_of_equal_keys_are_told_apart(docs, texts, monkeypatch):
+    """With keys of 12 bits many windows collide; the second hash alone keeps them apart but for few."""
+    whole = substring_dedup.window_hashes
+    monkeypatch.setattr(substring_dedup, "window_hashes", lambda words, window: whole(words, window) & np.uint64(0xFFF0000000000000))
+    r = np.random.default_rng(3)
+    words = r.integers(0, 2**63, 4000).astype(np.uint64)
+    assert len({*substring_dedup.window_hashes(words, 50).tolist()}) < 2800
+    data = " ".join(f"w{i}" for i in range(4000)).encode()
+    buf = np.frombuffer(data, np.uint8)
+    s, e, _ = common.word_spans(buf, np.array([0, len(buf)]))
+    h = common.span_hashes(buf, s, e)
+    k, c = substring_dedup.window_hashes(h, 50), substring_dedup.window_checks(h, 50)
+    n, spans, _ = substring_dedup.removal(data, (k[100:101], c[100:101]), 50)
+    assert n == 4000 and spans.tolist() == [[100, 150]]
+
+
 def test_substring_dedup_empty(docs):
     assert substring_dedup.substring_dedup(docs.limit(0)).count() == 0
 
