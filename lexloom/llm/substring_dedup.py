@@ -76,7 +76,7 @@ def _joined(keys: np.ndarray, checks: np.ndarray, sort: bool) -> bytes:
 
 def _parted(data: bytes, sort: bool) -> tuple[np.ndarray, np.ndarray]:
     n = len(data) // 10 * 8
-    return C.unpack(data[:n]) if sort else np.frombuffer(data[:n], "<u8"), np.frombuffer(data[n:], "<u2")
+    return C.unpack(data[:n]) if sort else np.frombuffer(data[:n], "<u8").copy(), np.frombuffer(data[n:], "<u2").copy()
 
 
 def _first(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
@@ -110,6 +110,12 @@ def _expand(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel())
 
 
+def _each(batch: pa.RecordBatch, most: int = 256) -> Iterator[dict]:
+    """The rows of a batch, few of them as Python objects at a time."""
+    for i in range(0, len(batch), most):
+        yield from batch.slice(i, most).to_pylist()
+
+
 def _batches(rows: Iterator[dict], schema: pa.Schema, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for r in rows:
@@ -209,7 +215,7 @@ def _count_buckets(parts: int):
             ids.clear()
 
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _each(batch):
                 if r["kind"] == _COVERED:
                     yield r
                     continue
@@ -272,7 +278,7 @@ def _remove(window: int, with_text: bool):
         at, ids, keys, ready = None, [], [], None
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _each(batch):
                 if r["part"] != at:
                     at, ids, keys, ready = r["part"], [], [], None
                 if r["kind"] == _COVERED:
@@ -297,11 +303,11 @@ def _remove(window: int, with_text: bool):
     return lambda batches: _batches(rows(batches), schema)
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, *, with_text: bool = False, chunk_windows: int = 2_000_000) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 50, *, with_text: bool = False, chunk_windows: int = 1_000_000) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): words, removed words, digest of what is kept, removal intervals [start, end), and with ``with_text`` the kept text.
 
     chunk_windows: windows of consecutive documents whose repeats a map task joins before the
-    shuffle; it bounds a task's memory (about 40 bytes a window) and changes no result.
+    shuffle; it bounds a task's memory (about 80 bytes a window) and changes no result.
     """
     tasks = C.shuffle_partitions(docs.sparkSession)
     parts = max(tasks, C.estimated_bytes(docs) // PART_BYTES)
