@@ -120,10 +120,13 @@ def _named(df: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` as mixed: each row as often as it is taken."""
-    taken = mix_sources(docs, **how).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("tie").alias("__tie"), F.col("copies").alias("__copies")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & F.xxhash64("text").eqNullSafe(F.col("__tie"))
-    return docs.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
+    """``docs`` as mixed: each row as often as it is taken, with its columns as they are."""
+    taken = mix_sources(docs, **how).filter("copies > 0").select("doc_id", "source", "tie", "copies").distinct()
+    own = {c: f"__in_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.withColumnsRenamed(own)
+    same = F.col(own["doc_id"]).eqNullSafe(F.col("doc_id")) & F.col(own["source"]).eqNullSafe(F.col("source")) & F.xxhash64(own["text"]).eqNullSafe(F.col("tie"))
+    rows = rows.join(taken, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return rows.select([F.col(x).alias(c) for c, x in own.items()])
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

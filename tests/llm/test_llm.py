@@ -928,3 +928,27 @@ def test_pipeline(spark, data):
     for r in out:
         places.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in places.values())
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, data, docs, tmp_path):
+    """Nulls, repeated rows, long texts and clashing columns; and no rows at all. Nothing stays behind but the result."""
+    import corpus_pipeline
+
+    more = docs.withColumns({c: F.lit("mine") for c in ("kept", "size", "copies", "row", "vals", "rank", "__copy")})
+    spark.read.parquet(f"{data}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, d in (("rows", more), ("none", more.limit(0))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "benchmark.parquet").symlink_to(tmp_path / "benchmark.parquet")
+        d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    before = set(common._TABLES)
+    out = corpus_pipeline.run(spark, f"{tmp_path}/rows")
+    assert len(set(common._TABLES) - before) == 1
+    rows = out.collect()
+    assert set(out.columns) == set(more.columns) and all(r.vals == r["__copy"] == "mine" for r in rows)
+    good = {r.doc_id for r in quality_rules.quality_ledger(docs).filter("failed_rules = 0").collect()}
+    assert rows and {r.doc_id for r in rows} <= good
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
