@@ -4,60 +4,60 @@ from __future__ import annotations
 
 # Vocabulary of each domain.
 DOMAIN_VOCABULARY = {
-    "general": "document information government regulation institution department research system confidence correction application university technology development management organization",
-    "medical": "patient hospital diagnosis treatment medicine clinical clinic physician prescription symptoms laboratory dosage recovery tablet",
-    "legal": "agreement contract regulation statute court plaintiff defendant jurisdiction liability provision",
-    "government": "government ministry department regulation policy authority administration public official citizen",
-    "financial": "account transaction balance interest financial revenue liability invoice receipt payment statement total amount quantity customer currency",
-    "institutional": "institution university department faculty student academic administration committee policy programme",
+    "general": ("document", "information", "government", "regulation", "institution", "department", "research", "system", "confidence", "correction", "application", "university", "technology", "development", "management", "organization"),
+    "medical": ("patient", "hospital", "diagnosis", "treatment", "medicine", "clinical", "clinic", "physician", "prescription", "symptoms", "laboratory", "dosage", "recovery", "tablet"),
+    "legal": ("agreement", "contract", "regulation", "statute", "court", "plaintiff", "defendant", "jurisdiction", "liability", "provision"),
+    "government": ("government", "ministry", "department", "regulation", "policy", "authority", "administration", "public", "official", "citizen"),
+    "financial": ("account", "transaction", "balance", "interest", "financial", "revenue", "liability", "invoice", "receipt", "payment", "statement", "total", "amount", "quantity", "customer", "currency"),
+    "institutional": ("institution", "university", "department", "faculty", "student", "academic", "administration", "committee", "policy", "programme"),
 }
 
-# Fixed values: (domain, label, type, aliases separated by |).
+# Fixed values: (domain, label, type, aliases).
 ENTITY_SPECS = [
-    ("government", "Public Administration Circular", "DocumentType", "public administration circular"),
-    ("government", "Government", "GovernmentBody", "government"),
-    ("government", "Ministry", "Organization", "ministry"),
-    ("government", "Department", "Organization", "department"),
-    ("government", "Authority", "GovernmentBody", "authority"),
-    ("government", "Policy", "Policy", "policy"),
-    ("government", "Regulation", "Regulation", "regulation"),
-    ("government", "Public Offices", "Organization", "public offices"),
-    ("government", "Implementation Report", "Report", "implementation report"),
-    ("medical", "Patient", "Patient", "patient"),
-    ("medical", "Physician", "Clinician", "physician"),
-    ("medical", "Diagnosis", "Condition", "diagnosis"),
-    ("medical", "Prescription", "Prescription", "prescription"),
-    ("medical", "Treatment", "Treatment", "treatment"),
-    ("medical", "Laboratory", "ClinicalService", "laboratory"),
-    ("medical", "Hospital", "HealthcareOrganization", "hospital"),
-    ("legal", "Agreement", "LegalInstrument", "agreement"),
-    ("legal", "Contract", "LegalInstrument", "contract"),
-    ("legal", "Liability", "LegalConcept", "liability"),
-    ("legal", "Court", "Court", "court"),
-    ("legal", "Jurisdiction", "Jurisdiction", "jurisdiction"),
-    ("legal", "Provision", "LegalProvision", "provision|provisions"),
-    ("legal", "Regulation", "Regulation", "regulation"),
-    ("financial", "Account", "FinancialAccount", "account"),
-    ("financial", "Transaction", "Transaction", "transaction"),
-    ("financial", "Balance", "Amount", "balance"),
-    ("financial", "Payment", "Payment", "payment"),
-    ("financial", "Invoice", "Invoice", "invoice"),
-    ("financial", "Statement", "FinancialStatement", "statement"),
-    ("financial", "Revenue", "Amount", "revenue"),
-    ("institutional", "Institution", "Institution", "institution"),
-    ("institutional", "University", "University", "university"),
-    ("institutional", "Department", "Department", "department"),
-    ("institutional", "Faculty", "PersonGroup", "faculty"),
-    ("institutional", "Student", "PersonGroup", "student|students"),
-    ("institutional", "Committee", "Committee", "committee"),
-    ("institutional", "Academic Programme", "Programme", "academic programme|programme"),
-    ("institutional", "Policy", "Policy", "policy"),
-    ("general", "Document", "DocumentType", "document"),
-    ("general", "Information", "Concept", "information"),
-    ("general", "Research", "Activity", "research"),
-    ("general", "System", "System", "system"),
-    ("general", "Confidence", "Metric", "confidence"),
-    ("general", "Correction", "Process", "correction"),
+    ("government", "Public Administration Circular", "DocumentType", ("public administration circular",)),
+    ("government", "Government", "GovernmentBody", ("government",)),
+    ("government", "Ministry", "Organization", ("ministry",)),
+    ("government", "Department", "Organization", ("department",)),
+    ("government", "Authority", "GovernmentBody", ("authority",)),
+    ("government", "Policy", "Policy", ("policy",)),
+    ("government", "Regulation", "Regulation", ("regulation",)),
+    ("government", "Public Offices", "Organization", ("public offices",)),
+    ("government", "Implementation Report", "Report", ("implementation report",)),
+    ("medical", "Patient", "Patient", ("patient",)),
+    ("medical", "Physician", "Clinician", ("physician",)),
+    ("medical", "Diagnosis", "Condition", ("diagnosis",)),
+    ("medical", "Prescription", "Prescription", ("prescription",)),
+    ("medical", "Treatment", "Treatment", ("treatment",)),
+    ("medical", "Laboratory", "ClinicalService", ("laboratory",)),
+    ("medical", "Hospital", "HealthcareOrganization", ("hospital",)),
+    ("legal", "Agreement", "LegalInstrument", ("agreement",)),
+    ("legal", "Contract", "LegalInstrument", ("contract",)),
+    ("legal", "Liability", "LegalConcept", ("liability",)),
+    ("legal", "Court", "Court", ("court",)),
+    ("legal", "Jurisdiction", "Jurisdiction", ("jurisdiction",)),
+    ("legal", "Provision", "LegalProvision", ("provision", "provisions",)),
+    ("legal", "Regulation", "Regulation", ("regulation",)),
+    ("financial", "Account", "FinancialAccount", ("account",)),
+    ("financial", "Transaction", "Transaction", ("transaction",)),
+    ("financial", "Balance", "Amount", ("balance",)),
+    ("financial", "Payment", "Payment", ("payment",)),
+    ("financial", "Invoice", "Invoice", ("invoice",)),
+    ("financial", "Statement", "FinancialStatement", ("statement",)),
+    ("financial", "Revenue", "Amount", ("revenue",)),
+    ("institutional", "Institution", "Institution", ("institution",)),
+    ("institutional", "University", "University", ("university",)),
+    ("institutional", "Department", "Department", ("department",)),
+    ("institutional", "Faculty", "PersonGroup", ("faculty",)),
+    ("institutional", "Student", "PersonGroup", ("student", "students",)),
+    ("institutional", "Committee", "Committee", ("committee",)),
+    ("institutional", "Academic Programme", "Programme", ("academic programme", "programme",)),
+    ("institutional", "Policy", "Policy", ("policy",)),
+    ("general", "Document", "DocumentType", ("document",)),
+    ("general", "Information", "Concept", ("information",)),
+    ("general", "Research", "Activity", ("research",)),
+    ("general", "System", "System", ("system",)),
+    ("general", "Confidence", "Metric", ("confidence",)),
+    ("general", "Correction", "Process", ("correction",)),
 ]
 
 # Fixed values: (domain, source label, relation, target label).
@@ -127,8 +127,8 @@ MAX_UPLOAD = 25 * 1024 * 1024
 def domain_terms(domain: str | None = None) -> list[str]:
     """Terms of one domain (none for an unknown one), or of all."""
     if domain is not None:
-        return DOMAIN_VOCABULARY.get(domain, "").split()
-    return sorted({t for v in DOMAIN_VOCABULARY.values() for t in v.split()})
+        return list(DOMAIN_VOCABULARY.get(domain, ()))
+    return sorted({t for v in DOMAIN_VOCABULARY.values() for t in v})
 
 
 def check_config(weights: dict[str, float] = QUALITY_WEIGHTS, high: float = HIGH, medium: float = MEDIUM) -> None:

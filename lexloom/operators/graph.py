@@ -15,7 +15,7 @@ MONTHS = "January|February|March|April|May|June|July|August|September|October|No
 def spec_tables(spark, domain: str) -> tuple[DataFrame, DataFrame]:
     """(label, type, parts, ordinal) and (source, relation, target, ordinal); an unknown domain means general."""
     domain = domain if domain in K.DOMAIN_VOCABULARY else "general"
-    own = [(label, kind, a.split(" "), i) for i, (label, kind, aliases) in enumerate((x, t, a) for d, x, t, a in K.ENTITY_SPECS if d == domain) for a in aliases.split("|")]
+    own = [(label, kind, a.split(" "), i) for i, (label, kind, aliases) in enumerate((x, t, a) for d, x, t, a in K.ENTITY_SPECS if d == domain) for a in aliases]
     rel = [(s, r, t, i) for i, (s, r, t) in enumerate((s, r, t) for d, s, r, t in K.RELATION_SPECS if d == domain)]
     return spark.createDataFrame(own, "label string, type string, parts array<string>, ordinal int"), spark.createDataFrame(rel, "source string, relation string, target string, ordinal int")
 

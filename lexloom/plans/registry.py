@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions import text as T
 from ..operators import candidates as cand
 from ..operators import catalog, errors, graph, quality, retrieval, tokens
@@ -187,9 +188,9 @@ def confidence_bins(spark, d):
     return tokens.confidence_histogram(_tokens(spark, d)).select("bin", "n")
 
 
-@query(rf"WITH {_TOKENS} SELECT doc_id, pos, text, confidence, 'confidence ' || printf('%.3f', confidence) || ' below threshold 0.200' AS reason FROM tok WHERE confidence < 0.2")
+@query(rf"WITH {_TOKENS} SELECT doc_id, pos, text, confidence, 'confidence ' || printf('%.3f', confidence) || ' below threshold 0.900' AS reason FROM tok WHERE confidence < 0.9")
 def confidence_gate(spark, d):
-    return tokens.confidence_gate(_tokens(spark, d), 0.2).filter("decision = 'LOW'").select("doc_id", "pos", "text", "confidence", "reason")
+    return tokens.confidence_gate(_tokens(spark, d)).filter("decision = 'LOW'").select("doc_id", "pos", "text", "confidence", "reason")
 
 
 @query(rf"WITH {_TOKENS} SELECT doc_id, round(avg(confidence), 4) AS average, count_if(confidence < 0.9) AS n_low, count_if(confidence >= 0.9) AS n_high FROM tok GROUP BY doc_id")
@@ -264,12 +265,38 @@ def page_text_rule(spark, d):
 
 # ---------------------------------------------------------------- candidates and decisions
 
-_POOL = rf"{_LEXICON}, pool AS (SELECT word AS value FROM lex WHERE n >= 20 AND regexp_matches(word, '^[a-z]{{4,16}}$')), qry AS (SELECT word AS query FROM lex WHERE n < 3 AND regexp_matches(word, '^[a-z]{{4,16}}$'))"
+_TERMS = ", ".join(f"('{t}')" for t in K.domain_terms())
+#: Doubtful words of all tokens as queries, valid words of the lexicon as values.
+_POOL = rf"""{_TOKENS}, {_LEXICON}, dom(word) AS (VALUES {_TERMS}),
+vld AS (SELECT word, coalesce(zipf, 0) AS zipf, dom.word IS NOT NULL AS is_domain FROM lex FULL JOIN dom USING (word) WHERE dom.word IS NOT NULL OR (n >= 20 AND zipf >= {VALID_FLOOR})),
+pool AS (SELECT word AS value, zipf, is_domain FROM vld WHERE length(word) >= 4 AND regexp_full_match(word, '[a-z''-]+')),
+prt AS (SELECT *, regexp_replace(c, '[^A-Za-z]', '', 'g') AS l, regexp_replace(c, '[^0-9]', '', 'g') AS g FROM (SELECT doc_id, pos, text, confidence, regexp_replace(text, '[^A-Za-z0-9''-]', '', 'g') AS c FROM tok) t),
+el AS (SELECT doc_id, pos, text, confidence, lower(c) AS word FROM prt WHERE l <> '' AND length(g) < 2 AND NOT (g <> '' AND contains(c, '-')) AND regexp_full_match(l, '[a-z]+|[A-Z]+|[A-Z][a-z]*')),
+qry AS (SELECT DISTINCT word AS query FROM el WHERE length(word) >= 4 AND word NOT IN (SELECT word FROM vld WHERE NOT regexp_matches(word, '[0-9]')))"""
+
+_CANONICAL = "replace(translate({}, '0158', 'olsb'), 'rn', 'm')"
+_WITHOUT_ONE = "[left({0}, i - 1) || substr({0}, i + 1) FOR i IN range(1, length({0}) + 1)]"
+#: Insertions and deletions follow from two edits at most and the lengths. Pairs of one canonical form with more edits would need their
+#: common subsequence; a word with one digit at most and another "rn" than its partner twice is none of these tables.
+_RANKED = rf"""{_POOL}, prs AS (SELECT query, value, zipf, is_domain, length(query) + length(value) AS total, length(query) - length(value) AS d, CAST(levenshtein(query, value) AS INT) AS edits FROM qry, pool WHERE query <> value AND abs(length(query) - length(value)) <= 2 AND levenshtein(query, value) <= 2),
+rat AS (SELECT *, (total - CASE WHEN abs(d) = 2 THEN 2 WHEN abs(d) = 1 THEN 2 * edits - 1 WHEN edits = 1 OR list_has_any({_WITHOUT_ONE.format('query')}, {_WITHOUT_ONE.format('value')}) THEN 2 ELSE 4 END) / total AS ratio FROM prs),
+sim AS (SELECT *, CASE WHEN {_CANONICAL.format('query')} = {_CANONICAL.format('value')} THEN greatest(ratio, 0.98::DOUBLE) ELSE ratio END AS similarity FROM rat),
+scd AS (SELECT *, similarity + CASE WHEN value IN ({", ".join(f"'{t}'" for t in K.domain_terms('general'))}) THEN {K.DOMAIN_BOOST}::DOUBLE ELSE 0::DOUBLE END AS score FROM sim WHERE similarity >= CASE WHEN length(query) <= {K.SHORT_WORD} THEN {K.SHORT_SIMILARITY}::DOUBLE ELSE {K.LONG_SIMILARITY}::DOUBLE END),
+rk AS (SELECT query, value, CASE WHEN is_domain THEN 'domain' ELSE 'english' END AS source, similarity, score, zipf, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, zipf DESC, value) AS INT) AS rank FROM scd QUALIFY rank <= 5)"""
+_TITLE = r"array_to_string([upper(p[1]) || lower(p[2:]) FOR p IN regexp_extract_all({}, '\p{{L}}+|[^\p{{L}}]+')], '')"
+_DECIDED = rf"""{_RANKED}, st AS (SELECT el.*, value, n FROM el JOIN (SELECT query AS word, max(CASE WHEN rank = 1 THEN value END) AS value, count(*) AS n FROM rk GROUP BY query) r USING (word) WHERE confidence < 0.9),
+dc AS (SELECT *, regexp_matches(text, '\p{{Nd}}') AND value <> text AND {_CANONICAL.format('word')} <> {_CANONICAL.format('value')} AS numbers FROM st),
+vd AS (SELECT doc_id, pos, text, confidence, n, value, CASE WHEN numbers THEN 'KEEP_ORIGINAL' ELSE value END AS selection, CASE WHEN numbers THEN 'REJECTED' ELSE 'ACCEPTED' END AS status, CASE WHEN numbers THEN 'numbers must stay' ELSE 'membership; rank 1; preservation' END AS checks,
+  CASE WHEN numbers THEN text WHEN upper(text) = text THEN upper(value) WHEN {_TITLE.format('text')} = text THEN {_TITLE.format('value')} ELSE value END AS final FROM dc)"""
+
+
+def _valid(spark, d):
+    return _lexicon(spark, d).filter("n >= 20 or is_domain")
 
 
 def _word_sets(spark, d):
-    lex = _lexicon(spark, d).filter("word rlike '^[a-z]{4,16}$'")
-    return lex.filter("n < 3 and n > 0").select(F.col("word").alias("query")), lex.filter("n >= 20").select(F.col("word").alias("value"))
+    valid = _valid(spark, d)
+    return cand.doubtful_words(_tokens(spark, d), valid, VALID_FLOOR), cand.valid_words(valid, VALID_FLOOR).select("value")
 
 
 @query(f"WITH {_POOL} SELECT query, value, CAST(levenshtein(query, value) AS INT) AS edits FROM qry, pool WHERE query <> value AND abs(length(query) - length(value)) <= 2 AND levenshtein(query, value) <= 2")
@@ -278,43 +305,50 @@ def edit_pairs(spark, d):
     return cand.edit_pairs(q, p).filter("edits <= 2")
 
 
-@query(f"WITH {_POOL} SELECT query, value FROM (SELECT query, replace(translate(query, '0158', 'olsb'), 'rn', 'm') AS c FROM qry) q JOIN (SELECT value, replace(translate(value, '0158', 'olsb'), 'rn', 'm') AS c FROM pool) p USING (c) WHERE query <> value")
+@query(f"""WITH {_POOL}, ms AS (SELECT DISTINCT replace(translate(word, 'olsb', '0158'), 'm', 'rn') AS query FROM el WHERE length(word) >= 4)
+SELECT query, value FROM (SELECT query, {_CANONICAL.format('query')} AS c FROM ms) q JOIN (SELECT value, {_CANONICAL.format('value')} AS c FROM pool) p USING (c) WHERE query <> value""")
 def canonical_candidates(spark, d):
-    q, p = _word_sets(spark, d)
+    """Every word with its look-alikes misread, and the valid words that share its canonical form."""
+    t = _tokens(spark, d).filter(~T.looks_like_identifier(F.col("text"))).select(T.clean_word(F.col("text")).alias("word")).filter("length(word) >= 4")
+    q = t.select(F.replace(F.translate("word", "olsb", "0158"), F.lit("m"), F.lit("rn")).alias("query")).distinct()
+    p = cand.valid_words(_valid(spark, d), VALID_FLOOR).select("value")
     c = T.ocr_canonical
     return q.withColumn("c", c(F.col("query"))).join(p.withColumn("c", c(F.col("value"))), "c").filter("query <> value").select("query", "value")
 
 
 def _ranked(spark, d):
-    valid = _lexicon(spark, d).filter("n >= 20 or is_domain")
+    valid = _valid(spark, d)
     return cand.ranked_candidates(cand.doubtful_words(_tokens(spark, d), valid, VALID_FLOOR), valid, floor=VALID_FLOOR)
 
 
-@query()
+@query(f"WITH {_RANKED} SELECT query, value, source, round(similarity, 6) AS similarity, round(score, 6) AS score, round(zipf, 6) AS zipf, rank FROM rk")
 def fuzzy_candidates(spark, d):
-    return _ranked(spark, d)
+    return _round(_ranked(spark, d), "similarity", "score", "zipf", digits=6)
 
 
-@query()
+@query(f"WITH {_RANKED} SELECT doc_id, pos, text, confidence, value AS candidate, round(least(confidence, greatest(0.55::DOUBLE, 1.20::DOUBLE - 0.40::DOUBLE * similarity)), 6) AS effective_confidence FROM el JOIN rk ON query = word AND rank = 1")
 def calibrated_confidence(spark, d):
-    return cand.calibrated_confidence(_tokens(spark, d), _ranked(spark, d)).filter("candidate is not null").select("doc_id", "pos", "text", "confidence", "candidate", "effective_confidence")
+    out = cand.calibrated_confidence(_tokens(spark, d), _ranked(spark, d)).filter("candidate is not null").select("doc_id", "pos", "text", "confidence", "candidate", "effective_confidence")
+    return _round(out, "effective_confidence", digits=6)
 
 
 def _sets(spark, d):
     return cand.candidate_sets(_tokens(spark, d), _ranked(spark, d))
 
 
-@query()
+@query(f"WITH {_DECIDED} SELECT doc_id, pos, text, selection, final, status, checks FROM vd")
 def validate_decisions(spark, d):
     sets = _sets(spark, d)
-    return cand.validate_decisions(sets, cand.decide(sets), _lexicon(spark, d).filter("n >= 20 or is_domain"), VALID_FLOOR)
+    return cand.validate_decisions(sets, cand.decide(sets), _valid(spark, d), VALID_FLOOR).withColumn("checks", F.array_join("checks", "; "))
 
 
-@query()
+@query(f"WITH {_DECIDED} SELECT doc_id, pos, text, selection, final, status, checks, confidence, CAST(n + 1 AS INT) AS n_candidates, 'COMPLETED' AS decision, value AS decided, 'rank-1 rule' AS reason FROM vd")
 def trace_join(spark, d):
     sets = _sets(spark, d)
     dec = cand.decide(sets)
-    return cand.trace(cand.validate_decisions(sets, dec, _lexicon(spark, d).filter("n >= 20 or is_domain"), VALID_FLOOR), sets, dec)
+    t = cand.trace(cand.validate_decisions(sets, dec, _valid(spark, d), VALID_FLOOR), sets, dec)
+    said = [F.col("decision.status").alias("decision"), F.col("decision.selection").alias("decided"), F.col("decision.reason").alias("reason")]
+    return t.select("doc_id", "pos", "text", "selection", "final", "status", F.array_join("checks", "; ").alias("checks"), "confidence", F.size("candidates").alias("n_candidates"), *said)
 
 
 @query(f"WITH {_TOKENS} SELECT doc_id, string_agg(CASE WHEN pos % 10 = 0 THEN '[' || text || ']' ELSE text END, ' ' ORDER BY pos) AS text, count_if(pos % 10 = 0) AS n_changed FROM tok GROUP BY doc_id")
@@ -444,12 +478,12 @@ def graph_anchor(spark, d):
 
 
 @query(
-    f"""WITH {_TOKENS}, {_NODES}, {_EDGES}, ht AS (SELECT DISTINCT t.doc_id, lower(t.text) AS value, nd.node_id FROM tok t JOIN nd ON nd.doc_id = t.doc_id AND lower(nd.label) = lower(t.text) WHERE t.confidence < 0.1)
+    f"""WITH {_TOKENS}, {_NODES}, {_EDGES}, ht AS (SELECT DISTINCT t.doc_id, lower(t.text) AS value, nd.node_id FROM tok t JOIN nd ON nd.doc_id = t.doc_id AND lower(nd.label) = lower(t.text) WHERE t.confidence < 0.9)
 SELECT doc_id, value, node_id, relation, other FROM (SELECT ht.*, relation, target AS other FROM ht JOIN ed ON ed.source = ht.node_id AND ed.doc_id = ht.doc_id UNION SELECT ht.*, relation, source FROM ht JOIN ed ON ed.target = ht.node_id AND ed.doc_id = ht.doc_id)"""
 )
 def graph_evidence(spark, d):
     n = _nodes(spark, d)
-    c = _tokens(spark, d).filter("confidence < 0.1").select("doc_id", F.lower("text").alias("value")).distinct()
+    c = _tokens(spark, d).filter("confidence < 0.9").select("doc_id", F.lower("text").alias("value")).distinct()
     return graph.graph_evidence(c, n, graph.graph_edges(n, _specs(spark)[1]))
 
 
@@ -520,9 +554,10 @@ def orphan_sweep(spark, d):
     return catalog.orphan_sweep(_runs(spark, d)).select("id", "status")
 
 
-@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def missing_runs(spark, d):
-    return catalog.missing_runs(_files(spark, d), _runs(spark, d))
+    """Files without a completed run."""
+    return catalog.missing_runs(_files(spark, d), _runs(spark, d).filter("status = 'COMPLETED'"))
 
 
 @query(f"WITH {_RUNS} SELECT status, count(*) AS n FROM rn GROUP BY status")

@@ -138,11 +138,11 @@ def text_density(spark, d):
 
 # ---------------------------------------------------------------- evidence and prompts
 
-_LOW = f"""{_TOKENS}, low AS (SELECT doc_id, pos, text, confidence FROM tok WHERE confidence < 0.05 AND regexp_full_match(text, '[A-Za-z]+'))"""
+_LOW = f"""{_TOKENS}, low AS (SELECT doc_id, pos, text, confidence FROM tok WHERE confidence < 0.9)"""
 
 
 def _low(spark, d):
-    return _tokens(spark, d).filter("confidence < 0.05 and text rlike '^[A-Za-z]+$'").select("doc_id", "pos", "text", "confidence")
+    return _tokens(spark, d).filter("confidence < 0.9").select("doc_id", "pos", "text", "confidence")
 
 
 def _evidence(spark, d):
@@ -156,7 +156,7 @@ def _evidence(spark, d):
 
 
 @query(
-    f"""WITH {_LOW} SELECT doc_id, pos, '{{"token":"' || text || '","confidence":' || confidence || ',"candidates":[{{"rank":1,"value":"' || lower(text) || '","source":"domain","similarity":0.9}},{{"rank":null,"value":"KEEP_ORIGINAL","source":"original","similarity":1.0}}],"semantic_evidence":[' ||
+    f"""WITH {_LOW} SELECT doc_id, pos, '{{"token":' || to_json(text) || ',"confidence":' || confidence || ',"candidates":[{{"rank":1,"value":' || to_json(lower(text)) || ',"source":"domain","similarity":0.9}},{{"rank":null,"value":"KEEP_ORIGINAL","source":"original","similarity":1.0}}],"semantic_evidence":[' ||
 CASE WHEN pos % 2 = 0 THEN '"passage a","passage b"' ELSE '' END || '],"graph_evidence":[' || CASE WHEN pos % 3 = 0 THEN '"fact a","fact b"' ELSE '' END || ']}}' AS prompt FROM low"""
 )
 def prompt_json(spark, d):
