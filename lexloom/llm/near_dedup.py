@@ -150,9 +150,9 @@ _BLOCK_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("chunk",
 _CLASSES, _FREQUENT, _VALUES = 0, 1, 2
 #: Sketch values that one chunk holds; its classes have 16-bit numbers. Lists are keyed by 48 bits
 #: of a value: two values that agree in them put a document in a needless list, no more.
-CHUNK_VALUES = 2_000_000
+CHUNK_VALUES = 1_000_000
 #: Sketch values that one bucket holds at most, about.
-BUCKET_VALUES = 1 << 24
+BUCKET_VALUES = 1 << 22
 
 
 def _owner(chunk: int, parts: int) -> int:
@@ -396,16 +396,21 @@ def _spanning(label: np.ndarray, names: list[int], centre: int) -> Iterator[tupl
             yield own[0][1], name
 
 
+#: Rows of an Arrow batch that become Python values at a time.
+SLICE_ROWS = 256
+
+
 def _groups(batches, keys: int):
     """Runs of rows with equal first ``keys`` columns."""
     at, held = None, []
     for batch in batches:
-        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if r[:keys] != at:
-                if held:
-                    yield at, held
-                at, held = r[:keys], []
-            held.append(r[keys:])
+        for first in range(0, batch.num_rows, SLICE_ROWS):
+            for r in zip(*(c.to_pylist() for c in batch.slice(first, SLICE_ROWS).columns), strict=True):
+                if r[:keys] != at:
+                    if held:
+                        yield at, held
+                    at, held = r[:keys], []
+                held.append(r[keys:])
     if held:
         yield at, held
 
