@@ -297,6 +297,20 @@ def test_blocking_loses_no_pair():
         assert candidates.deletion_keys(a) & candidates.deletion_keys("".join(b))
 
 
+def test_pairs_are_those_of_brute_force(spark):
+    r = random.Random(9)
+    words = sorted({"".join(r.choice("abo01rnm") for _ in range(r.randint(4, 7))) for _ in range(150)} | {"cornrnorn", "commom", "x" * 3000})
+    pool = [w for w in words if w.isalpha() and len(w) < 100]
+    form = lambda w: w.translate(str.maketrans("0158", "olsb")).replace("rn", "m")
+    far = lambda a, b: abs(len(a) - len(b)) > 2 or duckdb.execute("select levenshtein(?, ?)", [a, b]).fetchone()[0] > 2
+    want = {(a, b) for a in words for b in pool if a != b and (form(a) == form(b) or not far(a, b))}
+    frame = lambda name, ws: spark.createDataFrame([(w,) for w in ws], f"{name} string")
+    got = candidates.edit_pairs(frame("query", words), frame("value", pool)).collect()
+    assert ("cornrnorn", "commom") in want and len(got) == len(want)
+    assert {(x["query"], x["value"]) for x in got} == want
+    assert not candidates.edit_pairs(frame("query", words), frame("value", [])).count()
+
+
 # ---------------------------------------------------------------- graph, retrieval, tokens
 
 
