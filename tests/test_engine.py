@@ -132,6 +132,21 @@ def test_edit_counts_beyond_the_first_band():
             assert (c["distance"], c["substitutions"], c["deletions"], c["insertions"]) == (d[0], d[2], d[3], d[1] - d[3])
 
 
+def test_substitutions_need_no_table(monkeypatch):
+    rnd = random.Random(6)
+    for _ in range(300):
+        a = "".join(rnd.choices("abcé😀", k=rnd.randrange(30)))
+        b = "".join(rnd.choice("axyé") if rnd.random() < 0.3 else c for c in a)
+        for h, r in ((b, a), (list(b), list(a)), ("c" + b, a + "é"), ("ab" + b, a)):
+            c, d = fuzzy.edit_counts(h, r), plain_counts(h, r)
+            assert tuple(c.values()) == (d[0], d[2], d[3], d[1] - d[3], len(r))
+    monkeypatch.setattr(fuzzy, "_packed", None)
+    text = "the rest of these theses " * 200
+    c = fuzzy.edit_counts(text.replace("th", "tn").replace("e", "c"), text)
+    assert (c["distance"], c["substitutions"], c["reference_length"]) == (9 * 200, 9 * 200, len(text))
+    assert fuzzy.edit_counts("x" + text, "y" + text)["distance"] == 1
+
+
 @given(st.text("abcd", max_size=10), st.text("abcd", max_size=10))
 @settings(max_examples=100, deadline=None)
 def test_common_subsequence(a, b):
