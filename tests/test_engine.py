@@ -147,6 +147,14 @@ def test_substitutions_need_no_table(monkeypatch):
     assert fuzzy.edit_counts("x" + text, "y" + text)["distance"] == 1
 
 
+def test_pairs_of_the_queries_need_no_table(spark, data, monkeypatch):
+    monkeypatch.setattr(fuzzy, "_packed", None)
+    rows = [(c, fuzzy.edit_counts(p.hypothesis, p.reference)) for p in registry._pairs(spark, data).collect() for c in [len(p.reference)]]
+    got = registry.micro_macro_error(spark, data).first()
+    assert got.n == len(rows) and got.micro_cer == pytest.approx(sum(c["distance"] for _, c in rows) / sum(n for n, _ in rows), abs=1e-4)
+    assert got.macro_cer == pytest.approx(sum(c["distance"] / n for n, c in rows) / len(rows), abs=1e-4)
+
+
 @given(st.text("abcd", max_size=10), st.text("abcd", max_size=10))
 @settings(max_examples=100, deadline=None)
 def test_common_subsequence(a, b):
